@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .language import op6_language_id
+from .quality import op8_quality_classifier
 from .secrets import op5_secret_scan
+from .simhash import op4_simhash_near_dedup
 
 QUERIES = {
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
