@@ -91,8 +91,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", width: int = 10, most_broadcast: int = 200_000) -> DataFrame:
     """The documents without any window of the benchmark, with all their columns.
 
-    Hits are verified by a semi-join of the few documents whose hashes hit; clean documents pass without a shuffle
-    while the hash set is small enough to go to every task.
+    While the set is small enough to go to every task nothing is shuffled.
     """
     windows = benchmark_windows(benchmark.withColumn("_item", F.lit(0)), "_item", item_text_col, width)
     texts = windows.select("width", "hash", F.array_join("window", " ").alias("phrase")).distinct()
@@ -100,14 +99,25 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         keyed = docs.withColumn("_row", F.monotonically_increasing_id())
         bad = scan_benchmark(keyed, benchmark.withColumn("_item", F.lit(0)), "_row", text_col, "_item", item_text_col, width, most_broadcast).filter("n_hit > 0")
         return keyed.join(bad.select("_row"), "_row", "left_anti").drop("_row").select(docs.columns)
-    phrases: dict[int, list[str]] = {}
-    for r in texts.select("width", "phrase").collect():
-        phrases.setdefault(r["width"], []).append(r["phrase"])
-    ws, clean = words(F.col(text_col)), F.lit(True)
-    for k in sorted(phrases):
-        # a phrase is unique for its words, so the set holds the words themselves and needs no check after it
-        clean &= ~F.exists(_windows(ws, k), lambda i, k=k: F.array_join(F.slice(ws, i, k), " ").isin(sorted(phrases[k])))
-    return docs.filter(clean)
+    known: dict[int, list] = {}
+    for r in texts.collect():
+        known.setdefault(r["width"], []).append(r)
+    sets = [(k, sorted({r["hash"] for r in rows}), sorted({r["phrase"] for r in rows})) for k, rows in sorted(known.items())]
+
+    def hit(ws: Column, hashes: Column) -> Column:
+        found = F.lit(False)
+        for k, codes, phrases in sets:
+            # the words themselves are compared where the hash is known
+            found |= F.exists(_windows(ws, k), _is_known(hashes, ws, k, codes, phrases))
+        return found
+
+    # lambda variables hold the words and their hashes, so that no rewrite of the plan computes them again for each window
+    hashed = lambda ws: F.array(F.transform(ws, lambda w: F.xxhash64(w)))
+    return docs.filter(~F.exists(F.array(words(F.col(text_col))), lambda ws: F.exists(hashed(ws), lambda hashes: hit(ws, hashes))))
+
+
+def _is_known(hashes: Column, ws: Column, width: int, codes: list[int], phrases: list[str]):
+    return lambda i: F.xxhash64(F.slice(hashes, i, width)).isin(codes) & F.array_join(F.slice(ws, i, width), " ").isin(phrases)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,12 @@ parent); queries follow only the edges that the triangle inequality leaves open.
 A shard gives just enough links to connect what it connects, never all pairs, and a
 hot shard is cut into pairs of chunks. Components are found by star contraction.
 
+Similarities such as 0.8 of five-word shingles differ in too many bits of 64 for blocks. For
+these, fingerprints of `words` times 64 bits (the further words mix each shingle's hash)
+are dealt into shards by samples of their bits in several tables, whose numbers follow
+from the number of fingerprints and the recall wanted for pairs exactly at the similarity; the radius
+is the expected distance at the similarity plus one standard deviation.
+
 Edge cases: a null, empty or blank text has fingerprint 0 and links like any other;
 a text of fewer words than a shingle is one shingle; null ids are members but never
 name a component (all null: null); repeated rows each give a row; an empty table
@@ -16,6 +22,7 @@ gives an empty result; extra columns are ignored, or kept by keep_one().
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,42 +35,57 @@ from ._common import materialize, raw_bytes, table
 from ._shards import Forest, connected_components, split_hot, whole_groups
 
 _LANES = np.uint64(0x0101010101010101)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: bytes, width: int = 4, piece: int = 1 << 16) -> int:
-    """The 64-bit SimHash of a text's word shingles."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+def fingerprint(text: bytes, width: int = 4, words: int = 1, piece: int = 1 << 16) -> np.ndarray:
+    """The SimHash of a text's word shingles, `words` times 64 bits."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(words, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     first = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - width + 1)
-    starts, stops = first[:n].tolist(), ends[len(words) - n :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    n = max(1, len(found) - width + 1)
+    starts, stops = first[:n].tolist(), ends[len(found) - n :].tolist()
+    digest, ones = xxhash.xxh64_intdigest, np.zeros((words, 64), np.int64)
     for at in range(0, n, piece):
         h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at : at + piece], stops[at : at + piece])], dtype=np.uint64)
-        h = np.concatenate([h, np.zeros(-len(h) % 255, np.uint64)]).reshape(-1, 255)
-        for bit in range(8):  # eight counters of a byte each at once
-            lanes = ((h >> np.uint64(bit)) & _LANES).sum(axis=1, dtype=np.uint64)
-            ones[bit::8] += lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return int(sum(1 << k for k in range(64) if 2 * ones[k] > n))
+        for k in range(words):
+            g = h if k == 0 else _mix(h + np.uint64(k) * _STEP)
+            g = np.concatenate([g, np.zeros(-len(g) % 255, np.uint64)]).reshape(-1, 255)
+            for bit in range(8):  # eight counters of a byte each at once
+                lanes = ((g >> np.uint64(bit)) & _LANES).sum(axis=1, dtype=np.uint64)
+                ones[k, bit::8] += lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+    return ((2 * ones > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """Id and fingerprint (as a signed long) of every document."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, words: int = 1) -> DataFrame:
+    """Id and fingerprint (a signed long for one word, else binary) of every document."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t or b"", width) for t in raw_bytes(batch.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_col, "fp"])
+            found = [fingerprint(t or b"", width, words) for t in raw_bytes(batch.column(1))]
+            fp = pa.array([int(x) for x in np.concatenate(found).view(np.int64)] if found else [], pa.int64()) if words == 1 else pa.array([x.tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=[id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp bigint")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp {'bigint' if words == 1 else 'binary'}")
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of points, words last."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 class BKTree:
-    """A BK-tree over 64-bit points, built and searched for many points at once."""
+    """A BK-tree over points of one or more 64-bit words, built and searched for many points at once."""
 
     leaf = 48
 
@@ -82,7 +104,7 @@ class BKTree:
         """(parent, {distance: members}) or (None, members) for a leaf."""
         if len(members) <= self.leaf:
             return None, members
-        away = np.bitwise_count(self.points[members[1:]] ^ self.points[members[0]])
+        away = _distance(self.points[members[1:]], self.points[members[0]])
         return members[0], {int(d): members[1:][away == d] for d in np.unique(away)}
 
     def search(self, queries: np.ndarray, radius: int):
@@ -93,11 +115,11 @@ class BKTree:
             if parent is None:
                 for at in range(0, len(q), 4096):
                     part = q[at : at + 4096]
-                    hit = np.bitwise_count(self.points[part][:, None] ^ self.points[below][None]) <= radius
+                    hit = _distance(self.points[part][:, None], self.points[below][None]) <= radius
                     a, b = np.nonzero(hit)
                     yield part[a], below[b]
                 continue
-            away = np.bitwise_count(self.points[q] ^ self.points[parent]).astype(np.int64)
+            away = _distance(self.points[q], self.points[parent])
             near = q[away <= radius]
             yield near, np.full(len(near), parent)
             for edge, child in below.items():
@@ -118,19 +140,20 @@ def _block_keys(fp: Column, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = 4, most: int = 8192) -> DataFrame:
-    """Links (a, b) that connect all fingerprints of column fp which lie within the radius of each other."""
-    keyed = distinct.select("fp", F.explode(_block_keys(F.col("fp"), radius + 2)).alias("key"))
+def _link_shards(keyed: DataFrame, radius: int, words: int, most: int) -> DataFrame:
+    """Links (a, b) between the fingerprints of a key that connect all within the radius of each other."""
     shards = split_hot(keyed, "key", "fp", most).select("shard", "side", "fp").repartition("shard").sortWithinPartitions("shard")
+    kind = "bigint" if words == 1 else "binary"
 
     def link(batches):
         for rows, bounds in whole_groups(batches, ["shard"]):
-            points = rows.column("fp").to_numpy().view(np.uint64)
-            side = rows.column("side").to_numpy()
+            column = rows.column("fp")
+            raw = column.to_numpy() if words == 1 else np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+            points, side = raw.view(np.uint64).reshape(-1, words), rows.column("side").to_numpy()
             sizes = np.diff(bounds)
             twos = bounds[:-1][sizes == 2]
-            twos = twos[(np.bitwise_count(points[twos] ^ points[twos + 1]) <= radius) & ((side[twos] == 0) | (side[twos] != side[twos + 1]))]
-            out = [np.stack([points[twos], points[twos + 1]])]
+            twos = twos[(_distance(points[twos], points[twos + 1]) <= radius) & ((side[twos] == 0) | (side[twos] != side[twos + 1]))]
+            out = [np.stack([twos, twos + 1])]
             for k in np.flatnonzero(sizes > 2):
                 p, s = points[bounds[k] : bounds[k + 1]], side[bounds[k] : bounds[k + 1]]
                 tree, ask = (np.arange(len(p)),) * 2 if s[0] == 0 else (np.flatnonzero(s == 1), np.flatnonzero(s == 2))
@@ -140,23 +163,72 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, most: int = 8192) ->
                 for a, b in BKTree(p, tree).search(ask, radius):
                     forest.add(a, b)
                 if forest.pairs:
-                    out.append(p[np.array(forest.pairs).T])
-            a, b = np.concatenate(out, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    out.append(np.array(forest.pairs).T + bounds[k])
+            a, b = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(x)).combine_chunks() for x in (a, b)], names=["a", "b"])
+
+    return shards.mapInArrow(link, f"a {kind}, b {kind}")
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = 4, most: int = 8192) -> DataFrame:
+    """Links (a, b) that connect all 64-bit fingerprints of column fp which lie within the radius of each other."""
+    keyed = distinct.select("fp", F.explode(_block_keys(F.col("fp"), radius + 2)).alias("key"))
+    return _link_shards(keyed, radius, 1, most)
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two texts whose shingle sets have that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-    return shards.mapInArrow(link, "a bigint, b bigint")
 
+def link_wide(distinct: DataFrame, similarity: float, words: int, recall: float = 0.98, most: int = 8192, seed: int = 3) -> DataFrame:
+    """Links (a, b) between wide fingerprints of column fp (binary), by samples of bits in several tables."""
+    share, bits = differing_share(similarity), 64 * words
+    n = distinct.count()
+    width = max(12, math.ceil(math.log2(max(n, 2))) - 4)
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** width))
+    radius = math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+    rng = np.random.default_rng(seed)
+    places = np.stack([rng.choice(bits, width, replace=False) for _ in range(tables)])
+
+    def deal(batches):
+        for batch in batches:
+            fps = batch.column(0)
+            flat = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(len(fps), -1)
+            set_ = np.unpackbits(flat, axis=1, bitorder="little")
+            keys = np.stack([(set_[:, p].astype(np.int64) << np.arange(width)).sum(axis=1) | (t << 40) for t, p in enumerate(places)], axis=1)
+            yield pa.RecordBatch.from_arrays([fps.take(pa.array(np.repeat(np.arange(len(fps)), tables))), pa.array(keys.ravel())], names=["fp", "key"])
+
+    return _link_shards(distinct.select("fp").mapInArrow(deal, "fp binary, key bigint"), radius, words, most)
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """Id, fp and component_id (the smallest id of the component) of every document."""
-    found = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, similarity: float | None = None, words: int = 4) -> DataFrame:
+    """Id, fp and component_id (the smallest id of the component) of every document.
+
+    Without a similarity, 64-bit fingerprints link within the radius; with one, fingerprints of `words` words link at about that similarity.
+    """
+    found = materialize(fingerprints(docs, id_col, text_col, width, 1 if similarity is None else words), "fingerprints")
     distinct = materialize(found.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    parts = connected_components(link_fingerprints(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    links = link_fingerprints(distinct.select("fp"), radius) if similarity is None else link_wide(distinct.select("fp"), similarity, words)
+    parts = connected_components(links).withColumnRenamed("node", "fp")
     rooted = distinct.join(parts, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return found.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id, with all columns.
+
+    `docs` is a table as read, so that its rows keep their places when they are read again.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    # ids order rows, nulls last; the place tells repeated ids apart
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "_row")
+    found = near_duplicates(rows.select(order.alias("_order"), text_col), "_order", text_col, width, similarity=similarity)
+    others = found.filter(F.col("_order._row") != F.col("component_id._row")).select(F.col("_order._row").alias("_row"))
+    return rows.join(others, "_row", "left_anti").select(docs.columns)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
