@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by name, each with its SQL equivalent where there is one."""
 
-from tarnwell.plans import aggregates, evaluation, inventory, joins, temporal, text
+from tarnwell.plans import aggregates, composites, evaluation, inventory, joins, temporal, text
 from tarnwell.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "evaluation", "inventory", "joins", "temporal", "text"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "composites", "evaluation", "inventory", "joins", "temporal", "text"]
