@@ -9,7 +9,7 @@ The fit uses bounded samples by a hash of the id (`most_positive` trusted
 documents, `most_unlabelled` others, `most_rated` for calibration); scoring
 reads whole texts of all documents.
 
-Edge cases: null and empty texts get the score of a text without features; ids
+Edge cases: null and empty texts get the prior as score, and texts of few words lean to it; ids
 labelled both ways are left out of the fit, repeated equal labels count once;
 without a positive label every score is the prior; repeated rows each give a
 row; extra columns are kept by drop_low_quality() and ignored otherwise.
@@ -26,6 +26,8 @@ from ._common import hash_fraction, id_remainder, raw_bytes, table
 from ._features import hashed_ngrams, root_share, shape_ngrams
 
 THRESHOLD = 0.3
+#: Words at which the text and the prior count alike.
+LEAN = 4.0
 _SHAPES, _TRIGRAMS = 512, 256
 
 
@@ -134,13 +136,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return {"w": w, "a": a, "b": b, "prior": prior}
 
 
+def _logit(p: float) -> float:
+    return float(np.log(p / (1 - p)))
+
+
 def _scores(texts: list[bytes | None], model: dict) -> np.ndarray:
+    """Calibrated probabilities; a text of few words leans to the prior, as it shows little."""
     if model["w"] is None:
         return np.full(len(texts), model["prior"])
     out = np.empty(len(texts))
     for first in range(0, len(texts), 512):
-        z = np.stack([features(t or b"") for t in texts[first : first + 512]]) @ model["w"][:-1] + model["w"][-1]
-        out[first : first + 512] = 1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -30, 30)))
+        x = np.stack([features(t or b"") for t in texts[first : first + 512]])
+        z = model["a"] * (x @ model["w"][:-1] + model["w"][-1]) + model["b"]
+        words = x[:, -1] * np.expm1(10.0 * x[:, -3]) / np.expm1(3.0 * x[:, -2])  # from the statistics: bytes / bytes a word
+        trust = words / (words + LEAN)
+        out[first : first + 512] = 1 / (1 + np.exp(-np.clip(trust * z + (1 - trust) * _logit(model["prior"]), -30, 30)))
     return out
 
 
