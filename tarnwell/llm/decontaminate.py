@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, unused
 
 #: Between words: everything that is not a lower-case letter, a digit or non-ASCII, once A-Z are folded.
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -93,12 +93,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     While the set is small enough to go to every task nothing is shuffled.
     """
-    windows = benchmark_windows(benchmark.withColumn("_item", F.lit(0)), "_item", item_text_col, width)
+    windows = benchmark_windows(benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("text")), "item_id", "text", width)
     texts = windows.select("width", "hash", F.array_join("window", " ").alias("phrase")).distinct()
     if texts.count() > most_broadcast:
-        keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-        bad = scan_benchmark(keyed, benchmark.withColumn("_item", F.lit(0)), "_row", text_col, "_item", item_text_col, width, most_broadcast).filter("n_hit > 0")
-        return keyed.join(bad.select("_row"), "_row", "left_anti").drop("_row").select(docs.columns)
+        place = unused(docs, "_place")
+        keyed = docs.withColumn(place, F.monotonically_increasing_id())
+        items = benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("text"))
+        bad = scan_benchmark(keyed.select(place, F.col(text_col).alias("text")), items, place, "text", width=width, most_broadcast=most_broadcast).filter("n_hit > 0")
+        return keyed.join(bad.select(place), place, "left_anti").select(docs.columns)
     known: dict[int, list] = {}
     for r in texts.collect():
         known.setdefault(r["width"], []).append(r)

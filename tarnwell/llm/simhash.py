@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, raw_bytes, table
+from ._common import materialize, raw_bytes, table, unused
 from ._shards import Forest, connected_components, split_hot, whole_groups
 
 _LANES = np.uint64(0x0101010101010101)
@@ -221,12 +221,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     `docs` is a table as read, so that its rows keep their places when they are read again.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    place = unused(docs, "_row")
+    rows = docs.withColumn(place, F.monotonically_increasing_id())
     # ids order rows, nulls last; the place tells repeated ids apart
-    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "_row")
-    found = near_duplicates(rows.select(order.alias("_order"), text_col), "_order", text_col, width, similarity=similarity)
-    others = found.filter(F.col("_order._row") != F.col("component_id._row")).select(F.col("_order._row").alias("_row"))
-    return rows.join(others, "_row", "left_anti").select(docs.columns)
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(place).alias("row"))
+    found = near_duplicates(rows.select(order.alias("order"), F.col(text_col).alias("text")), "order", "text", width, similarity=similarity)
+    others = found.filter(F.col("order.row") != F.col("component_id.row")).select(F.col("order.row").alias(place))
+    return rows.join(others, place, "left_anti").select(docs.columns)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
