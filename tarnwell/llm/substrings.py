@@ -11,7 +11,7 @@ middle are sure to be parsed alike, whatever stands around it.
 From each symbol on, the symbols of the next 6 to 9 words form a high-level symbol. Those
 that occur once anywhere mark words that no repeated window can hold in its middle. Only
 windows whose middle shares its high-level symbols with another place are then compared
-exactly, by 128-bit names of their 35 words, over all documents.
+exactly, by 96-bit names of their 35 words, over all documents.
 
 Edge cases: null, empty and short texts (under a window) have nothing removed; kept words
 are joined by one space; repeated documents are repeats of each other; null ids stay null;
@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, raw_bytes, slices, table
@@ -100,7 +101,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class WindowNames:
-    """128-bit names of all windows of consecutive words, by two polynomials modulo 2^64."""
+    """Two 64-bit names of all windows of consecutive words, by two polynomials modulo 2^64."""
 
     bases = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B)
 
@@ -190,8 +191,10 @@ def _sha(words: list[bytes]) -> str:
 
 def _release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of steps that are written out."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round frees Python's handles, the second one what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
@@ -208,49 +211,75 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         names_of, bits = WindowNames(), shared.value
         for batch in batches:
             texts = raw_bytes(batch.column(2))
+            n_words, sha, text = [], [], [None] * len(texts)
+            found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for first, words, held, names, ends in _blocks(texts, width):
-                text, start, high, low = ([None] * len(words) for _ in range(4))
-                if held:
-                    key, begin, end = high_symbols(names, ends)
-                    place = (key >> np.uint64(64 - BITS)).astype(np.int64)
-                    is_shared = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-                    maybe = _candidates(is_shared, begin, end, len(names), width, loss)
-                    h, g = names_of(names, width) if len(names) >= width else (names[:0], names[:0])
-                    for k, lo, hi in zip(held, np.append(0, ends[:-1]), ends):
-                        at = np.flatnonzero(maybe[lo : hi - width + 1])
-                        if len(at):
-                            text[k], start[k] = b" ".join(words[k]), at.astype(np.int32)
-                            high[k], low[k] = h[lo + at].view(np.int64), g[lo + at].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, len(words)),
-                        batch.column(1).slice(first, len(words)),
-                        pa.array([len(w) for w in words], pa.int64()),
-                        pa.array([_sha(w) for w in words]),
-                        pa.array(text, pa.binary()),
-                        pa.array(start, pa.list_(pa.int32())),
-                        pa.array(high, pa.list_(pa.int64())),
-                        pa.array(low, pa.list_(pa.int64())),
-                    ],
-                    names=["_row", id_col, "n_words", "sha", "words", "start", "high", "low"],
-                )
-
-    schema = f"_row bigint, `{id_col}` {id_type}, n_words bigint, sha string, words binary, start array<int>, high array<bigint>, low array<bigint>"
+                n_words += [len(w) for w in words]
+                sha += [_sha(w) for w in words]
+                if not held:
+                    continue
+                key, begin, end = high_symbols(names, ends)
+                place = (key >> np.uint64(64 - BITS)).astype(np.int64)
+                is_shared = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+                maybe = _candidates(is_shared, begin, end, len(names), width, loss)
+                for e in ends:  # windows end with their document
+                    maybe[max(0, e - width + 1) : e] = False
+                at = np.flatnonzero(maybe)
+                doc = np.searchsorted(ends, at, "right")
+                high, low = names_of(names, width)
+                for k in np.unique(doc):
+                    text[first + held[k]] = b" ".join(words[held[k]])
+                for into, x in zip(found, (np.array(held)[doc] + first, at - np.append(0, ends)[doc], high[at], low[at] >> np.uint64(32))):
+                    into.append(x)
+            doc, start, high, low = (np.concatenate(x) for x in found)
+            # a window twice in the batch is decided here; one witness of it goes to the others
+            order = np.lexsort((low, high))
+            same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+            twice = np.zeros(len(order), bool)
+            twice[order] = np.append(False, same) | np.append(same, False)
+            head = np.zeros(len(order), bool)
+            head[order] = ~np.append(False, same) if len(order) else head
+            seen = twice & head
+            listed = lambda mask, x, kind: pa.ListArray.from_arrays(np.searchsorted(doc[mask], np.arange(len(texts) + 1)).astype(np.int32), pa.array(x[mask], kind))
+            witness = lambda x, kind: pa.ListArray.from_arrays(np.array([0] + [seen.sum()] * len(texts), np.int32), pa.array(x[seen], kind))
+            h, g = high.view(np.int64), low.astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(n_words, pa.int64()),
+                    pa.array(sha),
+                    pa.array(text, pa.binary()),
+                    listed(twice, start.astype(np.int32), pa.int32()),
+                    listed(~twice, start.astype(np.int32), pa.int32()),
+                    listed(~twice, h, pa.int64()),
+                    listed(~twice, g, pa.int32()),
+                    witness(h, pa.int64()),
+                    witness(g, pa.int32()),
+                ],
+                names=["_row", id_col, "n_words", "sha", "words", "sure", "start", "high", "low", "w_high", "w_low"],
+            )
+
+    schema = f"_row bigint, `{id_col}` {id_type}, n_words bigint, sha string, words binary, sure array<int>, start array<int>, high array<bigint>, low array<int>, w_high array<bigint>, w_low array<int>"
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), id_col, text_col).mapInArrow(windows, schema), "windows")
-    dealt = rows.filter("start is not null").select("_row", F.explode(F.arrays_zip("start", "high", "low")).alias("w")).select("_row", "w.start", "w.high", "w.low")
-    twice = materialize(dealt.groupBy("high", "low").count().filter("count > 1").select("high", "low"), "repeated")
-    _release(spark)
-    marks = dealt.join(twice, ["high", "low"], "left_semi").groupBy("_row").agg(F.collect_list("start").alias("start"))
+    open_ = rows.filter(F.size("start") > 0).select("_row", F.explode(F.arrays_zip("start", "high", "low")).alias("w")).select("_row", "w.start", "w.high", "w.low")
+    told = rows.filter(F.size("w_high") > 0).select(F.explode(F.arrays_zip("w_high", "w_low")).alias("w"))
+    told = told.select(F.lit(None).cast("bigint").alias("_row"), F.lit(None).cast("int").alias("start"), F.col("w.w_high").alias("high"), F.col("w.w_low").alias("low"))
+    # equal windows are neighbours in the order of their names, so one shuffle both counts and places them
+    beside = Window.partitionBy("high").orderBy("low")
+    again = F.coalesce(F.lag("low").over(beside) == F.col("low"), F.lit(False)) | F.coalesce(F.lead("low").over(beside) == F.col("low"), F.lit(False))
+    marks = open_.unionByName(told).withColumn("again", again).filter("again and _row is not null").groupBy("_row").agg(F.collect_list("start").alias("more"))
     marks = materialize(marks, "marks")
+    del open_, told
     _release(spark)
 
     def cut(batches):
         for batch in batches:
             removed, kept = [], []
-            for text, start in zip(batch.column(2).to_pylist(), batch.column(3)):
+            for text, sure, more in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
                 words = text.split()
                 cover = np.zeros(len(words) + 1, np.int64)
-                at = start.values.to_numpy()
+                at = np.concatenate([x.values.to_numpy() for x in (sure, more) if x.is_valid])
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + width, -1)
                 gone = np.cumsum(cover[:-1]) > 0
@@ -261,11 +290,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=[id_col, "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    held = rows.filter("start is not null").select("_row", id_col, "n_words", "sha", "words").join(marks, "_row", "left")
-    hit = held.filter(F.col("start").isNotNull()).select(id_col, "n_words", "words", "start")
+    held = rows.filter("words is not null").select("_row", id_col, "n_words", "sha", "words", "sure").join(marks, "_row", "left")
+    hit = held.filter("more is not null or size(sure) > 0").select(id_col, "n_words", "words", "sure", "more")
     cleaned = hit.mapInArrow(cut, f"`{id_col}` {id_type}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     same = lambda df: df.select(id_col, "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
-    return cleaned.unionByName(same(held.filter(F.col("start").isNull()))).unionByName(same(rows.filter("start is null")))
+    return cleaned.unionByName(same(held.filter("more is null and size(sure) = 0"))).unionByName(same(rows.filter("words is null")))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ _TYPES = {"page_id": pa.int64(), "url": pa.string(), "date": pa.string(), "mime"
 
 
 def _member(data: bytes) -> bytes:
-    made = zlib.compressobj(1, zlib.DEFLATED, 31)
+    made = zlib.compressobj(6, zlib.DEFLATED, 31)
     return made.compress(data) + made.flush()
 
 
@@ -145,8 +145,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_arc(spark: SparkSession, path: str, batch_bytes: int = 4 << 20) -> DataFrame:
-    """file, at, page_id, url, date, mime, http, payload, digest and bytes of every record of the ARC files."""
+def read_arc(spark: SparkSession, path: str, batch_bytes: int = 4 << 20, packed: bool = False) -> DataFrame:
+    """file, at, page_id, url, date, mime, http, payload (deflated, if packed), digest and bytes of every record of the ARC files."""
 
     def parse(batches):
         for batch in batches:
@@ -155,7 +155,7 @@ def read_arc(spark: SparkSession, path: str, batch_bytes: int = 4 << 20) -> Data
                 for r in parse_arc(content):
                     http, payload = _split_http(r.pop("body"))
                     page = _header(http, b"X-Page-Id")
-                    held.append(r | {"page_id": int(page) if page else None, "http": http, "payload": payload, "digest": base32_sha1(payload), "bytes": len(payload)})
+                    held.append(r | {"page_id": int(page) if page else None, "http": http, "payload": zlib.compress(payload, 6) if packed else payload, "digest": base32_sha1(payload), "bytes": len(payload)})
                     size += len(payload)
                     if size >= batch_bytes:
                         yield _records(name, held)
@@ -189,11 +189,11 @@ def warc_record(kind: str, identity: str, date: str, url: str | None, block: byt
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def convert(records: DataFrame, path: str, least: int = 0, segment_bytes: int = 32 << 20) -> None:
-    """ARC records as WARC files. The response of each digest is found by an aggregation, which groups of any size pass."""
+def convert(records: DataFrame, path: str, least: int = 0, segment_bytes: int = 32 << 20, packed: bool = False) -> None:
+    """ARC records (payloads deflated, if packed, which halves the shuffle) as WARC files. The response of each digest is found by an aggregation, which groups of any size pass."""
     place = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "at", "url", "date")
-    first = records.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min(place).alias("first"))
-    marked = records.join(first, (records["digest"] == first["digest"]) & (records["bytes"] >= least), "left").drop(first["digest"])
+    first = records.filter(F.col("bytes") >= least).groupBy(F.col("digest").alias("_digest")).agg(F.min(place).alias("first"))
+    marked = records.join(first, (F.col("digest") == F.col("_digest")) & (F.col("bytes") >= least), "left")
     own = (F.col("first.file") == F.col("file")) & (F.col("first.at") == F.col("at"))
     marked = marked.select("page_id", "url", "date", "mime", "http", "payload", "digest", "bytes", F.when(~own, F.col("first")).alias("first"))
 
@@ -208,8 +208,9 @@ def convert(records: DataFrame, path: str, least: int = 0, segment_bytes: int =
                 identity, first = record_id(r["page_id"], r["url"], r["date"], r["digest"]), r["first"]
                 mime = "application/http; msgtype=response" if r["http"] else r["mime"]
                 if first is None:
+                    payload = zlib.decompress(r["payload"]) if packed else r["payload"]
                     head = r["http"] + _CRLF + _CRLF if r["http"] else b""
-                    made = warc_record("response" if r["http"] else "resource", identity, warc_date(r["date"]), r["url"], head + r["payload"], mime, digest)
+                    made = warc_record("response" if r["http"] else "resource", identity, warc_date(r["date"]), r["url"], head + payload, mime, digest)
                 else:
                     refers = [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(first["page_id"], first["url"], first["date"], r["digest"]))]
                     refers += [("WARC-Refers-To-Target-URI", first["url"]), ("WARC-Refers-To-Date", warc_date(first["date"])), ("X-Payload-Length", str(r["bytes"]))]
@@ -258,7 +259,7 @@ def archive_pages(pages: DataFrame, least: int = 0, segment_bytes: int = 32 << 2
     spark = pages.sparkSession
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     write_arc(pages, arc, segment_bytes=segment_bytes)
-    convert(read_arc(spark, arc), warc, least, segment_bytes)
+    convert(read_arc(spark, arc, packed=True), warc, least, segment_bytes, packed=True)
     return read_warc(spark, warc, payloads)
 
 
