@@ -6,19 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import forget, materialize
 
 
-def split_hot(rows: DataFrame, key: str, spread: str, most: int) -> DataFrame:
+def split_hot(rows: DataFrame, key: str, spread: str, most: int, weight: Column | None = None) -> DataFrame:
     """Give each row the column `shard`, and `side`: 0 where all rows of a shard are compared with each other.
 
-    A key with over `most` rows is cut into chunks by a hash of `spread`; each pair of
+    A key with over `most` rows (or that sum of `weight`) is cut into chunks by a hash of `spread`; each pair of
     chunks becomes a shard of its own, whose rows of side 1 are compared with those of side 2.
     """
-    hot = rows.groupBy(key).count().filter(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_chunks"))
+    hot = rows.groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("count")).filter(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_chunks"))
     if hot.isEmpty():
         return rows.withColumns({"shard": F.xxhash64(key), "side": F.lit(0).cast("byte")})
     marked = rows.join(hot, key, "left").withColumn("_own", F.pmod(F.xxhash64(spread, F.lit(most)), F.coalesce("_chunks", F.lit(1))).cast("int"))

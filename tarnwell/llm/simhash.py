@@ -9,10 +9,12 @@ A shard gives just enough links to connect what it connects, never all pairs, an
 hot shard is cut into pairs of chunks. Components are found by star contraction.
 
 Similarities such as 0.8 of five-word shingles differ in too many bits of 64 for blocks. For
-these, fingerprints of `words` times 64 bits (the further words mix each shingle's hash)
-are dealt into shards by samples of their bits in several tables, whose numbers follow
+these, fingerprints of `words` times 64 bits (the further words mix each shingle's hash) of the sets
+of distinct shingles are dealt into shards by samples of their bits in several tables, whose numbers follow
 from the number of fingerprints and the recall wanted for pairs exactly at the similarity; the radius
-is the expected distance at the similarity plus one standard deviation.
+is the expected distance at the similarity plus three standard deviations. Fingerprints only propose:
+inside each component of theirs the distinct shingle sets are compared exactly, and only pairs that
+reach the similarity become links.
 
 Edge cases: a null, empty or blank text has fingerprint 0 and links like any other;
 a text of fewer words than a shingle is one shingle; null ids are members but never
@@ -22,6 +24,7 @@ gives an empty result; extra columns are ignored, or kept by keep_one().
 
 from __future__ import annotations
 
+import functools
 import math
 from itertools import combinations
 
@@ -38,19 +41,26 @@ _LANES = np.uint64(0x0101010101010101)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: bytes, width: int = 4, words: int = 1, piece: int = 1 << 16) -> np.ndarray:
-    """The SimHash of a text's word shingles, `words` times 64 bits."""
+def _digests(text: bytes, width: int, piece: int = 1 << 16):
+    """The XXH64 of a text's word shingles, in pieces."""
     found = text.lower().split()
     if not found:
-        return np.zeros(words, np.uint64)
+        return
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     first = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(found) - width + 1)
     starts, stops = first[:n].tolist(), ends[len(found) - n :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros((words, 64), np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, piece):
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at : at + piece], stops[at : at + piece])], dtype=np.uint64)
+        yield np.array([digest(joined[s:e], 42) for s, e in zip(starts[at : at + piece], stops[at : at + piece])], dtype=np.uint64)
+
+
+def _majority(pieces, words: int) -> np.ndarray:
+    """The bits that most of the hashes have, `words` times 64."""
+    ones, n = np.zeros((words, 64), np.int64), 0
+    for h in pieces:
+        n += len(h)
         for k in range(words):
             g = h if k == 0 else _mix(h + np.uint64(k) * _STEP)
             g = np.concatenate([g, np.zeros(-len(g) % 255, np.uint64)]).reshape(-1, 255)
@@ -60,23 +70,47 @@ def fingerprint(text: bytes, width: int = 4, words: int = 1, piece: int = 1 << 1
     return ((2 * ones > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def fingerprint(text: bytes, width: int = 4, piece: int = 1 << 16) -> np.ndarray:
+    """The SimHash of a text's word shingles."""
+    return _majority(_digests(text, width, piece), 1)
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_digests(text, width)]))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, words: int = 1) -> DataFrame:
-    """Id and fingerprint (a signed long for one word, else binary) of every document."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """Id and fingerprint of every document."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t or b"", width, words) for t in raw_bytes(batch.column(1))]
-            fp = pa.array([int(x) for x in np.concatenate(found).view(np.int64)] if found else [], pa.int64()) if words == 1 else pa.array([x.tobytes() for x in found], pa.binary())
+            found = [fingerprint(t or b"", width) for t in raw_bytes(batch.column(1))]
+            fp = pa.array([int(x) for x in np.concatenate(found).view(np.int64)] if found else [], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=[id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp {'bigint' if words == 1 else 'binary'}")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp bigint")
+
+
+def set_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, piece: int = 1 << 16) -> DataFrame:
+    """Id, fingerprint of the set of distinct shingles (binary) and digest of that set for every document."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t or b"", width) for t in raw_bytes(batch.column(1))]
+            fps = [_majority((x[at : at + piece] for at in range(0, len(x), piece)), words).tobytes() for x in sets]
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(digests, pa.binary())], names=[id_col, "fp", "set"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp binary, set binary")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,13 +215,28 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def link_wide(distinct: DataFrame, similarity: float, words: int, recall: float = 0.98, most: int = 8192, seed: int = 3) -> DataFrame:
-    """Links (a, b) between wide fingerprints of column fp (binary), by samples of bits in several tables."""
-    share, bits = differing_share(similarity), 64 * words
+@functools.cache
+def most_differing_share(similarity: float, most: int = 40) -> float:
+    """The largest expected share of differing bits at that Jaccard similarity or above: small sets have ties and differ more than large ones."""
+    half = lambda n: [math.comb(n, k) / 2**n for k in range(n + 1)]
+    share = differing_share(similarity)
+    for union in range(1, most + 1):
+        apart = math.floor(union * (1 - similarity) + 1e-9)
+        for a in range(apart + 1):
+            b, c = apart - a, union - apart
+            bit = lambda own, both: sum(p for k, p in enumerate(half(own)) if 2 * (both + k) > own + c)  # noqa: B023, E731
+            ones = [(p, bit(a, both), bit(b, both)) for both, p in enumerate(half(c))]
+            share = max(share, sum(p * (x + y - 2 * x * y) for p, x, y in ones))
+    return share
+
+
+def link_wide(distinct: DataFrame, similarity: float, words: int, recall: float = 0.99, most: int = 8192, seed: int = 3) -> DataFrame:
+    """Links (a, b) between wide fingerprints of column fp (binary), by samples of bits in several tables: a connection of all that may be similar."""
+    share, bits = most_differing_share(similarity), 64 * words
     n = distinct.count()
-    width = max(12, math.ceil(math.log2(max(n, 2))) - 4)
+    width = max(8, math.ceil(math.log2(max(n, 2))) - 7)
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** width))
-    radius = math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+    radius = math.floor(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     rng = np.random.default_rng(seed)
     places = np.stack([rng.choice(bits, width, replace=False) for _ in range(tables)])
 
@@ -202,31 +251,105 @@ def link_wide(distinct: DataFrame, similarity: float, words: int, recall: float
     return _link_shards(distinct.select("fp").mapInArrow(deal, "fp binary, key bigint"), radius, words, most)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, similarity: float | None = None, words: int = 4) -> DataFrame:
-    """Id, fp and component_id (the smallest id of the component) of every document.
+def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets that connect all pairs whose Jaccard similarity reaches `similarity`, by exact intersections.
 
-    Without a similarity, 64-bit fingerprints link within the radius; with one, fingerprints of `words` words link at about that similarity.
+    Sets are of distinct values, ascending. Each one is compared with those that nothing has reached yet, so sets that are all alike take one pass.
     """
-    found = materialize(fingerprints(docs, id_col, text_col, width, 1 if similarity is None else words), "fingerprints")
+    order = np.array(sorted(range(len(sets)), key=lambda k: len(sets[k])))
+    codes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    sizes = np.array([len(sets[k]) for k in order])
+    ends = np.cumsum(sizes)
+    mark, free, links = np.zeros(int(codes.max(initial=-1)) + 1, np.uint8), np.ones(len(sets), bool), []
+    # those compared with, smallest first: places, sizes, bounds of their codes
+    ids, n, bounds, those = np.arange(len(sets)), sizes, np.concatenate([[0], ends]), codes
+    for start in range(len(sets)):
+        if not free[start] or not sizes[start]:
+            continue
+        free[start], todo = False, [start]
+        while todo:
+            x = todo.pop()
+            if 2 * free[ids].sum() < len(ids):
+                stay = free[ids]
+                those, ids, n = those[np.repeat(stay, n)], ids[stay], n[stay]
+                bounds = np.concatenate([[0], np.cumsum(n)])
+            lo, hi = np.searchsorted(n, similarity * sizes[x] - 1e-6), np.searchsorted(n, sizes[x] / similarity + 1e-6, side="right")
+            if lo == hi:
+                continue
+            own = codes[ends[x] - sizes[x] : ends[x]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[those[bounds[lo] : bounds[hi]]], bounds[lo:hi] - bounds[lo], dtype=np.int64)
+            mark[own] = 0
+            near = ids[lo:hi][(shared * (1 + similarity) >= similarity * (sizes[x] + n[lo:hi]) - 1e-6) & free[ids[lo:hi]]]
+            free[near] = False
+            links += [(int(order[x]), int(order[y])) for y in near]
+            todo += near.tolist()
+    return links
+
+
+def link_sets(members: DataFrame, similarity: float, width: int, most: int = 1 << 19) -> DataFrame:
+    """Links (a, b) of the sets (columns set, root, text) of a root, verified on their shingles; a root of over `most` shingles is cut into pairs of chunks."""
+
+    def hashes(batches):
+        for batch in batches:
+            grams = [shingle_set(t or b"", width).tobytes() for t in raw_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.binary())], names=["set", "root", "grams"])
+
+    grams = materialize(members.select("set", "root", "text").mapInArrow(hashes, "set binary, root binary, grams binary"), "grams")
+    shards = split_hot(grams, "root", "set", most, F.length("grams") / 8).select("shard", "set", "grams").repartition("shard").sortWithinPartitions("shard")
+
+    def link(batches):
+        for rows, bounds in whole_groups(batches, ["shard"]):
+            names, grams, pairs = rows.column("set"), rows.column("grams"), []
+            for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if last - first > 1:
+                    sets = [np.frombuffer(x, np.uint64) for x in grams.slice(first, last - first).to_pylist()]
+                    pairs += [(first + a, first + b) for a, b in similar_sets(sets, similarity)]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(x, pa.int64())).combine_chunks() for x in zip(*pairs)], names=["a", "b"])
+
+    return shards.mapInArrow(link, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """Id, fp and component_id (the smallest id of the component) of every document; 64-bit fingerprints link within the radius."""
+    found = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = materialize(found.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    links = link_fingerprints(distinct.select("fp"), radius) if similarity is None else link_wide(distinct.select("fp"), similarity, words)
-    parts = connected_components(links).withColumnRenamed("node", "fp")
-    rooted = distinct.join(parts, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    named = _named(distinct, "fp", link_fingerprints(distinct.select("fp"), radius))
     return found.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def _named(distinct: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """Key and component_id, the smallest `first` of its component."""
+    rooted = _rooted(distinct, key, links)
+    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(key, "component_id")
+
+
+def _rooted(distinct: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """The rows with `root`, the smallest key of the component."""
+    parts = connected_components(links).withColumnRenamed("node", key)
+    return distinct.join(parts, key, "left").select(*distinct.columns, F.coalesce("component", key).alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id, with all columns.
 
+    A group is connected by pairs whose sets of shingles have at least that Jaccard similarity.
     `docs` is a table as read, so that its rows keep their places when they are read again.
     """
     place = unused(docs, "_row")
     rows = docs.withColumn(place, F.monotonically_increasing_id())
     # ids order rows, nulls last; the place tells repeated ids apart
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(place).alias("row"))
-    found = near_duplicates(rows.select(order.alias("order"), F.col(text_col).alias("text")), "order", "text", width, similarity=similarity)
-    others = found.filter(F.col("order.row") != F.col("component_id.row")).select(F.col("order.row").alias(place))
+    found = materialize(set_fingerprints(rows.select(order.alias("order"), F.col(text_col).alias("text")), "order", "text", width, words), "fingerprints")
+    distinct = materialize(found.groupBy("set").agg(F.min("fp").alias("fp"), F.min("order").alias("first")), "distinct")
+    maybe = materialize(_rooted(distinct, "fp", link_wide(distinct.select("fp").distinct(), similarity, words)), "candidates")
+    several = maybe.groupBy("root").count().filter("count > 1").select("root")
+    members = maybe.join(several, "root", "left_semi").select(F.col("first.row").alias("row"), "set", "root")
+    texts = rows.select(F.col(place).alias("row"), F.col(text_col).alias("text"))
+    links = link_sets(texts.join(members, "row"), similarity, width)
+    named = _named(distinct, "set", links)
+    others = found.join(named, "set").filter(F.col("order.row") != F.col("component_id.row")).select(F.col("order.row").alias(place))
     return rows.join(others, place, "left_anti").select(docs.columns)
 
 

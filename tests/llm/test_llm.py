@@ -265,6 +265,38 @@ def test_keep_one_drops_near_copies_only(spark, tmp_path):
     assert sorted(r.doc_id for r in kept) == list(range(12)) and kept[0]._row == kept[0].doc_id
 
 
+def test_keep_one_decides_at_the_similarity(spark, tmp_path):
+    rng = random.Random(6)
+    fresh = iter(range(10**6))
+    text = lambda n: [f"v{next(fresh)}" for _ in range(n)]
+    rows, goes = [], set()
+    for n in (4, 36, 400):  # shingles that both share; n / 4 more on one side is exactly 0.8, one more is below
+        for extra in [n // 4] * 30 + [n // 4 + 1] * 30:
+            a = text(n + 4)
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(a + text(extra)))]
+            goes |= {len(rows) - 1} if extra == n // 4 else set()
+    line = " ".join(text(12))  # one line repeated: equal majorities, few shingles in common
+    for _ in range(4):
+        rows.append((len(rows), " ".join([line] * 300 + text(60))))
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    gone = {d for d, _ in rows} - {r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+    assert gone <= goes  # nothing below goes, ever
+    assert len(gone) >= 0.95 * len(goes)
+
+
+def test_similar_sets_against_brute_force():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 40), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 5), dtype=np.uint64)])) for _ in range(150)] + [np.zeros(0, np.uint64)]
+    want = brute_components([set(x.tolist()) for x in sets], lambda a, b: a and b and len(a & b) >= 0.8 * len(a | b))
+    forest = _shards.Forest(len(sets))
+    a, b = np.array(simhash.similar_sets(sets, 0.8)).T
+    forest.add(a, b)
+    assert forest.label().tolist() == want
+    assert all(len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 0.8 * len(set(sets[i].tolist()) | set(sets[j].tolist())) for i, j in zip(a, b))
+
+
 def test_simhash_of_nothing(none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
