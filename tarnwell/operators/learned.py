@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
@@ -40,6 +42,26 @@ def fit_classifier(train: DataFrame, kind: str, target: str, categorical: list[s
     return Pipeline(stages=[*prepare(categorical, numeric), made]).fit(ready)
 
 
+def fit_boosted(train: DataFrame, validation: DataFrame, target: str, categorical: list[str], numeric: list[str], iterations: int = 500, depth: int = 6, rate: float = 0.04, seed: int = 42) -> PipelineModel:
+    """Boosted trees: all iterations are fitted, then as many kept as have the least loss on the validation rows (all without such rows).
+
+    Spark's own early stopping ends at the first iteration without gain, so the best number is looked up in the whole run.
+    """
+    context = train.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():  # a long run needs its lineage cut
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tarnwell-"))
+    fit = lambda n: fit_classifier(train, "gbt", target, categorical, numeric, seed=seed, maxIter=n, maxDepth=depth, stepSize=rate)
+    model = fit(iterations)
+    if validation.isEmpty():
+        return model
+    ready = validation.withColumn(target, F.col(target).cast("double"))
+    for x in categorical:
+        ready = ready.withColumn(x, F.coalesce(F.col(x).cast("string"), F.lit("<missing>")))
+    losses = model.stages[-1].evaluateEachIteration(PipelineModel(model.stages[:-1]).transform(ready))
+    best = 1 + min(range(len(losses)), key=lambda k: losses[k])
+    return model if best == iterations else fit(best)
+
+
 def predict(model: PipelineModel, df: DataFrame, categorical: list[str], name: str = "p") -> DataFrame:
     """The frame with the probability of class 1."""
     ready = df

@@ -216,13 +216,13 @@ def bootstrap(df: DataFrame, target: str, scores: list[str], metric_share: float
     table = long.groupBy("draw", "score_name", "_s").agg(F.sum(F.col("_w") * F.col(target)).cast("double").alias("pos"), F.sum("_w").cast("double").alias("n"))
     w = Window.partitionBy("draw", "score_name")
     before = w.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
-    t = table.withColumns({"bp": F.coalesce(F.sum("pos").over(before), F.lit(0.0)), "bn": F.coalesce(F.sum("n").over(before), F.lit(0.0)), "P": F.sum("pos").over(w), "N": F.sum("n").over(w)})
+    t = table.withColumns({"bp": F.coalesce(F.sum("pos").over(before), F.lit(0.0)), "bn": F.coalesce(F.sum("n").over(before), F.lit(0.0)), "all_pos": F.sum("pos").over(w), "all_n": F.sum("n").over(w)})
     neg = F.col("n") - F.col("pos")
-    k = F.greatest(F.lit(1.0), F.ceil(F.col("N") * metric_share).cast("double"))
+    k = F.greatest(F.lit(1.0), F.ceil(F.col("all_n") * metric_share).cast("double"))
     taken = F.greatest(F.lit(0.0), F.least(F.col("n"), k - F.col("bn")))
     per = t.groupBy("draw", "score_name").agg(
-        F.try_divide(F.sum(F.col("pos") * (F.col("N") - F.col("P") - (F.col("bn") - F.col("bp")) - neg / 2)), F.max(F.col("P") * (F.col("N") - F.col("P")))).alias("auc"),
-        F.try_divide(F.sum(F.col("pos") * taken / F.col("n")) / F.max(k), F.max(F.col("P") / F.col("N"))).alias("lift"),
+        F.try_divide(F.sum(F.col("pos") * (F.col("all_n") - F.col("all_pos") - (F.col("bn") - F.col("bp")) - neg / 2)), F.max(F.col("all_pos") * (F.col("all_n") - F.col("all_pos")))).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * taken / F.col("n")) / F.max(k), F.max(F.col("all_pos") / F.col("all_n"))).alias("lift"),
     )
     per = per.filter("auc is not null and lift is not null")
     base = per.filter(F.col("score_name") == scores[0]).select("draw", F.col("auc").alias("_a"), F.col("lift").alias("_l"))

@@ -205,3 +205,27 @@ def test_sample_size_and_sticky_arms(spark):
     assert 20000 < X.sample_size(0.2, 0.05) < 30000
     ids = spark.range(10000)
     assert abs(U.srm_z(ids.select(X.sticky_arm("s", F.col("id")).alias("arm")), "arm").first().z) < 3
+
+
+def test_bootstrap_draws_and_centre(spark):
+    from tarnwell.plans import QUERIES
+    from tarnwell.plans.registry import scored
+    from tests.conftest import DATA
+
+    point = M.ranking_metrics(scored(spark, DATA), "y", "p").first()
+    got = {r.score_name: r for r in QUERIES["bootstrap_intervals"](spark, DATA).collect()}
+    assert all(r.draws == 1000 for r in got.values())
+    assert 0 < got["p"].auc_low < point.roc_auc < got["p"].auc_high < 1
+    assert got["p"].lift_low < point.lift_10 < got["p"].lift_high
+    assert got["p"].d_auc_low == got["p"].d_auc_high == 0
+
+
+def test_boosted_trees_keep_the_best_number(spark):
+    import inspect
+
+    rows = [(k % 100 / 100, k % 7 * 1.0, "ab"[k % 2], int((k % 100 > 50) ^ (k * 7919 % 10 < 2))) for k in range(400)]
+    df = spark.createDataFrame(rows, "x double, z double, c string, y int")
+    model = L.fit_boosted(df.limit(300), df.offset(300), "y", ["c"], ["x", "z"], iterations=12)
+    assert 1 <= model.stages[-1].getNumTrees <= 12 and model.stages[-1].getMaxDepth() == 6
+    assert L.fit_boosted(df, df.filter("false"), "y", ["c"], ["x", "z"], iterations=6).stages[-1].getNumTrees == 6
+    assert inspect.signature(L.fit_boosted).parameters["iterations"].default == 500
