@@ -19,12 +19,14 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder for intermediate tables: spark.checkpoint.dir, or one of our own where that is unset and Spark runs on this machine only."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return own.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         root = "file://" + tempfile.mkdtemp(prefix="tarnwell-", dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(root)
@@ -53,11 +55,23 @@ def _clean() -> None:
             return
 
 
+#: Spark's setting that drops the shuffle files of a query as soon as it has ended.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The shuffle files behind it are dropped once it is written, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -80,6 +94,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows written out with a number of their own in column `name`, which stays the same however often they are read."""
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def raw_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column; nulls stay None."""
     return column.cast(pa.large_binary()).to_pylist()

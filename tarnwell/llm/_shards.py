@@ -27,6 +27,27 @@ def split_hot(rows: DataFrame, key: str, spread: str, most: int, weight: Column
     return dealt.withColumns({"shard": F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")), "side": side}).drop("_chunks", "_own", "_other")
 
 
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, most: int = 500, most_broadcast: int = 200_000) -> DataFrame:
+    """Left join of rows with a table of one row a key, whose column `_n` tells how many rows the key has.
+
+    Keys of over `most` rows are looked up in a broadcast table while there are at most `most_broadcast` of them, and
+    the rows of these keys are dealt out evenly instead of by key. Beyond that number, Spark's own skew handling is left to it.
+    """
+    rest = [c for c in per_key.columns if c not in (key, "_n")]
+    hot = per_key.filter(F.col("_n") > most)
+    n_hot = hot.count()
+    if not 0 < n_hot <= most_broadcast:
+        return rows.join(per_key.drop("_n"), key, "left")
+    known = hot.select(key, F.struct(*rest).alias("_hot"))
+    marked = rows.join(F.broadcast(known), key, "left")
+    # 0 for all rows but those of hot keys; an expression, as Spark would drop a constant from the join's key
+    own = F.pmod(F.xxhash64(key), F.lit(1))
+    marked = marked.withColumn("_spread", F.when(F.col("_hot").isNull(), own).otherwise(1 + F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 1)))
+    cold = per_key.filter(F.col("_n") <= most).select(key, F.struct(*rest).alias("_cold")).withColumn("_spread", own)
+    both = marked.join(cold, [key, "_spread"], "left").withColumn("_got", F.coalesce("_hot", "_cold"))
+    return both.select(*rows.columns, *[F.col("_got")[c].alias(c) for c in rest])
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Of rows sorted by `by`: tables of whole groups, and where each group begins, with the end as last entry."""
     rest: list[pa.RecordBatch] = []
@@ -96,13 +117,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = pairs.join(least, pairs["lo"] == least["u"]).select(F.col("hi"), F.col("m").alias("lo")).distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(down.select("hi", F.col("m").alias("lo")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        least = materialize(least.select(F.col("u").alias("lo"), F.least("u", "m").alias("m"), "_n"), "least")
+        large = join_per_key(pairs, least, "lo").select("hi", F.col("m").alias("lo")).distinct()
+        large = materialize(large, "large")
+        down = materialize(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("_n")), "down")
+        small = join_per_key(large, down, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(down.select("hi", F.col("m").alias("lo")))
         after = materialize(small.distinct(), "edges")
         sign = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-        forget(pairs)
+        for done in (pairs, least, large, down):
+            forget(done)
         pairs = after
         if sign == seen:
             break

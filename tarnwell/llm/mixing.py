@@ -9,6 +9,7 @@ once over the histogram of sizes; each step is one job over a table far smaller
 Rates become copies: everyone gets the whole part, and the fractions are filled in the order
 of a stable hash divided by the fraction, up to the target; what is then left is filled with
 single documents from the largest that fits downwards, so that a source ends within a few words of its target.
+The order is summed by slots and blocks of slots, so no task holds a whole source.
 
 Edge cases: null texts and texts without a word have size 0, rate 1 and take nothing; the null
 source is a source of its own and comes last; a source without words has target 0; null ids
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ._common import WORD, forget, hash_fraction, materialize, table
 
-_SLOTS = 1 << 14
+#: Slots of the order in which fractions are filled, and how many of them are summed as one block first.
+_SLOTS, _BLOCK = 1 << 14, 1 << 7
 
 
 def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -32,27 +34,40 @@ def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return materialize(rows, "sizes")
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """The sources with `place`, their number in code-point order, null last: a range sort, then the number of rows before each part."""
+    sorted_ = materialize(sources.sort(F.col("source").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33)
+    counts = {r["part"]: r["n"] for r in sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one row a part of the sort
+    before, total = [], 0
+    for k in sorted(counts):
+        before.append((k, total))
+        total += counts[k]
+    offsets = sources.sparkSession.createDataFrame(before or [(0, 0)], "part bigint, before bigint")
+    return sorted_.join(F.broadcast(offsets), part == F.col("part")).withColumn("place", F.col("before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "part", "before")
+
+
 def targets_of(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, n, source_size, target: words by cycling weights over the sources in code-point order, none above `most` times its size.
 
-    Sharing an excess again and again by weight ends at one level: each source takes
-    the lesser of weight * level and its cap. Sources sorted by cap / weight give the level directly.
-    The windows run over one row a source.
+    The excess over the caps is shared again by weight until none is above: a source takes the lesser of
+    weight * level and its cap, and each round raises the level by what the capped ones can't take. A round is one aggregate of two numbers.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    rated = totals.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))).cast("int") + 1))
-    rated = rated.withColumns({"cap": F.col("source_size") * float(most), "ratio": F.col("source_size") * float(most) / F.col("weight")})
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = F.sum("source_size").over(Window.partitionBy()) * float(share)
-    level = (whole - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    found = rated.withColumn("level", level)
-    # the first source, in that order, that the level leaves under its cap
-    found = found.withColumn("rank", F.row_number().over(order))
-    chosen = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("rank", "level"))).over(Window.partitionBy())["level"]
-    return found.withColumn("target", F.least(F.coalesce(F.col("weight") * chosen, F.col("cap")), F.col("cap"))).select("source", "n", "source_size", "target")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("place"), F.lit(len(weights))).cast("int") + 1)
+    rated = _numbered(totals).select("source", "n", "source_size", weight.alias("weight"), (F.col("source_size") * float(most)).alias("cap"))
+    rated = materialize(rated, "weights")
+    sums = rated.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    whole, level, capped = float(share) * float(sums["words"] or 0), 0.0, -1
+    if whole:
+        level = whole / sums["weight"]
+        while True:
+            over = F.col("weight") * level >= F.col("cap")
+            now = rated.agg(F.sum(over.cast("long")).alias("n"), F.sum(F.when(over, F.col("cap")).otherwise(0.0)).alias("cap"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("weight")).first()
+            if now["n"] == capped or not now["weight"]:
+                break
+            capped, level = now["n"], max(level, (whole - now["cap"]) / now["weight"])
+    return rated.select("source", "n", "source_size", F.least(F.col("weight") * level, F.col("cap")).alias("target"))
 
 
 def _rate(size: Column, multiplier: Column, mean: Column, most: float) -> Column:
@@ -104,8 +119,32 @@ def balance(sizes: DataFrame, targets: DataFrame, most: float = 2.0, tolerance:
     return state.select("source", "source_size", "target", "mean", F.when(F.col("full"), F.lit(1e6)).otherwise(F.round("multiplier", 9)).alias("multiplier"))
 
 
-def copies_of(sizes: DataFrame, solved: DataFrame, most: float = 2.0, picks: int = 6) -> DataFrame:
-    """_row, id, source, size, source_size, target, rate, copies: whole copies whose words meet the targets."""
+def _edge(slots: DataFrame, room: DataFrame) -> DataFrame:
+    """source, room, filled and edge of each source: the slot at which its words pass the room, and the words before it.
+
+    `slots` holds source, slot (0 to _SLOTS - 1) and words; `room` holds source, room and filled. Words are summed
+    by blocks of slots first and by slot inside one block then, so a source's rows of either window are at most 128.
+    """
+    per = materialize(slots.groupBy("source", "slot").agg(F.sum("words").alias("words")), "slots")
+    state = room.withColumn("block", F.lit(None).cast("long"))
+    for width in (_BLOCK, 1):
+        inside = per.withColumnRenamed("source", "_s").join(state, F.col("_s").eqNullSafe(state["source"])).filter(F.col("block").isNull() | (F.floor(F.col("slot") / _BLOCK) == F.col("block")))
+        sums = inside.groupBy("source", F.floor(F.col("slot") / width).alias("at")).agg(F.sum("words").alias("words"), F.max("room").alias("room"), F.max("filled").alias("filled"))
+        upto = F.col("filled") + F.sum("words").over(Window.partitionBy("source").orderBy("at"))
+        found = sums.withColumn("upto", upto).groupBy("source").agg(
+            F.max("room").alias("room"),
+            F.coalesce(F.max(F.when(F.col("upto") <= F.col("room"), F.col("upto"))), F.max("filled")).alias("filled"),
+            F.coalesce(F.min(F.when(F.col("upto") > F.col("room"), F.col("at"))), F.lit(_SLOTS)).alias("block"),
+        )
+        state = materialize(found, "edges")
+    return state.withColumnRenamed("block", "edge")
+
+
+def copies_of(sizes: DataFrame, solved: DataFrame, most: float = 2.0, near: float = 1e-4) -> DataFrame:
+    """_row, id, source, size, source_size, target, rate, copies: whole copies whose words meet the targets.
+
+    Single documents are added until none fits or the rest is under the share `near` of the target.
+    """
     per = solved.withColumnRenamed("source", "_source")
     same = lambda a, b: a.eqNullSafe(b)
     rated = sizes.join(per, same(sizes["source"], per["_source"])).drop("_source")
@@ -113,43 +152,43 @@ def copies_of(sizes: DataFrame, solved: DataFrame, most: float = 2.0, picks: int
     rated = rated.withColumns({"base": F.floor("rate"), "part": F.col("rate") - F.floor("rate")})
     draw = F.when(F.col("id").isNull(), hash_fraction("_row")).otherwise(hash_fraction("id"))
     rated = rated.withColumn("turn", F.when((F.col("part") > 0) & (F.col("size") > 0), draw / F.col("part")))
-    rated = rated.withColumn("slot", F.least(F.floor(F.col("turn") * _SLOTS), F.lit(1 << 40))).drop("multiplier", "mean")
-    rated = materialize(rated, "rated")
-    room = rated.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("size") * F.col("base")).alias("taken"))
-    room = room.select(F.col("source").alias("_s"), F.greatest(F.col("target") - F.col("taken"), F.lit(0.0)).alias("room"))
-    slots = rated.filter("slot is not null").groupBy("source", "slot").agg(F.sum("size").alias("words"))
-    slots = slots.join(room, same(slots["source"], room["_s"])).drop("_s")
-    run = F.sum("words").over(Window.partitionBy("source").orderBy("slot"))
-    slots = slots.withColumn("upto", run)
-    edge = slots.groupBy("source").agg(
-        F.max("room").alias("room"),
-        F.max(F.when(F.col("upto") <= F.col("room"), F.col("upto"))).alias("filled"),
-        F.min(F.when(F.col("upto") > F.col("room"), F.col("slot"))).alias("edge"),
+    # turns have no upper bound, their slots have; rows of a slot are dealt to slots of their own by another hash
+    rated = rated.withColumns(
+        {
+            "slot": F.floor(F.col("turn") / (1 + F.col("turn")) * _SLOTS),
+            "inner": F.when(F.col("turn").isNotNull(), F.floor(hash_fraction(F.lit("inner"), "id", "_row") * _SLOTS)),
+        }
     )
-    edge = materialize(edge.select(F.col("source").alias("_s"), "room", F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce("edge", F.lit(1 << 41)).alias("edge")), "edges")
+    rated = materialize(rated.drop("multiplier", "mean"), "rated")
+    room = rated.groupBy("source").agg(F.greatest(F.max("target") - F.sum(F.col("size") * F.col("base")), F.lit(0.0)).alias("room"), F.lit(0).cast("long").alias("filled"))
+    edge = _edge(rated.filter("slot is not null").select("source", "slot", F.col("size").alias("words")), room).select(F.col("source").alias("_s"), "room", "filled", "edge")
+    # the slot at which a source's target falls is cut once more, and only one slot of that is ordered row by row
     dealt = rated.join(edge, same(rated["source"], edge["_s"]), "left").drop("_s")
-    # only the slot at which a source's target falls is ordered row by row
-    at_edge = dealt.filter("slot = edge")
+    at_edge = materialize(dealt.filter("slot = edge"), "edge-rows")
+    fine = _edge(at_edge.select("source", F.col("inner").alias("slot"), F.col("size").alias("words")), edge.withColumnRenamed("_s", "source").drop("edge"))
+    fine = fine.select(F.col("source").alias("_s"), F.col("filled").alias("filled2"), F.col("edge").alias("edge2"))
+    last = materialize(at_edge.join(fine, same(at_edge["source"], fine["_s"])).drop("_s"), "last-rows")
     line = F.sum("size").over(Window.partitionBy("source").orderBy("turn", F.col("id").asc_nulls_last(), "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at_edge = at_edge.withColumn("extra", (F.col("filled") + line <= F.col("room")).cast("int"))
+    ordered = last.filter("inner = edge2").withColumn("extra", (F.col("filled2") + line <= F.col("room")).cast("int"))
+    placed_ = last.filter("inner <> edge2").withColumn("extra", (F.col("inner") < F.col("edge2")).cast("int"))
     others = dealt.filter("slot is null or slot <> edge or edge is null").withColumn("extra", F.coalesce((F.col("slot") < F.col("edge")).cast("int"), F.lit(0)))
-    filled = materialize(others.unionByName(at_edge).withColumn("copies", F.col("base") + F.col("extra")).drop("slot", "edge", "turn", "filled", "room", "part", "base", "extra"), "filled")
+    named = ["_row", "id", "source", "size", "source_size", "target", "rate", (F.col("base") + F.col("extra")).alias("copies")]
+    filled = materialize(others.select(*named).unionByName(placed_.select(*named)).unionByName(ordered.select(*named)), "filled")
     # what is left of each source's target, filled from the largest document that fits
-    left = filled.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("left"))
+    left = filled.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("left"), (F.max("target") * near).alias("near"))
     spare = filled.filter((F.col("size") > 0) & (F.col("copies") < int(most))).groupBy("source", "size").agg(F.min("_row").alias("_row"))
     spare = materialize(spare, "spare")
-    left, taken = materialize(left.select(F.col("source").alias("_s"), "left"), "left"), None
-    for _ in range(picks):
-        fits = spare.join(left, same(spare["source"], left["_s"])).filter(F.col("size") <= F.col("left")).drop("_s", "left")
+    left, taken = materialize(left.select(F.col("source").alias("_s"), "left", "near"), "left"), None
+    while True:
+        fits = spare.join(left, same(spare["source"], left["_s"])).filter((F.col("size") <= F.col("left")) & (F.col("left") > F.col("near"))).drop("_s", "left", "near")
         if taken is not None:
             fits = fits.join(taken, "_row", "left_anti")
-        pick = fits.groupBy("source").agg(F.max(F.struct("size", "_row")).alias("p")).select("source", "p.size", "p._row")
-        pick = materialize(pick, "picks")
+        pick = materialize(fits.groupBy("source").agg(F.max(F.struct("size", "_row")).alias("p")).select("source", "p.size", "p._row"), "picks")
         if pick.isEmpty():
             break
         taken = pick.select("_row") if taken is None else taken.unionByName(pick.select("_row"))
         p = pick.select(F.col("source").alias("_p"), "size")
-        left = materialize(left.join(p, same(left["_s"], p["_p"]), "left").select("_s", (F.col("left") - F.coalesce("size", F.lit(0))).alias("left")), "left")
+        left = materialize(left.join(p, same(left["_s"], p["_p"]), "left").select("_s", (F.col("left") - F.coalesce("size", F.lit(0))).alias("left"), "near"), "left")
     if taken is not None:
         filled = filled.join(taken.withColumn("_one", F.lit(1)), "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_one", F.lit(0))).drop("_one")
     return filled
