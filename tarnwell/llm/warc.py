@@ -5,13 +5,16 @@ gzipped as the formats ask for; a NUL byte (the writer's line end) pads it, whic
 readers skip. Archives hold about `segment_bytes` of records, so no row outgrows a task.
 
 The ARC reader tells version 1 (URL IP date type length) from version 2 (five more
-fields before the length) by the version block, takes each body by its declared
-length and skips malformed headers up to the next one. The converter makes WARC
+fields before the length) by the version block and takes each body by its declared
+length. Archives may be gzipped record by record, as a whole, or not at all. Junk between gzip members is
+skipped up to the next one that opens; a damaged member gives what can be read of it. A malformed header ends its member; in plain archives reading goes on at
+the next line that is a header whose declared length ends where another header or the file's end stands, so
+words of a body are never taken for a header. A record cut short is kept and marked as truncated. The converter makes WARC
 identifiers (from a digest of what identifies the record), timestamps, types and
 digests. Of records with equal payloads of `least` bytes or more the one with the smallest page id
 is a response, the others are revisits that refer to it.
 
-Edge cases: null html is an empty payload; null urls become "about:blank"; white space in
+Edge cases: very long html is one record of its own; null html is an empty payload; null urls become "about:blank"; white space in
 URLs is percent-encoded; null page ids come after all others when the response is
 chosen; repeated rows each get a record, all but one of them revisits; an empty table gives an empty result;
 extra columns are ignored.
@@ -30,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import raw_bytes, scratch_path, table
+from ._common import materialize, raw_bytes, scratch_path, table
+from ._shards import join_per_key
 
 _ARC1 = b"URL IP-address Archive-date Content-type Archive-length"
 _ARC2 = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 _CRLF = b"\r\n"
-_TYPES = {"page_id": pa.int64(), "url": pa.string(), "date": pa.string(), "mime": pa.string(), "http": pa.binary(), "payload": pa.binary(), "digest": pa.string(), "bytes": pa.int64(), "at": pa.int64()}
+_TYPES = {"page_id": pa.int64(), "url": pa.string(), "date": pa.string(), "mime": pa.string(), "http": pa.binary(), "payload": pa.binary(), "digest": pa.string(), "bytes": pa.int64(), "at": pa.int64(), "truncated": pa.bool_()}
 
 
 def _member(data: bytes) -> bytes:
@@ -43,16 +47,24 @@ def _member(data: bytes) -> bytes:
     return made.compress(data) + made.flush()
 
 
+_GZIP = b"\x1f\x8b\x08"
+
+
 def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """The gzip members of an archive, one at a time; padding ends it."""
-    at = 0
-    while at < len(data) and data[at] == 0x1F:
-        made, out = zlib.decompressobj(31), []
-        while not made.eof and at < len(data):
-            piece = data[at : at + step]
-            out.append(made.decompress(piece))
-            at += len(piece) - len(made.unused_data)
-        yield b"".join(out)
+    """The gzip members of an archive, one at a time; what is no member between them is skipped, and damaged ones give what they hold."""
+    at = data.find(_GZIP)
+    while at >= 0:
+        made, out, begun = zlib.decompressobj(31), [], at
+        try:
+            while not made.eof and at < len(data):
+                piece = data[at : at + step]
+                out.append(made.decompress(piece))
+                at += len(piece) - len(made.unused_data)
+        except zlib.error:
+            at = begun + 1
+        if made.eof or any(out):
+            yield b"".join(out)
+        at = data.find(_GZIP, at)
 
 
 def base32_sha1(data: bytes) -> str:
@@ -86,49 +98,89 @@ def _write(archives: DataFrame, path: str) -> None:
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20200101000000", segment_bytes: int = 32 << 20) -> None:
-    """Pages as ARC files; archives of version 1 and 2 alternate."""
+    """Pages as ARC files, in turn in archives of version 1 and 2; size counts payload bytes, and version 2 names each record's offset in the file."""
 
     def pack(batches):
-        held, size, version = [], 0, 1
+        # two archives are open at a time, one of each version, and pages go to them in turn
+        open_, turn = {1: ([], [0, 0]), 2: ([], [0, 0])}, 0
         for batch in batches:
             ids, urls, bodies = batch.column(0).to_pylist(), raw_bytes(batch.column(1)), raw_bytes(batch.column(2))
             for page, url, html in zip(ids, urls, bodies):
+                version, turn = 1 + turn % 2, turn + 1
+                held, size = open_[version]
                 name = f"part-{version}.arc"
                 if not held:
                     held.append(_member(arc_block(version, name, date.encode())))
-                held.append(_member(arc_record(version, url or b"", date.encode(), b"text/html", 200, http_response(html or b"", page), size, name)))
-                size += len(html or b"")
-                if size >= segment_bytes:
+                    size[1] = len(held[0])
+                held.append(_member(arc_record(version, url or b"", date.encode(), b"text/html", 200, http_response(html or b"", page), size[1], name)))
+                size[0], size[1] = size[0] + len(html or b""), size[1] + len(held[-1])
+                if size[0] >= segment_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
-                    held, size, version = [], 0, 3 - version
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
+                    open_[version] = ([], [0, 0])
+        for held, _ in open_.values():
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
 
     _write(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), html_col).mapInArrow(pack, "archive binary"), path)
 
 
+#: A header line: URL, address, date, type, the five further fields of version 2, length.
+_HEADER = re.compile(rb"(\S+) (\S+) (\d{4,14}) (\S+) (?:(\S+) (\S+) (\S+) (\d+) (\S+) )?(\d+)")
+
+
+def _header_at(data: bytes, at: int) -> tuple[re.Match, int] | None:
+    """The header that stands at a place, and where its body begins."""
+    end = data.find(b"\n", at, at + (1 << 16))
+    m = _HEADER.fullmatch(data[at:end].rstrip(b"\r")) if end >= 0 else None
+    return (m, end + 1) if m else None
+
+
+def _after(data: bytes, begin: int, length: int) -> int | None:
+    """Where the next record begins after a body, if the data ends there or a header follows."""
+    end = begin + length
+    at = end + len(data[end : end + 2]) - len(data[end : end + 2].lstrip(b"\r\n"))
+    return at if end <= len(data) and (at >= len(data) or (at > end and _header_at(data, at))) else None
+
+
+def _resume(data: bytes, at: int) -> int:
+    """Where reading goes on after a malformed header: past its body if it ends with a length that holds, else at the next header whose length does."""
+    begin = data.find(b"\n", at) + 1
+    length = re.search(rb"(\d{1,15})\r?\n$", data[at:begin])
+    after = _after(data, begin, int(length[1])) if length else None
+    if after is not None:
+        return after
+    while 0 < begin < len(data):
+        found = _header_at(data, begin)
+        if found and _after(data, found[1], int(found[0][10])) is not None:
+            return begin
+        begin = data.find(b"\n", begin) + 1
+    return len(data)
+
+
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """Records of one ARC archive, gzipped by record, by declared lengths."""
-    version = None
-    for k, record in enumerate(members(data)):
+    """Records of one ARC archive by declared lengths; `truncated` tells that the body is shorter than declared."""
+    version, n, packed = None, 0, data.startswith(_GZIP) or (b"filedesc://" not in data[:4096] and _GZIP in data)
+    for k, record in enumerate(members(data) if packed else [data.rstrip(b"\0")]):
         at = 0
         while at < len(record):
-            end = record.find(b"\n", at)
-            if end < 0:
-                break
-            fields = record[at:end].split(b" ")
-            at = end + 1
-            if len(fields) not in (5, 10) or not fields[-1].isdigit():
-                continue
-            length = int(fields[-1])
-            body = record[at : at + length]
-            at += length + 1
-            if fields[0].startswith(b"filedesc://"):
-                version = 2 if body.split(b" ", 1)[0] == b"2" else 1
+            if record[at : at + 1] in (b"\n", b"\r"):  # between records
+                at += 1
                 continue
-            if version is None or len(fields) != (5 if version == 1 else 10):
+            found = _header_at(record, at)
+            if not found or (version and (found[0][5] is not None) != (version == 2) and not found[0][1].startswith(b"filedesc://")):
+                if packed and k and at == 0:
+                    break
+                at = _resume(record, at)
                 continue
-            yield {"url": fields[0].decode("utf-8", "replace"), "date": fields[2].decode(), "mime": fields[3].decode("utf-8", "replace"), "body": body, "at": k}
+            m, begin = found
+            length = int(m[10])
+            body = record[begin : begin + length]
+            at = begin + length
+            if m[1].startswith(b"filedesc://"):
+                version = 2 if body.split(b" ", 1)[0] == b"2" else 1
+            elif version is not None:
+                n += 1
+                yield {"url": m[1].decode("utf-8", "replace"), "date": m[3].decode(), "mime": m[4].decode("utf-8", "replace"), "body": body, "at": n, "truncated": len(body) < length}
 
 
 def _split_http(body: bytes) -> tuple[bytes, bytes]:
@@ -166,7 +218,7 @@ def read_arc(spark: SparkSession, path: str, batch_bytes: int = 4 << 20, packed:
     def _records(name, held):
         return pa.RecordBatch.from_arrays([pa.array([name] * len(held)), *[pa.array([r[k] for r in held], t) for k, t in _TYPES.items()]], names=["file", *_TYPES])
 
-    return _files(spark, path).mapInArrow(parse, "file string, page_id bigint, url string, date string, mime string, http binary, payload binary, digest string, bytes bigint, at bigint")
+    return _files(spark, path).mapInArrow(parse, "file string, page_id bigint, url string, date string, mime string, http binary, payload binary, digest string, bytes bigint, at bigint, truncated boolean")
 
 
 def record_id(page_id: int | None, url: str, date: str, digest: str) -> str:
@@ -192,10 +244,12 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def convert(records: DataFrame, path: str, least: int = 0, segment_bytes: int = 32 << 20, packed: bool = False) -> None:
     """ARC records (payloads deflated, if packed, which halves the shuffle) as WARC files. The response of each digest is found by an aggregation, which groups of any size pass."""
     place = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "at", "url", "date")
-    first = records.filter(F.col("bytes") >= least).groupBy(F.col("digest").alias("_digest")).agg(F.min(place).alias("first"))
-    marked = records.join(first, (F.col("digest") == F.col("_digest")) & (F.col("bytes") >= least), "left")
+    # only digests of records that are long enough have a response to refer to
+    keyed = records.withColumn("key", F.when(F.col("bytes") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), "file", F.lit(" "), "at")))
+    first = materialize(keyed.filter(F.col("bytes") >= least).groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("_n")).filter("_n > 1"), "responses")
+    marked = join_per_key(keyed, first, "key")
     own = (F.col("first.file") == F.col("file")) & (F.col("first.at") == F.col("at"))
-    marked = marked.select("page_id", "url", "date", "mime", "http", "payload", "digest", "bytes", F.when(~own, F.col("first")).alias("first"))
+    marked = marked.select("page_id", "url", "date", "mime", "http", "payload", "digest", "bytes", "truncated", F.when(~own, F.col("first")).alias("first"))
 
     def pack(batches):
         held, size = [], 0
@@ -204,7 +258,7 @@ def convert(records: DataFrame, path: str, least: int = 0, segment_bytes: int =
                 if not held:
                     block = b"software: tarnwell ARC converter\r\nformat: WARC File Format 1.1\r\n"
                     held.append(_member(warc_record("warcinfo", record_id(None, "warcinfo", r["date"], r["digest"]), warc_date(r["date"]), None, block, "application/warc-fields", [])))
-                digest = [("WARC-Payload-Digest", "sha1:" + r["digest"])]
+                digest = [("WARC-Payload-Digest", "sha1:" + r["digest"])] + ([("WARC-Truncated", "unspecified")] if r["truncated"] else [])
                 identity, first = record_id(r["page_id"], r["url"], r["date"], r["digest"]), r["first"]
                 mime = "application/http; msgtype=response" if r["http"] else r["mime"]
                 if first is None:

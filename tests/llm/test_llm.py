@@ -178,14 +178,46 @@ def test_warc_round_trip(spark):
         assert (r.record_type, r.refers_to) == (("response", None) if first[pages[r.page_id]] == r.page_id else ("revisit", first[pages[r.page_id]]))
 
 
-def test_arc_versions_and_bad_headers():
-    for version in (1, 2):
-        data = warc._member(warc.arc_block(version, "f.arc", b"20010203040506")) + warc._member(b"not a header\n") + warc._member(warc.arc_record(version, b"http://x/ y", b"20010203040506", b"text/html", 200, b"HTTP/1.0 200 OK\r\n\r\nbody\n1 2 3 4 5", 9, "f.arc")) + b"\0"
-        (record,) = warc.parse_arc(data)
-        assert record["url"] == "http://x/%20y" and record["body"].endswith(b"body\n1 2 3 4 5")
+def arc_pieces(version):
+    """The version block and two records, whose bodies hold lines that look like headers."""
+    date = b"20010203040506"
+    bodies = [b"HTTP/1.0 200 OK\r\n\r\nbody\nhello a 2001 c 7\nhttp://x 0.0.0.0 20010203040506 text/html 3\nabc", b"HTTP/1.0 200 OK\r\n\r\n1 2 3 4 5"]
+    return [warc.arc_block(version, "f.arc", date), *[warc.arc_record(version, b"http://x/%d y" % k, date, b"text/html", 200, x, 9, "f.arc") for k, x in enumerate(bodies)]], bodies
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_gzipped_plain_and_damaged(version):
+    pieces, bodies = arc_pieces(version)
+    read = lambda data: [(r["url"], r["body"], r["truncated"]) for r in warc.parse_arc(data)]
+    whole = [("http://x/0%20y", bodies[0], False), ("http://x/1%20y", bodies[1], False)]
+    packed = [warc._member(x) for x in pieces]
+    assert read(b"".join(packed) + b"\0") == whole
+    assert read(b"".join(pieces)) == read(b"".join(pieces) + b"\0") == whole  # not compressed
+    assert read(warc._member(b"".join(pieces))) == whole  # one member for all
+    assert read(packed[0] + b"junk" + packed[1] + b"\0\0more junk" + packed[2]) == whole
+    assert read(packed[0] + warc._member(b"not a header\nhello a 2001 c 7\nx") + packed[1] + packed[2]) == whole
+    assert read(b"".join(packed[:2]) + packed[2][:-12])[:1] == whole[:1]
+    cut = read(b"".join(pieces)[:-9])
+    assert cut[0] == whole[0] and cut[1][2] and bodies[1].startswith(cut[1][1])
+    broken = pieces[1].replace(b" text/html ", b" ", 1) if version == 1 else pieces[1].replace(b" text/html 200", b" 200", 1)
+    assert read(pieces[0] + broken + pieces[2]) == whole[1:]  # its body is never taken for records
     assert warc.warc_date("20010203040506") == "2001-02-03T04:05:06Z"
 
 
+def test_arc_query_writes_both_versions(spark, tmp_path):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    warc.write_arc(pages, f"{tmp_path}/arc")
+    versions = [next(warc.members(bytes(r.content))).split(b"\n")[1][:1] for r in spark.read.format("binaryFile").load(f"{tmp_path}/arc").collect()]
+    assert set(versions) == {b"1", b"2"}
+
+
+def test_warc_extra_columns_and_long_pages(spark):
+    rows = [(1, "u", "x" * 300_000, "d", 7), (2, "u", None, "e", 8), (2, "u", None, "e", 8), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, at int")
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.archive_pages(pages).collect())
+    assert got == sorted([("1", 300_000, "response", "None"), ("2", 0, "response", "None"), ("2", 0, "revisit", "2"), ("None", 0, "revisit", "2")])
+
+
 def test_warc_least_size_and_nothing(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     assert {r.page_id: r.record_type for r in warc.archive_pages(pages, least=3).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
