@@ -5,9 +5,10 @@ byte n-grams is fitted for each place of the codewords; a text gets the language
 whose codeword has the least logistic loss against the classifiers' outputs, and
 is flagged as ambiguous if the runner-up comes close.
 
-The classifiers are fitted on a bounded sample (`most_per_language` labelled
-documents of each of at most `most_languages` languages, by a hash of the id);
-predictions read whole texts of all documents.
+Every language of the labels gets a codeword. The classifiers are fitted on a bounded sample by a hash of the id:
+`most_per_language` labelled documents of each language, fewer if they would be over `most_rows` in all, but
+`least_per_language` at least. Only the tables of languages and codewords grow, with the number of languages.
+Predictions read whole texts of all documents, very long ones piece by piece.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; with
 no labelled document at all everything is `und`; one language is predicted for
@@ -38,7 +39,7 @@ def has_letter(text: bytes) -> bool:
 
 
 def features(text: bytes) -> np.ndarray:
-    """Shares of byte 1- to 3-grams of a whole text, with words set off by spaces."""
+    """Shares of byte 2- and 3-grams of a whole text, with words set off by spaces."""
     padded = b" " + text + b" "
     third = DIMS // 4
     return np.concatenate([root_share(hashed_ngrams(padded, 2, third)), root_share(hashed_ngrams(padded, 3, DIMS - third))])
@@ -53,7 +54,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         return np.array(columns, dtype=np.float64).T
     rng = np.random.default_rng(seed)
     width, best, found = int(np.ceil(12 * np.log2(n))), -1, None
-    for _ in range(200):
+    for _ in range(max(4, min(200, 40_000 // n))):
         code = rng.choice([-1.0, 1.0], size=(n, width))
         gap = (width - (code @ code.T - 2 * width * np.eye(n)).max()) / 2
         if gap > best and (np.abs(code.sum(0)) < n).all():
@@ -62,13 +63,13 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 
 def _fit(x: np.ndarray, bits: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.3, decay: float = 1e-5) -> np.ndarray:
-    """Logistic classifiers for all places of the code at once, by Adam on the whole sample."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros((x.shape[1], bits.shape[1]), np.float32)
+    """Logistic classifiers for all places of the code at once, by Adam on the whole sample; the last row holds the intercepts."""
+    w = np.zeros((x.shape[1] + 1, bits.shape[1]), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = x @ w
-        g = x.T @ ((-bits / (1 + np.exp(np.clip(bits * z, -30, 30)))) * weight[:, None]).astype(np.float32) + decay * w
+        z = x @ w[:-1] + w[-1]
+        off = ((-bits / (1 + np.exp(np.clip(bits * z, -30, 30)))) * weight[:, None]).astype(np.float32)
+        g = np.concatenate([x.T @ off, off.sum(0, keepdims=True)]) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -80,17 +81,22 @@ def _vectors(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary())], names=["label", "x"])
 
 
-def fit_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_per_language: int = 800, most_languages: int = 200) -> dict:
+def fit_languages(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_per_language: int = 800, least_per_language: int = 8, most_rows: int = 12_000
+) -> dict:
     """Codewords and weights, from a sample of labelled documents of bounded size."""
-    labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    langs = sorted(r["lang"] for r in counts)
+    labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    counts = labelled.groupBy("label").count().collect()  # one row a language
+    langs = sorted(r["label"] for r in counts)
     if not langs:
         return {"langs": [], "code": codewords(0), "w": np.zeros((DIMS + 1, 0), np.float32)}
-    share = F.create_map(*[F.lit(y) for r in counts for y in (r["lang"], min(1.0, most_per_language / r["count"]))])
-    sample = labelled.filter(hash_fraction(F.lit("lang"), id_col) < share[F.col(lang_col)]).select(F.col(lang_col).alias("label"), F.col(text_col).alias("text"))
-    rows = sample.limit(2 * most_per_language * len(langs)).mapInArrow(_vectors, "label string, x binary").toArrow()
-    y = np.array([langs.index(v) for v in rows.column("label").to_pylist()], dtype=np.int64)
+    take = max(least_per_language, min(most_per_language, most_rows // len(langs)))
+    shares = labelled.sparkSession.createDataFrame([(r["label"], min(1.0, take / r["count"])) for r in counts], "label string, share double")
+    sample = labelled.join(shares, "label").filter(hash_fraction(F.lit("lang"), "_id") < F.col("share")).select("label", "text")
+    # many rows of one id are all in or out: the limit bounds them
+    rows = sample.mapInArrow(_vectors, "label string, x binary").limit(2 * take * len(langs)).toArrow()
+    number = {v: k for k, v in enumerate(langs)}
+    y = np.array([number[v] for v in rows.column("label").to_pylist()], dtype=np.int64)
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(len(y), -1)
     code = codewords(len(langs))
     if not len(y):
