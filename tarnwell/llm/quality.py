@@ -2,17 +2,19 @@
 
 A linear scorer over text features is fitted by minimising the non-negative
 unbiased risk: pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)), where P are trusted
-good documents, U is unlabelled web text and pi is the estimated share of good
-text in U. The scores are then calibrated to probabilities.
+good documents, U is unlabelled web text and pi is the share of good text in U. That share is
+estimated from P and U alone: a classifier of P against U is fitted on one half of both, and on the other
+half the share of U over that of P above a threshold, at the threshold with the least upper confidence bound, is
+an estimate of pi (no threshold of a set of good documents can hold less than pi times their share of U). With the
+logistic loss the scores are probabilities of good text themselves. Labels of bad text are not used.
 
 The fit uses bounded samples by a hash of the id (`most_positive` trusted
-documents, `most_unlabelled` others, `most_rated` for calibration); scoring
-reads whole texts of all documents.
+documents, `most_unlabelled` others); scoring reads whole texts of all documents, very long ones piece by piece.
 
 Edge cases: null and empty texts get the prior as score, and texts of few words lean to it; ids
 labelled both ways are left out of the fit, repeated equal labels count once;
-without a positive label every score is the prior; repeated rows each give a
-row; extra columns are kept by drop_low_quality() and ignored otherwise.
+without a positive label every score is 0.5; repeated rows each give a
+row; an empty table gives an empty result; extra columns are kept by drop_low_quality() and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -62,25 +64,57 @@ def _vectors(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary())], names=["label", "x"])
 
 
-def _sample(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and features of a bounded sample, in an order that does not depend on the tasks."""
-    got = rows.mapInArrow(_vectors, "label int, x binary").toArrow()
+def _sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and features of a sample of at most so many rows, in an order that does not depend on the tasks."""
+    got = rows.mapInArrow(_vectors, "label int, x binary").limit(most).toArrow()
     y = np.array(got.column("label").to_pylist(), dtype=np.int64)
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), -1)
     order = np.lexsort((x[:, 2], x[:, 1], x[:, -3], y)) if len(y) else np.arange(0)
     return y[order], x[order]
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _positive_against_all(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic classifier of trusted against unlabelled rows, both sides weighing alike."""
+    w, b = np.zeros(positive.shape[1], np.float32), 0.0
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        gp, gu = (_sigmoid(positive @ w + b) - 1) / len(positive), _sigmoid(unlabelled @ w + b) / len(unlabelled)
+        g = (gp @ positive + gu @ unlabelled + decay * w).astype(np.float32)
+        b -= rate * float(gp.sum() + gu.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, slack: float = 0.01) -> float:
+    """The share of good text in the unlabelled rows, from trusted and unlabelled rows alone."""
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        w = _positive_against_all(positive[k::2], unlabelled[k::2])
+        zp, zu = np.sort(positive[1 - k :: 2] @ w), np.sort(unlabelled[1 - k :: 2] @ w)
+        above_p = 1 - np.searchsorted(zp, zp) / len(zp)
+        above_u = 1 - np.searchsorted(zu, zp) / len(zu)
+        doubt = (1 + slack) * (np.sqrt(np.log(4 / delta) / (2 * len(zu))) + np.sqrt(np.log(4 / delta) / (2 * len(zp))))
+        best = int(((above_u + doubt) / above_p).argmin())
+        found.append(above_u[best] / above_p[best])
+    return float(min(0.98, max(0.02, np.mean(found))))
+
+
 def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights (the last one is the intercept) that minimise the non-negative risk with logistic loss."""
     add = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)])
     p, u = add(positive), add(unlabelled)
     w = np.zeros(p.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         zp, zu = p @ w, u @ w
-        sp, su = sigmoid(zp), sigmoid(zu)
+        sp, su = _sigmoid(zp), _sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         g_negative = u.T @ (su / len(u)) - prior * (p.T @ (sp / len(p)))
         g = prior * (p.T @ ((sp - 1) / len(p))) + g_negative if negative >= 0 else -g_negative
@@ -90,50 +124,27 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return w
 
 
-def _calibrate(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and intercept of a probability of label 1, by Newton steps with a little shrinkage."""
-    a, b = 1.0, 0.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        g = np.array([((p - y) * z).sum() + 1e-2 * (a - 1), (p - y).sum() + 1e-2 * b])
-        q = p * (1 - p)
-        h = np.array([[(q * z * z).sum() + 1e-2, (q * z).sum()], [(q * z).sum(), q.sum() + 1e-2]])
-        step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -2, 2)
-        a = max(a, 1e-3)  # scores stay in the scorer's order
-    return float(a), float(b)
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_positive: int = 4000, most_unlabelled: int = 8000, most_rated: int = 4000) -> dict:
-    """A scorer from the labels given; documents without a label, and all labelled ones, are the unlabelled text."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_positive: int = 4000, most_unlabelled: int = 8000) -> dict:
+    """A scorer from the documents labelled 1; all documents, whatever their labels, are the unlabelled text."""
     rated = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
         .filter(F.col("_id").isNotNull() & F.col("label").isin(0, 1))
         .groupBy("_id")
-        .agg(F.min("label").alias("label"), F.max("label").alias("_most"))
-        .filter("label = _most")
-        .drop("_most")
+        .agg(F.min("label").alias("label"))
+        .filter("label = 1")
     )
-    sums = rated.agg(F.count("*").alias("n"), F.sum("label").alias("good")).first()
-    n, good = sums["n"], sums["good"] or 0
-    prior = min(0.98, max(0.02, (good + 1) / (n + 2)))
+    good = rated.count()
     if not good:
-        return {"w": None, "a": 1.0, "b": 0.0, "prior": prior}
+        return {"w": None, "prior": 0.5}
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter(F.col("_id").isNotNull())
-    at = hash_fraction(F.lit("quality"), "_id")
-    trusted = rated.filter((F.col("label") == 1) & (at < most_positive / good)).limit(2 * most_positive)
-    doubted = rated.filter((F.col("label") == 0) & (at < most_rated / max(1, n - good))).limit(2 * most_rated)
-    # both samples are bounded by their limits, so they may be broadcast
-    picked = texts.join(F.broadcast(trusted.unionByName(doubted)), "_id").select("label", "text")
-    rest = texts.filter(hash_fraction(F.lit("unlabelled"), "_id") < most_unlabelled / max(1, docs.count())).limit(2 * most_unlabelled).select(F.lit(None).cast("int").alias("label"), "text")
-    y, x = _sample(picked)
-    _, u = _sample(rest.select(F.lit(0).alias("label"), "text"))
-    if not (y == 1).any() or not len(u):
-        return {"w": None, "a": 1.0, "b": 0.0, "prior": prior}
-    w = nn_pu(x[y == 1], u, prior)
-    z = x @ w[:-1] + w[-1]
-    a, b = _calibrate(z, y.astype(np.float64))
-    return {"w": w, "a": a, "b": b, "prior": prior}
+    # ids are few after the limit, so they may be broadcast; rows of a repeated id are bounded after the features
+    trusted = rated.filter(hash_fraction(F.lit("quality"), "_id") < most_positive / good).limit(2 * most_positive)
+    _, p = _sample(texts.join(F.broadcast(trusted), "_id").select("label", "text"), 2 * most_positive)
+    _, u = _sample(texts.filter(hash_fraction(F.lit("unlabelled"), "_id") < most_unlabelled / max(1, docs.count())).select(F.lit(0).alias("label"), "text"), 2 * most_unlabelled)
+    if not len(p) or not len(u):
+        return {"w": None, "prior": 0.5}
+    prior = estimate_prior(p, u)
+    return {"w": nn_pu(p, u, prior), "prior": prior}
 
 
 def _logit(p: float) -> float:
@@ -141,13 +152,13 @@ def _logit(p: float) -> float:
 
 
 def _scores(texts: list[bytes | None], model: dict) -> np.ndarray:
-    """Calibrated probabilities; a text of few words leans to the prior, as it shows little."""
+    """Probabilities of good text; a text of few words leans to the prior, as it shows little."""
     if model["w"] is None:
         return np.full(len(texts), model["prior"])
     out = np.empty(len(texts))
     for first in range(0, len(texts), 512):
         x = np.stack([features(t or b"") for t in texts[first : first + 512]])
-        z = model["a"] * (x @ model["w"][:-1] + model["w"][-1]) + model["b"]
+        z = x @ model["w"][:-1] + model["w"][-1]
         words = x[:, -1] * np.expm1(10.0 * x[:, -3]) / np.expm1(3.0 * x[:, -2])  # from the statistics: bytes / bytes a word
         trust = words / (words + LEAN)
         out[first : first + 512] = 1 / (1 + np.exp(-np.clip(trust * z + (1 - trust) * _logit(model["prior"]), -30, 30)))
