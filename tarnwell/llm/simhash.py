@@ -1,10 +1,11 @@
 """SimHash near-duplicates, joined through BK-trees.
 
 A text's fingerprint is the bitwise majority over the XXH64 of its word shingles.
-Two fingerprints within `radius` bits agree on at least two of radius + 2 blocks of
-bits, so each pair of blocks deals the distinct fingerprints into shards and no link
-is lost. Each shard gets a BK-tree (children keyed by their Hamming distance to the
-parent); queries follow only the edges that the triangle inequality leaves open.
+Two fingerprints within `radius` bits agree on at least p of radius + p blocks of
+bits, so equal bits of p blocks deal the distinct fingerprints into shards of about `members` and no link
+is lost; p and the bits taken of a block follow from the number of fingerprints. Each shard gets a BK-tree (children keyed by their Hamming distance to the
+parent, every fingerprint a node) and asks it for the neighbours of its members; a search follows only the edges that the triangle inequality leaves open.
+Trees stay where their shard is: to broadcast them would take the fingerprints of all documents through the driver.
 A shard gives just enough links to connect what it connects, never all pairs, and a
 hot shard is cut into pairs of chunks. Components are found by star contraction.
 
@@ -17,7 +18,7 @@ inside each component of theirs the distinct shingle sets are compared exactly,
 reach the similarity become links.
 
 Edge cases: a null, empty or blank text has fingerprint 0 and links like any other;
-a text of fewer words than a shingle is one shingle; null ids are members but never
+a text of fewer words than a shingle is one shingle; very long texts are hashed piece by piece, whole; null ids are members but never
 name a component (all null: null); repeated rows each give a row; an empty table
 gives an empty result; extra columns are ignored, or kept by keep_one().
 """
@@ -34,8 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, raw_bytes, table, unused
-from ._shards import Forest, connected_components, split_hot, whole_groups
+from ._common import materialize, placed, raw_bytes, table, unused
+from ._shards import Forest, connected_components, join_per_key, split_hot, whole_groups
 
 _LANES = np.uint64(0x0101010101010101)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -118,59 +119,77 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-class BKTree:
-    """A BK-tree over points of one or more 64-bit words, built and searched for many points at once."""
+class BKTrees:
+    """BK-trees over points of one or more 64-bit words, one tree a group, built and searched for many points at once.
 
-    leaf = 48
+    Every member is a node. A node's children are keyed by their distance to it, and all that hangs below a
+    child has that distance too. `asked` counts the distances that searches computed.
+    """
 
-    def __init__(self, points: np.ndarray, members: np.ndarray):
-        self.points = points
-        self.root = self._node(members)
-        todo = [self.root] if self.root[0] is not None else []
-        while todo:
-            node = todo.pop()
-            for edge, child in node[1].items():
-                node[1][edge] = made = self._node(child)
-                if made[0] is not None:
-                    todo.append(made)
-
-    def _node(self, members: np.ndarray) -> tuple:
-        """(parent, {distance: members}) or (None, members) for a leaf."""
-        if len(members) <= self.leaf:
-            return None, members
-        away = _distance(self.points[members[1:]], self.points[members[0]])
-        return members[0], {int(d): members[1:][away == d] for d in np.unique(away)}
-
-    def search(self, queries: np.ndarray, radius: int):
-        """Yields (queries, members) that are within the radius, in blocks."""
-        todo = [(self.root, queries)]
+    def __init__(self, points: np.ndarray, members: np.ndarray, group: np.ndarray):
+        """`group` (0 to groups - 1) of each member; members of a group are not empty."""
+        self.points, self.fan, self.asked = points, 64 * points.shape[1] + 1, 0
+        own = np.full(len(points), -1, np.int64)  # parent * fan + edge
+        order = np.argsort(group, kind="stable")
+        waiting, place, self.roots = members[order], group[order].astype(np.int64), None
+        while self.roots is None or len(waiting):
+            # of those that wait at a place the first becomes its node, the others move on to the child at their distance
+            first = np.ones(len(waiting), bool)
+            first[1:] = place[1:] != place[:-1]
+            nodes = waiting[first]
+            if self.roots is None:
+                self.roots = nodes
+            else:
+                own[nodes] = place[first]
+            at = nodes[np.cumsum(first) - 1][~first]
+            waiting = waiting[~first]
+            place = at * self.fan + _distance(points[waiting], points[at])
+            order = np.argsort(place, kind="stable")
+            waiting, place = waiting[order], place[order]
+        self.kids = np.argsort(own, kind="stable")[np.count_nonzero(own < 0) :]
+        self.keys = own[self.kids]
+
+    def search(self, queries: np.ndarray, nodes: np.ndarray, radius: int, piece: int = 1 << 16):
+        """Yields (queries, members) within the radius, in blocks, from the node given for each query downwards."""
+        todo = [(queries[at : at + piece], nodes[at : at + piece]) for at in range(0, len(queries), piece)]
         while todo:
-            (parent, below), q = todo.pop()
-            if parent is None:
-                for at in range(0, len(q), 4096):
-                    part = q[at : at + 4096]
-                    hit = _distance(self.points[part][:, None], self.points[below][None]) <= radius
-                    a, b = np.nonzero(hit)
-                    yield part[a], below[b]
-                continue
-            away = _distance(self.points[q], self.points[parent])
-            near = q[away <= radius]
-            yield near, np.full(len(near), parent)
-            for edge, child in below.items():
-                some = q[np.abs(away - edge) <= radius]
-                if len(some):
-                    todo.append((child, some))
-
-
-def _block_keys(fp: Column, blocks: int) -> Column:
-    """One key for each pair of blocks of bits."""
-    size, more = divmod(64, blocks)
-    widths = [size + (k < more) for k in range(blocks)]
-    parts, at = [], 0
-    for width in widths:
-        parts.append(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
-        at += width
-    keys = [F.shiftleft(parts[a], 32).bitwiseOR(parts[b]).bitwiseOR(F.lit(k << 58).cast("long")) for k, (a, b) in enumerate(combinations(range(blocks), 2))]
+            q, node = todo.pop()
+            away = _distance(self.points[q], self.points[node])
+            self.asked += len(q)
+            near = away <= radius
+            if near.any():
+                yield q[near], node[near]
+            base = node * self.fan
+            lo = np.searchsorted(self.keys, base + np.maximum(away - radius, 0))
+            open_ = np.searchsorted(self.keys, base + np.minimum(away + radius, self.fan - 1), "right") - lo
+            upto = np.cumsum(open_)
+            start = 0
+            while start < len(q):
+                stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + piece, "right")))
+                n = open_[start:stop]
+                if n.any():
+                    from_ = np.repeat(lo[start:stop] - (np.cumsum(n) - n), n)
+                    todo.append((np.repeat(q[start:stop], n), self.kids[from_ + np.arange(n.sum())]))
+                start = stop
+
+
+def block_plan(n: int, radius: int, members: int = 1024) -> list[list[tuple[int, int]]]:
+    """For each key its (first bit, bits) pieces: p whole or cut blocks of radius + p, so that n random fingerprints give shards of about `members`."""
+    want = max(0, math.ceil(math.log2(max(n, 1) / members)))
+    if not want:
+        return [[]]
+    p = next(p for p in range(1, 64 - radius) if p * (64 // (radius + p)) >= want or p == 8)
+    size = 64 // (radius + p)
+    bits = min(size, math.ceil(want / p))
+    return [[(k * size, bits) for k in some] for some in combinations(range(radius + p), p)]
+
+
+def _block_keys(fp: Column, plan: list[list[tuple[int, int]]]) -> Column:
+    """One key for each entry of the plan; keys of different entries differ."""
+    keys = []
+    for k, pieces in enumerate(plan):
+        parts = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) for at, bits in pieces]
+        keys.append(F.xxhash64(F.lit(k), *parts))
     return F.array(*keys)
 
 
@@ -185,20 +204,19 @@ def _link_shards(keyed: DataFrame, radius: int, words: int, most: int) -> DataFr
             raw = column.to_numpy() if words == 1 else np.frombuffer(b"".join(column.to_pylist()), np.uint64)
             points, side = raw.view(np.uint64).reshape(-1, words), rows.column("side").to_numpy()
             sizes = np.diff(bounds)
-            twos = bounds[:-1][sizes == 2]
-            twos = twos[(_distance(points[twos], points[twos + 1]) <= radius) & ((side[twos] == 0) | (side[twos] != side[twos + 1]))]
-            out = [np.stack([twos, twos + 1])]
-            for k in np.flatnonzero(sizes > 2):
-                p, s = points[bounds[k] : bounds[k + 1]], side[bounds[k] : bounds[k + 1]]
-                tree, ask = (np.arange(len(p)),) * 2 if s[0] == 0 else (np.flatnonzero(s == 1), np.flatnonzero(s == 2))
-                if not len(tree) or not len(ask):
-                    continue
-                forest = Forest(len(p))
-                for a, b in BKTree(p, tree).search(ask, radius):
-                    forest.add(a, b)
-                if forest.pairs:
-                    out.append(np.array(forest.pairs).T + bounds[k])
-            a, b = np.concatenate(out, axis=1)
+            shard = np.repeat(np.arange(len(sizes)), sizes)
+            # side 1 of a pair of chunks is the tree that side 2 asks
+            held = np.flatnonzero((side != 2) & (sizes[shard] > 1))
+            own, number = np.unique(shard[held], return_inverse=True)
+            ask = np.flatnonzero((side != 1) & np.isin(shard, own))
+            forest = Forest(len(points))
+            if len(held) and len(ask):
+                trees = BKTrees(points, held, number)
+                roots = trees.roots[np.searchsorted(own, shard[ask])]
+                for a, b in trees.search(ask, roots, radius):
+                    once = (side[a] != 0) | (a < b)
+                    forest.add(a[once], b[once])
+            a, b = np.array(forest.pairs, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([column.take(pa.array(x)).combine_chunks() for x in (a, b)], names=["a", "b"])
 
     return shards.mapInArrow(link, f"a {kind}, b {kind}")
@@ -206,7 +224,7 @@ def _link_shards(keyed: DataFrame, radius: int, words: int, most: int) -> DataFr
 
 def link_fingerprints(distinct: DataFrame, radius: int = 4, most: int = 8192) -> DataFrame:
     """Links (a, b) that connect all 64-bit fingerprints of column fp which lie within the radius of each other."""
-    keyed = distinct.select("fp", F.explode(_block_keys(F.col("fp"), radius + 2)).alias("key"))
+    keyed = distinct.select("fp", F.explode(_block_keys(F.col("fp"), block_plan(distinct.count(), radius))).alias("key"))
     return _link_shards(keyed, radius, 1, most)
 
 
@@ -312,17 +330,19 @@ def link_sets(members: DataFrame, similarity: float, width: int, most: int = 1 <
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """Id, fp and component_id (the smallest id of the component) of every document; 64-bit fingerprints link within the radius."""
+    """Id, fp (fp_ if the id is named so) and component_id (the smallest id of the component) of every document; 64-bit fingerprints link within the radius."""
     found = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = materialize(found.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
+    distinct = materialize(found.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("_n")), "distinct")
     named = _named(distinct, "fp", link_fingerprints(distinct.select("fp"), radius))
-    return found.join(named, "fp").select(id_col, "fp", "component_id")
+    own = unused(docs.select(id_col), "fp")
+    return join_per_key(found.select(F.col(id_col).alias("_id"), "fp"), named, "fp").select(F.col("_id").alias(id_col), F.col("fp").alias(own), "component_id")
 
 
 def _named(distinct: DataFrame, key: str, links: DataFrame) -> DataFrame:
-    """Key and component_id, the smallest `first` of its component."""
-    rooted = _rooted(distinct, key, links)
-    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(key, "component_id")
+    """Key, component_id (the smallest `first` of its component) and _n of the rows of `distinct`."""
+    rooted = materialize(_rooted(distinct, key, links), "rooted")
+    per_root = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_n")), "roots")
+    return materialize(join_per_key(rooted.select(key, "root", F.col("_n").alias("n")), per_root, "root").select(key, "component_id", F.col("n").alias("_n")), "named")
 
 
 def _rooted(distinct: DataFrame, key: str, links: DataFrame) -> DataFrame:
@@ -335,21 +355,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """One document of each group of near-duplicates, the one with the smallest id, with all columns.
 
     A group is connected by pairs whose sets of shingles have at least that Jaccard similarity.
-    `docs` is a table as read, so that its rows keep their places when they are read again.
+    Of repeated ids and of documents without an id one row each may stay; an empty table stays empty.
     """
     place = unused(docs, "_row")
-    rows = docs.withColumn(place, F.monotonically_increasing_id())
+    rows = placed(docs, place)
     # ids order rows, nulls last; the place tells repeated ids apart
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(place).alias("row"))
     found = materialize(set_fingerprints(rows.select(order.alias("order"), F.col(text_col).alias("text")), "order", "text", width, words), "fingerprints")
-    distinct = materialize(found.groupBy("set").agg(F.min("fp").alias("fp"), F.min("order").alias("first")), "distinct")
+    distinct = materialize(found.groupBy("set").agg(F.min("fp").alias("fp"), F.min("order").alias("first"), F.count("*").alias("_n")), "distinct")
     maybe = materialize(_rooted(distinct, "fp", link_wide(distinct.select("fp").distinct(), similarity, words)), "candidates")
     several = maybe.groupBy("root").count().filter("count > 1").select("root")
     members = maybe.join(several, "root", "left_semi").select(F.col("first.row").alias("row"), "set", "root")
     texts = rows.select(F.col(place).alias("row"), F.col(text_col).alias("text"))
     links = link_sets(texts.join(members, "row"), similarity, width)
     named = _named(distinct, "set", links)
-    others = found.join(named, "set").filter(F.col("order.row") != F.col("component_id.row")).select(F.col("order.row").alias(place))
+    others = join_per_key(found, named, "set").filter(F.col("order.row") != F.col("component_id.row")).select(F.col("order.row").alias(place))
     return rows.join(others, place, "left_anti").select(docs.columns)
 
 

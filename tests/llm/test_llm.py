@@ -278,12 +278,36 @@ def test_hot_shards_lose_no_link(spark):
         assert {frozenset(k for k in got if got[k] == c) for c in got.values()} == {frozenset(keys[k] for k in range(len(keys)) if want[k] == c) for c, n in groups.items() if n > 1}
 
 
-def test_bk_tree_finds_what_a_scan_finds():
+def test_bk_trees_find_what_a_scan_finds():
     rng = np.random.default_rng(0)
-    points = rng.integers(0, 1 << 62, (400, 2), dtype=np.uint64) & rng.integers(0, 1 << 62, (400, 2), dtype=np.uint64)
-    got = {(int(i), int(j)) for a, b in simhash.BKTree(points, np.arange(400)).search(np.arange(400), 24) for i, j in zip(a, b)}
+    points = rng.integers(0, 1 << 62, (600, 2), dtype=np.uint64) & rng.integers(0, 1 << 62, (600, 2), dtype=np.uint64)
+    group = rng.integers(0, 3, 600)
+    trees = simhash.BKTrees(points, np.arange(600), group)
+    got = [(int(i), int(j)) for a, b in trees.search(np.arange(600), trees.roots[group], 24, piece=50) for i, j in zip(a, b)]
     far = np.bitwise_count(points[:, None] ^ points[None]).sum(-1)
-    assert got == {(int(i), int(j)) for i, j in np.argwhere(far <= 24)}
+    assert sorted(got) == sorted((int(i), int(j)) for i, j in np.argwhere((far <= 24) & (group[:, None] == group[None])))
+
+
+def test_bk_trees_skip_edges_on_the_query_s_data(spark):
+    found = simhash.fingerprints(spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")).select("fp").distinct().toPandas().fp.to_numpy()
+    points = found.view(np.uint64).reshape(-1, 1)
+    trees = simhash.BKTrees(points, np.arange(len(points)), np.zeros(len(points), int))
+    assert len(trees.kids) == len(points) - 1  # every point but the root is a node of its own
+    seen = sum(len(a) for a, _ in trees.search(np.arange(len(points)), np.full(len(points), trees.roots[0]), 4))
+    far = np.bitwise_count(points ^ points.T)
+    assert seen == (far <= 4).sum() and trees.asked < 0.8 * far.size
+
+
+def test_block_keys_grow_with_the_table(spark):
+    for n, tables, bits in ((100, 1, 0), (200_000, 5, 8), (10**9, 15, 20), (10**11, 35, 27)):
+        got = simhash.block_plan(n, 4)
+        assert (len(got), sum(width for _, width in got[0])) == (tables, bits) or tables == 1
+    rng = np.random.default_rng(3)
+    for n in (100, 200_000, 10**9, 10**11):  # whatever four bits differ, some key agrees
+        plan = simhash.block_plan(n, 4)
+        for _ in range(200):
+            flipped = set(rng.choice(64, 4, replace=False).tolist())
+            assert any(all(not flipped & set(range(at, at + width)) for at, width in table) for table in plan)
 
 
 def test_keep_one_drops_near_copies_only(spark, tmp_path):
@@ -400,6 +424,17 @@ def test_language_edge_cases(spark, odd, none):
     assert language.predict_languages(none, model).count() == 0
 
 
+def test_every_language_can_be_predicted(spark):
+    rng = random.Random(8)
+    syllables = {f"l{k:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(6)] for k in range(230)}
+    rows = [(n, " ".join(rng.choices(words, k=40)), lang) for n, (lang, words) in enumerate((x for x in syllables.items() for _ in range(6)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(docs)
+    assert len(model["langs"]) == len(syllables)
+    got = {r.doc_id: r.lang_pred for r in language.predict_languages(docs, model).collect()}
+    assert np.mean([got[n] == lang for n, _, lang in rows]) > 0.95 and len(set(got.values())) > 220
+
+
 def test_codewords_are_far_apart():
     for n in (2, 3, 4, 5, 9, 40):
         code = language.codewords(n)
@@ -436,12 +471,39 @@ def test_decontamination_by_join_and_edges(spark, odd, none):
 # ---- quality
 
 
+def graded(rows, labels):
+    """(how often a good document outscores a bad one, the bad ones' mean score)."""
+    good, bad = [r.score for r in rows if labels.get(r.doc_id) == 1], [r.score for r in rows if labels.get(r.doc_id) == 0]
+    return np.mean([g > b for g in good for b in bad]), np.mean(bad)
+
+
 def test_quality_on_held_out(spark):
-    labels = spark.read.parquet(f"{DATA}/labels.parquet")
-    rows = QUERIES["op8_quality_classifier"](spark, DATA).join(labels, "doc_id").collect()
+    folder = DATA.replace("0.001", "0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = QUERIES["op8_quality_classifier"](spark, folder).collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
-    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
-    assert np.mean([g > b for g in good for b in bad]) > 0.95
+    above, bad = graded([r for r in rows if r.held_out], labels)
+    assert above > 0.95 and bad < 0.4
+
+
+def test_quality_from_trusted_positives_only(spark):
+    folder = DATA.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    fold = quality.id_remainder("doc_id", 5) != 0
+    model = quality.fit_quality(docs.filter(fold), labels.filter(fold & (F.col("quality") == 1)))
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    share = np.mean([v for v in known.values()])
+    assert abs(model["prior"] - share) < 0.1
+    above, bad = graded(quality.score_quality(docs.filter(~fold), model).collect(), known)
+    assert above > 0.95 and bad < 0.3
+
+
+def test_prior_of_known_mixtures():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.8):
+        good = rng.random(4000) < share
+        u = (rng.normal(size=(4000, 4)) + np.where(good, 1.5, -1.5)[:, None]).astype(np.float32)
+        assert abs(quality.estimate_prior((rng.normal(size=(2000, 4)) + 1.5).astype(np.float32), u) - share) < 0.07
 
 
 def test_quality_edge_cases(spark, odd, none):
@@ -450,7 +512,10 @@ def test_quality_edge_cases(spark, odd, none):
     assert quality.score_quality(odd, model).count() == odd.count()
     assert quality.score_quality(none, model).count() == 0
     without = quality.fit_quality(odd, labels.filter("quality = 0"))
-    assert quality.score_quality(odd, without).select("score").distinct().count() == 1
+    assert {r.score for r in quality.score_quality(odd, without).collect()} == {0.5}
+    got = collections.Counter(str(r.doc_id) for r in quality.score_quality(odd, model).collect())
+    assert got["1"] == 2 and got["None"] == 2
+    assert all(r.score == pytest.approx(model["prior"]) for r in quality.score_quality(odd, model).collect() if r.doc_id in (2, 3))
     assert quality.drop_low_quality(odd, model).schema == odd.schema
 
 
