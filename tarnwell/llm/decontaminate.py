@@ -3,12 +3,12 @@
 The benchmark's windows of `width` consecutive words (an item of fewer words is one
 window) become a hash set. Each document's words are hashed once; the hashes of all its
 windows are tested against the set, and what hits is verified word by word in a join
-with the windows themselves. While the set has at most `most_broadcast` hashes it goes
-to every task as a literal set; beyond that the document windows are joined by hash.
+with the windows themselves. The set goes to the tasks as literals in parts of at most about `most_broadcast`
+hashes, one part a pass over the documents, however large the benchmark is.
 
 Edge cases: null texts and texts without a word have no words and no hits; null
 item ids are not listed or counted, though their windows hit; items without words have no window; repeated
-documents each give a row; repeated items count once; empty tables give empty or clean
+documents each give a row; very long texts are scanned whole; repeated items count once; empty tables give empty or clean
 results; extra columns are ignored by scan_benchmark() and kept by drop_contaminated().
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, unused
+from ._common import materialize, placed, table, unused
 
 #: Between words: everything that is not a lower-case letter, a digit or non-ASCII, once A-Z are folded.
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,31 +52,51 @@ def _hits(hashes: Column, ws: Column, width: int, test) -> Column:
     )
 
 
-def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, most_broadcast: int = 200_000) -> DataFrame:
-    """For each document: id, n_words, n_hit, items (sorted distinct ids of benchmark items found)."""
-    windows = benchmark_windows(benchmark, item_col, item_text_col, width).withColumnRenamed("window", "wanted")
-    wanted = windows.select("width", "hash").distinct()
-    counted = wanted.groupBy("width").count().collect()  # at most `width` rows
-    split = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), words(F.col(text_col)).alias("ws"))
-    hashed = split.withColumn("hashes", F.transform("ws", lambda w: F.xxhash64(w)))
-    ws, hashes = F.col("ws"), F.col("hashes")
-    if sum(r["count"] for r in counted) <= most_broadcast:
+def _found(docs: DataFrame, windows: DataFrame, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """From _row, _id and _text: (_row, _id, n_words) of all documents, and (_row, start, width, hash, window) of the windows whose hash is known.
+
+    The hashes go to the tasks in parts of at most about `most_broadcast`; each part is one pass over the
+    documents that writes its hits, so what is sent at once is bounded and only hits are ever shuffled.
+    """
+    wanted = materialize(windows.select("width", "hash").distinct(), "hashes")
+    parts = max(1, -(-wanted.count() // max(1, most_broadcast)))
+    passes = []
+    for k in range(parts):
         sets: dict[int, list[int]] = {}
-        for r in wanted.collect():
+        for r in wanted.filter(F.pmod("hash", F.lit(parts)) == k).collect():
             sets.setdefault(r["width"], []).append(r["hash"])
-        found = [_hits(hashes, ws, k, lambda h, k=k: h.isin(sorted(sets[k]))) for k in sorted(sets)]
-        hits = F.concat(*found) if found else F.array().cast("array<struct<start:int,width:int,hash:bigint,window:array<string>>>")
-        rows = hashed.select("_row", "_id", F.size("ws").cast("long").alias("n_words"), F.explode_outer(hits).alias("hit"))
-        rows = rows.select("_row", "_id", "n_words", F.col("hit.start").alias("start"), F.col("hit.width").alias("width"), F.col("hit.hash").alias("hash"), F.col("hit.window").alias("window"))
-    else:
-        found = [_hits(hashes, ws, r["width"], lambda h: F.lit(True)) for r in counted]
-        rows = hashed.select("_row", "_id", F.size("ws").cast("long").alias("n_words"), F.explode_outer(F.concat(*found)).alias("hit"))
-        rows = rows.select("_row", "_id", "n_words", F.col("hit.start").alias("start"), F.col("hit.width").alias("width"), F.col("hit.hash").alias("hash"), F.col("hit.window").alias("window"))
-    same = (rows["hash"] == windows["hash"]) & (rows["width"] == windows["width"]) & (rows["window"] == windows["wanted"])
-    verified = rows.join(windows, same, "left").select(
-        "_row", "_id", "n_words", "item", F.when(windows["hash"].isNotNull(), F.struct("start", (F.col("start") + rows["width"]).alias("stop"))).alias("span")
-    )
-    grouped = verified.groupBy("_row", "_id", "n_words").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+
+        def scan(ws: Column, hashes: Column, sets=sets) -> Column:
+            found = [_hits(hashes, ws, w, lambda h, w=w: h.isin(sorted(sets[w]))) for w in sorted(sets)]
+            hits = F.concat(*found) if found else F.array().cast("array<struct<start:int,width:int,hash:bigint,window:array<string>>>")
+            return F.struct(F.size(ws).cast("long").alias("n_words"), hits.alias("hits"))
+
+        # lambda variables hold the words and their hashes, so that no rewrite of the plan computes them again for each window
+        once = lambda column, use: F.get(F.transform(F.array(column), use), F.lit(0))
+        x = once(words(F.col("_text")), lambda ws: once(F.transform(ws, lambda w: F.xxhash64(w)), lambda hashes: scan(ws, hashes)))  # noqa: B023
+        passes.append(materialize(docs.select("_row", "_id", x.alias("x")), "hits"))
+    both = passes[0].select("_row", "x.hits")
+    for more in passes[1:]:
+        both = both.unionByName(more.select("_row", "x.hits"))
+    return passes[0].select("_row", "_id", "x.n_words"), both.filter(F.size("hits") > 0).select("_row", F.inline("hits"))
+
+
+def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, most_broadcast: int = 200_000) -> DataFrame:
+    """For each document: id, n_words, n_hit, items (sorted distinct ids of benchmark items found)."""
+    found = _scan(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), benchmark, item_col, item_text_col, width, most_broadcast)
+    return found.select(F.col("_id").alias(id_col), "n_words", "n_hit", "items")
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, width: int, most_broadcast: int) -> DataFrame:
+    """_row, _id, n_words, n_hit and items of every document of _row, _id, _text; with several passes the rows' numbers must stay the same."""
+    windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, width).withColumnRenamed("window", "wanted"), "windows")
+    if windows.count() > most_broadcast:
+        docs = materialize(docs, "rows")
+    sizes, hits = _found(docs, windows, most_broadcast)
+    same = (hits["hash"] == windows["hash"]) & (hits["width"] == windows["width"]) & (hits["window"] == windows["wanted"])
+    # the words themselves decide
+    verified = hits.join(windows, same).select("_row", "item", F.struct("start", (F.col("start") + hits["width"]).alias("stop")).alias("span"))
+    grouped = verified.groupBy("_row").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("int").alias("to")),
@@ -85,41 +105,17 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
             F.greatest(acc["to"], s["stop"]).alias("to"),
         ),
     )
-    return grouped.select(F.col("_id").alias(id_col), "n_words", covered["n"].alias("n_hit"), "items")
+    marked = grouped.select("_row", covered["n"].alias("n_hit"), "items")
+    return sizes.join(marked, "_row", "left").select("_row", "_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", width: int = 10, most_broadcast: int = 200_000) -> DataFrame:
-    """The documents without any window of the benchmark, with all their columns.
-
-    While the set is small enough to go to every task nothing is shuffled.
-    """
-    windows = benchmark_windows(benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("text")), "item_id", "text", width)
-    texts = windows.select("width", "hash", F.array_join("window", " ").alias("phrase")).distinct()
-    if texts.count() > most_broadcast:
-        place = unused(docs, "_place")
-        keyed = docs.withColumn(place, F.monotonically_increasing_id())
-        items = benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("text"))
-        bad = scan_benchmark(keyed.select(place, F.col(text_col).alias("text")), items, place, "text", width=width, most_broadcast=most_broadcast).filter("n_hit > 0")
-        return keyed.join(bad.select(place), place, "left_anti").select(docs.columns)
-    known: dict[int, list] = {}
-    for r in texts.collect():
-        known.setdefault(r["width"], []).append(r)
-    sets = [(k, sorted({r["hash"] for r in rows}), sorted({r["phrase"] for r in rows})) for k, rows in sorted(known.items())]
-
-    def hit(ws: Column, hashes: Column) -> Column:
-        found = F.lit(False)
-        for k, codes, phrases in sets:
-            # the words themselves are compared where the hash is known
-            found |= F.exists(_windows(ws, k), _is_known(hashes, ws, k, codes, phrases))
-        return found
-
-    # lambda variables hold the words and their hashes, so that no rewrite of the plan computes them again for each window
-    hashed = lambda ws: F.array(F.transform(ws, lambda w: F.xxhash64(w)))
-    return docs.filter(~F.exists(F.array(words(F.col(text_col))), lambda ws: F.exists(hashed(ws), lambda hashes: hit(ws, hashes))))
-
-
-def _is_known(hashes: Column, ws: Column, width: int, codes: list[int], phrases: list[str]):
-    return lambda i: F.xxhash64(F.slice(hashes, i, width)).isin(codes) & F.array_join(F.slice(ws, i, width), " ").isin(phrases)
+    """The documents without any window of the benchmark, with all their columns; null and empty texts stay."""
+    place = unused(docs, "_place")
+    rows = placed(docs, place)
+    items = benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("text"))
+    found = _scan(rows.select(F.col(place).alias("_row"), F.lit(None).cast("long").alias("_id"), F.col(text_col).alias("_text")), items, "item_id", "text", width, most_broadcast)
+    return rows.join(found.filter("n_hit > 0").select(F.col("_row").alias(place)), place, "left_anti").select(docs.columns)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
