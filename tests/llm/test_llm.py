@@ -575,13 +575,27 @@ def test_repeats_on_adversarial_texts(spark, odd):
     assert removed(odd) == brute_repeats([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()])
 
 
-def test_repeats_of_nothing_and_parsing(none):
+def test_repeats_of_nothing(none):
     assert removed(none) == []
-    names = np.random.default_rng(0).integers(0, 5, 4000).astype(np.uint64)
-    ends = np.array([1000, 4000])
-    _, at = substrings.parse(names, ends)
-    long = np.diff(np.append(at, 4000))
-    assert long.min() >= 1 and long.max() <= substrings.SYMBOL and 1000 in at
+
+
+def test_equal_windows_are_spelled_alike_and_keep_a_middle():
+    rng = np.random.default_rng(0)
+    for kinds in (2, 3, 40, 5000):
+        parts = [rng.integers(0, kinds, rng.integers(35, 90)) for _ in range(60)]
+        passage = rng.integers(0, kinds, 50)
+        docs = [np.concatenate([p, passage, q]) for p, q in zip(parts[::2], parts[1::2])] + [np.full(60, 1), np.full(45, 1)]
+        flat, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+        parse = substrings.Parse(substrings.word_names([b"%d" % x for x in flat]), ends)
+        long = np.diff(np.append(parse.at, len(flat)))
+        assert long.min() >= 1 and long.max() <= substrings.SYMBOL and set(np.append(0, ends[:-1])) <= set(parse.at)
+        starts = substrings._starts(ends, 35)
+        a, b, spelled = parse.peel(starts, 35, name=True)
+        assert (b - a >= substrings.HIGH).all()
+        names = {}
+        for s, x in zip(starts, spelled.T):
+            names.setdefault(tuple(flat[s : s + 35]), set()).add(tuple(x))
+        assert all(len(x) == 1 for x in names.values()) and len(set.union(*names.values())) == len(names)
 
 
 # ---- embeddings
