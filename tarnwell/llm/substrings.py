@@ -12,7 +12,7 @@ What is peeled, round by round, and the symbols that are left spell the passage,
 two windows are equal if and only if their spellings are. Of a window of 35 words at most 13 at each end
 are peeled, so at least three whole symbols are left in its middle.
 
-Spark then runs two global rounds. In the first one every three neighbouring symbols, a high-level symbol, are looked for everywhere: those that occur once
+Spark then runs two global rounds. In the first one three neighbouring symbols, a high-level symbol, are looked for everywhere (every other one, by its name): those that occur once
 prove that no window around them is repeated. In the second one the windows of which all high-level symbols
 are shared meet by the names of their spellings (128 bits, made of 128-bit names of the words), and those that occur twice or more
 are repeats. What is shared is joined back to the documents by a shuffle, so nothing is broadcast and no table has a fixed size.
@@ -96,7 +96,10 @@ class Parse:
         self.top, self.at, self.last = sym, at, last
 
     def high_symbols(self) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, whether one begins) for each top symbol: it and the next ones, inside one document."""
+        """(keys, whether one is looked for) for each top symbol: it and the next ones, inside one document.
+
+        Every other one by its key is looked for; a window whose middle holds none of these stays a candidate.
+        """
         m = len(self.at)
         whole = np.ones(m, bool)
         key = self.top[0]
@@ -104,7 +107,7 @@ class Parse:
             whole[m - k :] = False
             whole[: m - k] &= ~self.last[k - 1 : m - 1]
             key = _name(key, np.append(self.top[0][k:], np.zeros(min(k, m), np.uint64)), 50 + k)
-        return key, whole
+        return key, whole & (key & np.uint64(1) == 0)
 
     def peel(self, starts: np.ndarray, width: int, name: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """First and end of the top symbols in the middle of the windows, and the names of what they are spelled by, if asked for."""
@@ -153,10 +156,16 @@ class Parse:
         return first, np.where(some, to[np.maximum(b, 1) - 1] + 1, first)
 
     def candidates(self, starts: np.ndarray, width: int, shared: np.ndarray) -> np.ndarray:
-        """Which of the windows hold no high-level symbol in their middle that is not shared."""
-        a, b, _ = self.peel(starts, width)
+        """Those windows that hold no high-level symbol in their middle that is not shared."""
         unique = np.concatenate([[0], np.cumsum(~shared)])
-        return unique[np.maximum(b - HIGH + 1, a)] == unique[a]
+        # what no peeling reaches is looked at first
+        n = self.rounds[0][0].shape[1]
+        owner = np.repeat(np.arange(len(self.at)), np.diff(np.append(self.at, n)))
+        a = owner[starts + LOSS]
+        a += self.at[a] < starts + LOSS
+        starts = starts[unique[np.maximum(owner[starts + width - LOSS] - HIGH + 1, a)] == unique[a]]
+        a, b, _ = self.peel(starts, width)
+        return starts[unique[np.maximum(b - HIGH + 1, a)] == unique[a]]
 
 
 def _starts(ends: np.ndarray, width: int) -> np.ndarray:
@@ -166,11 +175,11 @@ def _starts(ends: np.ndarray, width: int) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _blocks(texts: list[bytes | None], wanted: list[bool], width: int, piece: int = 1 << 20):
+def _blocks(texts: list[bytes | None], width: int, piece: int = 1 << 20):
     """(first document, all documents' words, numbers of those parsed, their ends and parse or None) for runs of documents."""
     for first, last in slices([len(t or b"") for t in texts], piece):
         words = [(t or b"").split() for t in texts[first:last]]
-        held = [k for k, w in enumerate(words) if len(w) >= width and wanted[first + k]]
+        held = [k for k, w in enumerate(words) if len(w) >= width]
         flat = [x for k in held for x in words[k]]
         ends = np.cumsum([len(words[k]) for k in held], dtype=np.int64)
         yield first, words, held, ends, Parse(word_names(flat), ends) if held else None
@@ -200,7 +209,7 @@ def _shared_symbols(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             rows = batch.column(0).to_numpy()
             found, row, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for first, _, held, ends, parse in _blocks(raw_bytes(batch.column(1)), [True] * len(rows), width):
+            for first, _, held, ends, parse in _blocks(raw_bytes(batch.column(1)), width):
                 if parse is None:
                     continue
                 key, whole = parse.high_symbols()
@@ -247,20 +256,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def windows(batches):
         for batch in batches:
             texts, known = raw_bytes(batch.column(2)), batch.column(3)
-            wanted = known.is_valid().to_pylist()
             n_words, sha, text = [], [], [None] * len(texts)
             found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for first, words, held, ends, parse in _blocks(texts, wanted, width):
+            for first, words, held, ends, parse in _blocks(texts, width):
                 n_words += [len(w) for w in words]
                 sha += [_sha(w) for w in words]
                 if parse is None:
                     continue
-                # high-level symbols that a document lacks at its end tell nothing
+                # symbols that are not looked for tell nothing
                 is_shared = ~parse.high_symbols()[1]
                 for k, at in zip(held, np.searchsorted(parse.at, np.append(0, ends[:-1]))):
-                    is_shared[at + known[first + k].values.to_numpy()] = True
+                    if known[first + k].is_valid:
+                        is_shared[at + known[first + k].values.to_numpy()] = True
                 start = _starts(ends, width)
-                start = start[parse.candidates(start, width, is_shared)]
+                start = parse.candidates(start, width, is_shared)
                 spelled = parse.peel(start, width, name=True)[2]
                 doc = np.searchsorted(ends, start, "right")
                 for k in np.unique(doc):
