@@ -133,19 +133,59 @@ def test_language_model_beats_the_base_on_held_out(spark):
 
 
 def test_language_model_is_normalised():
-    p = lm.Parameters(np.arange(lm.SYMBOLS, dtype=float))
+    p = lm.Parameters(np.arange(256, dtype=float))
     for scale in (1, 40):  # the second one needs the guarded exponentials
         p.q *= scale
         tokens = np.array([3, 5, 7, 0, 9, 0], np.int32)
         starts = np.array([0, 4, 6])
-        ends = [lm.log_probabilities(p, np.append(tokens[:3], [k, 9, 0]).astype(np.int32), starts)[3] for k in range(lm.SYMBOLS)]
+        ends = [lm.log_probabilities(p, np.append(tokens[:3], [k, 9, 0]).astype(np.int32), starts)[3] for k in range(256)]
         assert np.exp(ends).sum() == pytest.approx(1, abs=1e-3)
 
 
-def test_word_class_is_sparks_hash(spark):
+def test_word_probabilities_sum_to_one():
+    rng = np.random.default_rng(2)
+    counts, buckets = rng.integers(1, 6, 3000), 1024
+    at = np.array([lm.word_bucket(b"w%d" % k, buckets) for k in range(3000)])
+    unseen, each = lm.bucket_shares(np.bincount(at, counts, buckets), np.bincount(at, counts == 1, buckets))
+    p = lm.Parameters(np.bincount(at, counts, buckets))
+    tokens, starts = np.array([1, 2, 3]), np.array([0, 3])
+    of_bucket = np.exp([lm.log_probabilities(p, np.append(tokens[:2], k), starts)[2] for k in range(buckets)])
+    seen = of_bucket[at] * counts * each[at]  # every word, and one unseen word a bucket
+    assert seen.sum() + (of_bucket * unseen).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_vectors_follow_the_vocabulary():
+    assert [lm.classes_for(n) ** 2 for n in (0, 50, 300, 5000, 10**9)] == [64, 64, 1024, 16384, 16384]
+
+
+def test_scores_do_not_depend_on_the_broadcast_table(corpus):
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    few, all_ = ({r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score_documents(corpus, fold, known=k).collect()} for k in (20, 10**6))
+    assert all(few[d] == pytest.approx(all_[d], rel=1e-6) for d in all_)
+
+
+def test_language_model_learns_what_follows_what():
+    rng = np.random.default_rng(4)
+    after = rng.integers(0, 64, 64)
+    tokens = [0]
+    for _ in range(60_000):
+        tokens.append(int(after[tokens[-1]]) if rng.random() < 0.8 else int(rng.integers(0, 64)))
+    tokens, starts = np.array(tokens, np.int32), np.array([0, len(tokens)])
+    counts = np.bincount(tokens, minlength=64).astype(float)
+    p = lm.Parameters(counts)
+    before = lm.log_probabilities(p, tokens, starts).mean()
+    trainer, contexts = lm.Trainer(p, counts), lm.Contexts(tokens, starts, p.r)
+    for turn in range(3):
+        for at in range(0, len(tokens), 2048):
+            some = np.arange(at, min(at + 2048, len(tokens)))
+            trainer.step(tokens[some], *contexts(some), rng)
+    assert lm.log_probabilities(p, tokens, starts).mean() > before + 0.8
+
+
+def test_word_bucket_is_sparks_hash(spark):
     sample = [b"a", b"ab", b"word", "é".encode(), b"x&&&"]
-    rows = spark.createDataFrame([(bytearray(w),) for w in sample], "w binary").select(F.pmod(F.xxhash64(F.substring("w", -2, 2)), F.lit(lm.CLASSES)).alias("c")).collect()
-    assert [r.c for r in rows] == [lm.word_class(w) for w in sample]
+    rows = spark.createDataFrame([(bytearray(w),) for w in sample], "w binary").select(F.pmod(F.xxhash64("w"), F.lit(1024)).alias("c")).collect()
+    assert [r.c for r in rows] == [lm.word_bucket(w, 1024) for w in sample]
 
 
 def test_language_model_without_documents(none):
