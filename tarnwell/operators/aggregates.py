@@ -147,3 +147,25 @@ def profile_signals(df: DataFrame, group: str, categorical: list[str], numeric:
     nums = nums.select(group, F.col("column").alias("signal"), F.try_divide(F.col("med") - F.col("q")[1], F.col("q")[2] - F.col("q")[0]).alias("strength"))
     ranked = cats.unionByName(nums).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.abs("strength").desc_nulls_last(), "signal")))
     return ranked.filter(F.col("rank") <= most)
+
+
+def residual_synergy(df: DataFrame, by: list[str], target: str, p: str, prior: float = 20.0, z: float = 1.96) -> DataFrame:
+    """Per group: rate, rate shrunk to the overall one, lift, mean model probability, their difference, and Wilson bounds of the rate."""
+    overall = df.agg(F.avg(F.col(target).cast("double")).alias("_base"))
+    per = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(target).cast("long")).alias("k"), F.avg(p).alias("expected"))
+    per = per.join(F.broadcast(overall))  # a single row
+    n, rate = F.col("n").cast("double"), F.col("k") / F.col("n")
+    smooth = (F.col("k") + prior * F.col("_base")) / (n + prior)
+    centre, half, scale = rate + z * z / (2 * n), z * F.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n)), 1 + z * z / n
+    return per.select(*by, "n", rate.alias("rate"), smooth.alias("smoothed"), (smooth / F.col("_base")).alias("lift"), "expected", (smooth - F.col("expected")).alias("synergy"), ((centre - half) / scale).alias("wilson_low"), ((centre + half) / scale).alias("wilson_high"))
+
+
+def tier_shares(df: DataFrame, stage: str, tier: str, target: str, signals: str) -> DataFrame:
+    """Per tier within its stage: rows, share of the stage, positive rate and mean number of signals; a null tier is one of its own."""
+    per = df.groupBy(stage, tier).agg(F.count("*").alias("n"), F.avg(F.col(target).cast("double")).alias("positive_rate"), F.avg(F.col(signals).cast("double")).alias("mean_signals"))
+    return per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(stage)))  # over one row a tier
+
+
+def min_rank(df: DataFrame, value: str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """Rank from the largest value down; equal values share the least rank. Without groups this is for small tables, one row a feature, say."""
+    return df.withColumn(name, F.rank().over(Window.partitionBy(*(by or [])).orderBy(F.col(value).desc())))

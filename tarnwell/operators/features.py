@@ -74,3 +74,51 @@ def best_by_stage(scores: DataFrame, stage: str, model: str, metric: str) -> Dat
     """The best model of each stage; the first name on ties."""
     best = F.min(F.struct((-F.col(metric)).alias("m"), F.col(model).alias("model")))
     return scores.groupBy(stage).agg(best.alias("b")).select(stage, F.col("b.model").alias(model), (-F.col("b.m")).alias(metric))
+
+
+def intake_features(df: DataFrame, mode: str, budgets: dict[str, tuple[str, str]], places: list[str], core: list[str], size: str) -> DataFrame:
+    """What a request says before any contact: for each mode's budget its state, midpoint and width; whether bounds are consistent,
+    how specific the place is, how many constraints there are, how complete the request is, and the log of the size.
+
+    `budgets` maps a mode (or "both") to its lower and upper bound; `core` are the fields that always apply.
+    """
+    out, consistent, constraints, rated = {}, F.lit(True), F.lit(0), [(F.lit(True), F.col(c)) for c in core]
+    for kind, (lo, hi) in budgets.items():
+        applies = F.coalesce(F.col(mode).isin(kind, "both"), F.lit(False))
+        low, high, some = F.col(lo), F.col(hi), F.coalesce(F.col(lo), F.col(hi))
+        out |= {f"{kind}_applies": applies, f"{kind}_state": X.budget_state(applies, low, high), f"{kind}_mid": (low + high) / 2, f"{kind}_width": high - low}
+        consistent &= ~applies | low.isNull() | high.isNull() | (low <= high)
+        constraints += (applies & some.isNotNull()).cast("int")
+        rated.append((applies, some))
+    present = lambda names: sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
+    out |= {
+        "bounds_consistent": consistent,
+        "place_specificity": present(places),
+        "constraint_count": constraints + present([size, *places]),
+        "completeness": X.completeness(rated),
+        "log_size": F.log1p(F.greatest(F.col(size).cast("double"), F.lit(0.0))),
+    }
+    return df.withColumns(out)
+
+
+def density_features(df: DataFrame, counts: dict[str, float], area: str) -> DataFrame:
+    """log1p of each count and its density per so many units of area; null without a positive area."""
+    size = F.when(F.col(area) > 0, F.col(area).cast("double"))
+    logs = {f"log_{c}": F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in counts}
+    return df.withColumns(logs | {f"{c}_per_{int(per)}": F.col(c) / size * per for c, per in counts.items()})
+
+
+def level_bucket(applies: Column, value: Column, edges: tuple[float, ...] = (0, 3, 10), names: tuple[str, ...] = ("ground", "low", "mid", "high")) -> Column:
+    """The name of the right-closed bucket; placeholders for unknown values and where it cannot apply."""
+    out = F.when(~F.coalesce(applies, F.lit(False)), X.NOT_APPLICABLE).when(value.isNull(), X.UNKNOWN)
+    for edge, name in zip(edges, names):
+        out = out.when(value <= edge, name)
+    return out.otherwise(names[-1])
+
+
+def match_features(df: DataFrame, pairs: dict[str, tuple[str, str]], item: str, budgets: dict[str, tuple[str, str]]) -> DataFrame:
+    """Whether wanted and offered values agree (null without an item or a wish), and for each budget its ratio to the cost and its headroom."""
+    out = {f"same_{k}": F.when(F.col(item).isNotNull() & F.col(a).isNotNull(), F.coalesce(F.col(a).cast("string") == F.col(b).cast("string"), F.lit(False)).cast("int")) for k, (a, b) in pairs.items()}
+    for k, (budget, cost) in budgets.items():
+        out |= {f"{k}_budget_ratio": X.safe_ratio(F.col(budget), F.col(cost)), f"{k}_headroom": X.safe_ratio(F.col(budget) - F.col(cost), F.col(budget))}
+    return df.withColumns(out)

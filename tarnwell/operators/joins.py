@@ -81,26 +81,22 @@ def next_event(rows: DataFrame, key: str, time: str, is_event: Column, days: int
     return rows.withColumn(name, F.min(F.when(is_event, F.col(time))).over(w))
 
 
-def geo_keys(df: DataFrame, levels: list[str]) -> Column:
-    """(rank, value) for each level of a hierarchy, finest first; a level with a null in it is left out."""
-    named = [F.struct(F.lit(k).alias("rank"), F.when(F.col(c).isNotNull(), F.concat_ws("/", F.lit(c), F.col(c).cast("string"))).alias("value")) for k, c in enumerate(levels)]
-    return F.filter(F.array(*named), lambda x: x["value"].isNotNull())
-
-
 def tiered_candidates(demand: DataFrame, supply: DataFrame, demand_id: str, supply_id: str, equal: list[str], levels: list[str], when: Column | None = None) -> DataFrame:
     """Pairs that agree on `equal` and on some level, with `tier` the finest such level, under the condition `when`.
 
-    Both sides are dealt out by level, so the join is by equality; supply columns come with the prefix s_.
+    Levels are nested, finest first: who agrees on one agrees on all coarser ones. So the join is by equality of the
+    coarsest level alone and the tier is a comparison of columns. Ids are unique on both sides; supply columns come with the prefix s_.
     """
-    d = demand.withColumn("_geo", F.explode(geo_keys(demand, levels))).select("*", F.col("_geo.rank").alias("_rank"), F.col("_geo.value").alias("_value"))
-    s = supply.select(*[F.col(c).alias(f"s_{c}") for c in supply.columns], F.explode(geo_keys(supply, levels)).alias("_sgeo"))
-    on = F.col("_value") == F.col("_sgeo.value")
+    s = supply.select(*[F.col(c).alias(f"s_{c}") for c in supply.columns])
+    on = F.col(levels[-1]) == F.col(f"s_{levels[-1]}")
     for c in equal:
         on &= F.col(c) == F.col(f"s_{c}")
     if when is not None:
         on &= when
-    pairs = d.join(s, on).groupBy(demand_id, F.col(f"s_{supply_id}").alias(supply_id)).agg(F.min("_rank").alias("tier"))
-    return pairs
+    tier = F.lit(len(levels) - 1)
+    for k in range(len(levels) - 2, -1, -1):
+        tier = F.when(F.col(levels[k]) == F.col(f"s_{levels[k]}"), k).otherwise(tier)
+    return demand.join(s, on).select(demand_id, F.col(f"s_{supply_id}").alias(supply_id), tier.alias("tier"))
 
 
 def relaxed_candidates(demand: DataFrame, supply: DataFrame, found: DataFrame, demand_id: str, supply_id: str, level: str, differs: str, tier: int = 3, when: Column | None = None) -> DataFrame:

@@ -203,15 +203,17 @@ def bootstrap(df: DataFrame, target: str, scores: list[str], metric_share: float
     A row (or its cluster) gets a Poisson(1) weight a draw from a hash, so all scores see the same draws and reruns agree.
     Draws without both classes are left out.
     """
-    unit = F.col(cluster) if cluster else F.xxhash64(*df.columns)
-    u = F.shiftrightunsigned(F.xxhash64(unit.cast("string"), F.col("draw"), F.lit(seed)), 11).cast("double") / float(1 << 53)
+    # without a cluster every row is a unit of its own, equal rows too
+    unit = F.col(cluster) if cluster else F.monotonically_increasing_id()
+    u = F.shiftrightunsigned(F.xxhash64(F.col("_unit").cast("string"), F.col("draw"), F.lit(seed)), 11).cast("double") / float(1 << 53)
     cuts, total, term = [], 0.0, math.exp(-1)
     for k in range(12):
         total += term
         cuts.append(total)
         term /= k + 1
     weight = sum(((u > c).cast("int") for c in cuts), F.lit(0))
-    long = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_w", weight).filter("_w > 0")
+    long = df.select(unit.alias("_unit"), target, *scores)
+    long = long.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_w", weight).filter("_w > 0")
     long = long.select("draw", "_w", target, F.explode(F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).cast("double").alias("_s")) for s in scores])).alias("x")).select("draw", "_w", target, "x.*")
     table = long.groupBy("draw", "score_name", "_s").agg(F.sum(F.col("_w") * F.col(target)).cast("double").alias("pos"), F.sum("_w").cast("double").alias("n"))
     w = Window.partitionBy("draw", "score_name")

@@ -59,8 +59,11 @@ def calendar_split(df: DataFrame, time: str, target: str, windows: dict[str, tup
     return df.withColumn("split", F.when(F.col(target).isNull(), "purge_or_censored").otherwise(split))
 
 
-def rolling_folds(df: DataFrame, time: str, folds: int = 4, purge_days: int = 7) -> DataFrame:
-    """Rows tagged (fold, role) for folds at quantiles of the times: train ends `purge_days` before validation begins."""
+def rolling_folds(df: DataFrame, time: str, folds: int = 4, purge_days: int = 7, entity: str | None = None) -> DataFrame:
+    """Rows tagged (fold, role) for folds at quantiles of the times: train ends `purge_days` before validation begins.
+
+    With an entity, those that a fold validates leave its train rows, so no entity stands on both sides.
+    """
     cuts = df.agg(F.percentile_approx(F.unix_micros(F.col(time).cast("timestamp")), [(k + 1) / (folds + 1) for k in range(folds)], 10000)).first()[0]
     at, gap = F.unix_micros(F.col(time).cast("timestamp")), purge_days * 86_400_000_000
     tagged = []
@@ -68,7 +71,40 @@ def rolling_folds(df: DataFrame, time: str, folds: int = 4, purge_days: int = 7)
         after = cuts[k + 1] if k + 1 < folds else None
         role = F.when(at < c - gap, "train").when((at >= c) & (F.lit(True) if after is None else at < after), "validation")
         tagged.append(F.struct(F.lit(k + 1).alias("fold"), role.alias("role")))
-    return df.withColumn("_f", F.explode(F.array(*tagged))).filter("_f.role is not null").select(*df.columns, "_f.fold", "_f.role")
+    out = df.withColumn("_f", F.explode(F.array(*tagged))).filter("_f.role is not null").select(*df.columns, "_f.fold", "_f.role")
+    if entity is None:
+        return out
+    validated = out.filter("role = 'validation'").select("fold", entity).distinct().withColumn("_both", F.lit(True))
+    return out.join(validated, ["fold", entity], "left").filter("role = 'validation' or _both is null").select(*df.columns, "fold", "role")
+
+
+def expanding_folds(df: DataFrame, entity: str, time: str, ends: list[tuple[float, float, float]]) -> DataFrame:
+    """Rows tagged (fold, role) by the place of their entity in the order of first times: train, validation and test end at shares of the entities.
+
+    Each part holds one entity more than the one before at least; entities never stand in two parts of a fold.
+    """
+    from .ordering import with_position
+
+    first = df.groupBy(entity).agg(F.min(time).alias("_first"))
+    placed = with_position(first.withColumn("_at", F.unix_micros(F.col("_first").cast("timestamp"))), "_at", (entity,), name="_place")
+    n = first.count()
+    tagged = []
+    for k, (train, validation, test) in enumerate(ends):
+        a = max(1, int(n * train))
+        b = max(a + 1, int(n * validation))
+        c = min(n, max(b + 1, int(n * test)))
+        role = F.when(F.col("_place") <= a, "train").when(F.col("_place") <= b, "validation").when(F.col("_place") <= c, "test")
+        tagged.append(F.struct(F.lit(k + 1).alias("fold"), role.alias("role")))
+    dealt = placed.select(entity, F.explode(F.array(*tagged)).alias("_f")).filter("_f.role is not null").select(entity, "_f.fold", "_f.role")
+    return df.join(dealt, entity)
+
+
+def assert_isolated(folds: DataFrame, entity: str) -> DataFrame:
+    """The same rows, or an error if an entity stands in two roles of one fold."""
+    bad = folds.groupBy("fold", entity).agg(F.count_distinct("role").alias("_r")).filter("_r > 1")
+    if not bad.isEmpty():
+        raise ValueError(f"entities of {entity} in two roles of a fold")
+    return folds
 
 
 def fold_isolation(df: DataFrame, entity: str, time: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwell.operators import joins as J
 from tarnwell.plans.registry import ASKS, DEMAND, SNAPSHOTS, SUPPLY, asks, demand, events, orders, query, r6, snapshots, supply
@@ -19,17 +22,24 @@ def scan_events(spark: SparkSession, d: str) -> DataFrame:
     return e.agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("n_null"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
-@query("""SELECT CAST(25 AS BIGINT) AS left_rows, CAST(25 AS BIGINT) AS right_rows, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right""")
+_PLAIN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS left_rows, count(*) AS right_rows, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right FROM {t}" for t in _PLAIN))
 def format_parity(spark: SparkSession, d: str) -> DataFrame:
-    """A table against its own copy read through the text types of CSV and cast back."""
-    n = load_table(spark, d, "nation")
-    text = n.select([F.col(c).cast("string").alias(c) for c in n.columns])
-    return S.parity(n, S.cast_like(text, n.schema))
+    """Every plain table against its copy written as CSV, read back as text and cast."""
+    found = []
+    for t in _PLAIN:
+        df, path = load_table(spark, d, t), S.scratch_folder(spark, t)
+        S.write_table(df.select([F.col(c).cast("string").alias(c) for c in df.columns]), path, "csv")
+        text = S.read_csv(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in df.columns]))
+        found.append(S.parity(df, S.cast_like(text, df.schema)).select(F.lit(t).alias("name"), "*"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
-@query("""SELECT count(*) AS n_rows FROM orders""")
+@query("""SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}'), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM orders""")
 def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return S.unordered_fingerprint(orders(spark, d)).select("n_rows")
+    return S.unordered_fingerprint(orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus"))
 
 
 @query("""SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || '}') AS key FROM orders WHERE o_orderkey % 3 <> 0""")
@@ -128,9 +138,10 @@ def join_explosion(spark: SparkSession, d: str) -> DataFrame:
     return J.expansion_factor(asks(spark, d), li, "part_id").select("left_rows", "joined_rows", *r6("expansion"))
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def anti_customers(spark: SparkSession, d: str) -> DataFrame:
-    return J.orphans(load_table(spark, d, "customer"), orders(spark, d), "c_custkey", "o_custkey").select("c_custkey")
+    """Customers without an urgent order."""
+    return J.orphans(load_table(spark, d, "customer"), orders(spark, d).filter("o_orderpriority = '1-URGENT'"), "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("""SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
@@ -167,17 +178,17 @@ def entity_overlap(spark: SparkSession, d: str) -> DataFrame:
     return a.intersect(load_table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("nation")))
 
 
-@query("""SELECT CAST(k AS BIGINT) AS k, side FROM (SELECT l_partkey AS k, 'li' AS side FROM lineitem WHERE l_quantity > 49 UNION ALL SELECT p_partkey, 'part' FROM part WHERE p_size > 45)""")
+@query("""SELECT CAST(k AS BIGINT) AS k, side FROM (SELECT l_partkey AS k, 'li' AS side FROM lineitem UNION ALL SELECT p_partkey, 'part' FROM part)""")
 def vertical_union(spark: SparkSession, d: str) -> DataFrame:
-    a = load_table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("k"), F.lit("li").alias("side"))
-    b = load_table(spark, d, "part").filter("p_size > 45").select(F.lit("part").alias("side"), F.col("p_partkey").alias("k"))
+    a = load_table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.lit("li").alias("side"))
+    b = load_table(spark, d, "part").select(F.lit("part").alias("side"), F.col("p_partkey").alias("k"))
     return a.unionByName(b)
 
 
-@query("""SELECT CAST(k AS BIGINT) AS k, q, s FROM (SELECT l_partkey AS k, l_quantity AS q, NULL AS s FROM lineitem WHERE l_quantity > 49 UNION ALL SELECT p_partkey, NULL, CAST(p_size AS BIGINT) FROM part WHERE p_size > 45)""")
+@query("""SELECT CAST(k AS BIGINT) AS k, q, s FROM (SELECT l_partkey AS k, l_quantity AS q, NULL AS s FROM lineitem UNION ALL SELECT p_partkey, NULL, CAST(p_size AS BIGINT) FROM part)""")
 def aligned_union(spark: SparkSession, d: str) -> DataFrame:
-    a = load_table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("k"), F.col("l_quantity").alias("q"))
-    b = load_table(spark, d, "part").filter("p_size > 45").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("s"))
+    a = load_table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_quantity").alias("q"))
+    b = load_table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("s"))
     return a.unionByName(b, allowMissingColumns=True)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,9 +74,9 @@ def calendar_split(spark: SparkSession, d: str) -> DataFrame:
     return T.calendar_split(o, "o_orderdate", "target", windows).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT CAST(k AS INT) AS fold, CAST(0 AS BIGINT) AS shared_entities, true AS in_order FROM range(1, 5) r(k)""")
 def rolling_fold_isolation(spark: SparkSession, d: str) -> DataFrame:
-    folds = T.rolling_folds(orders(spark, d), "o_orderdate")
+    folds = T.rolling_folds(orders(spark, d), "o_orderdate", entity="o_custkey")
     return T.fold_isolation(folds, "o_custkey", "o_orderdate")
 
 
@@ -176,26 +175,7 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def streamed_daily_volume(spark: SparkSession, d: str) -> DataFrame:
     """The daily volume through the streaming engine, all input at once; complete mode keeps every window."""
-    from tarnwell.streaming.events import run_available
+    from tarnwell.streaming.events import run_available, table_stream
 
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(_stream_folder(spark, d)).withColumn("ts", F.col("ts").cast("timestamp"))
-    windows = stream.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    name = "volume_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    out = run_available(windows, name, _checkpoint(spark, name), "complete")
-    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
-
-
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tarnwell-")
-    return f"{root}/stream-{name}"
-
-
-def _stream_folder(spark: SparkSession, d: str) -> str:
-    """A folder as file sources need it: the table itself if it is one, else a copy as one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        return f"{d}/events.parquet"
-    out = _checkpoint(spark, "input-" + next(tempfile._get_candidate_names()))
-    spark.read.parquet(f"{d}/events.parquet").write.parquet(out)
-    return out
+    windows = table_stream(spark, d, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    return run_available(windows, "volume", "complete").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

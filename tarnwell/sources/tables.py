@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,16 @@ from pyspark.sql import types as T
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: under spark.checkpoint.dir, or of this machine where Spark runs on it alone."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tarnwell-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def normalise(df: DataFrame) -> DataFrame:
     """Ingest policy: timestamps without zone are read as session-zone timestamps, NaN becomes null."""
     out = {}

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tarnwell.sources.tables import load_table, normalise, scratch_folder
+
 
 def read_events(spark: SparkSession, path: str, schema, time: str = "ts", late: str = "1 day") -> DataFrame:
     """A Parquet folder as a stream with event time and a watermark."""
@@ -86,13 +88,32 @@ def ranked_queue(target: str, score: str, tie: str, share: float) -> Callable[[D
     return sink
 
 
-def with_alarms(events: DataFrame, name: str, **conditions) -> DataFrame:
-    """Row counts of broken conditions, observed batch by batch for a listener."""
+def with_alarms(events: DataFrame, name, **conditions) -> DataFrame:
+    """Row counts of broken conditions, observed batch by batch for a listener; `name` is a name or an Observation."""
     return events.observe(name, F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything there is now, through the streaming engine, as a table in memory (for tests and small results)."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table as a stream of all its files; a table that is one file is written out as a folder, as file sources read folders."""
+    at = f"{root}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    table = load_table(spark, root, name)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        at = scratch_folder(spark, name)
+        table.write.parquet(at)
+    return normalise(spark.readStream.schema(spark.read.parquet(at).schema).parquet(at))
+
+
+def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Everything there is now, through the streaming engine, as a table in the shared folder.
+
+    Batches of append mode are added; in complete mode every batch replaces the one before.
+    """
+    target = scratch_folder(df.sparkSession, name)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{target}-state").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", target)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target))
+    writer.start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(target)

@@ -20,7 +20,7 @@ def _input(spark, tmp_path):
 def test_tumbling_windows_match_batch(spark, tmp_path):
     df = _input(spark, tmp_path)
     stream = E.read_events(spark, f"{tmp_path}/in", df.schema)
-    out = E.run_available(E.tumbling(stream, "ts", "1 day", ["user"], F.count("*").alias("n")), "tumble", f"{tmp_path}/c1", "complete")
+    out = E.run_available(E.tumbling(stream, "ts", "1 day", ["user"], F.count("*").alias("n")), "tumble", "complete")
     want = df.groupBy(F.window("ts", "1 day").getField("start").alias("start"), "user").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
 
@@ -28,7 +28,7 @@ def test_tumbling_windows_match_batch(spark, tmp_path):
 def test_first_events_match_batch(spark, tmp_path):
     df = _input(spark, tmp_path)
     stream = E.read_events(spark, f"{tmp_path}/in", df.schema)
-    out = E.run_available(E.first_events(stream, "user", "ts", "event"), "first", f"{tmp_path}/c2")
+    out = E.run_available(E.first_events(stream, "user", "ts", "event"), "first")
     want = {(r.user, r.event) for r in first_per_key(df, "user", "ts", "event").filter("user < 9").collect()}
     assert {(r.user, r.event) for r in out.collect() if r.user < 9} == want
 
