@@ -19,9 +19,11 @@ def split_hot(rows: DataFrame, key: str, spread: str, most: int, weight: Column
     chunks becomes a shard of its own, whose rows of side 1 are compared with those of side 2.
     """
     hot = rows.groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("count")).filter(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_chunks"))
-    if hot.isEmpty():
+    n_hot = hot.count()
+    if not n_hot:
         return rows.withColumns({"shard": F.xxhash64(key), "side": F.lit(0).cast("byte")})
-    marked = rows.join(hot, key, "left").withColumn("_own", F.pmod(F.xxhash64(spread, F.lit(most)), F.coalesce("_chunks", F.lit(1))).cast("int"))
+    # by broadcast while hot keys are few, so that their rows are not dealt out by key
+    marked = rows.join(F.broadcast(hot) if n_hot <= 200_000 else hot, key, "left").withColumn("_own", F.pmod(F.xxhash64(spread, F.lit(most)), F.coalesce("_chunks", F.lit(1))).cast("int"))
     dealt = marked.withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1)))
     side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2).cast("byte")
     return dealt.withColumns({"shard": F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")), "side": side}).drop("_chunks", "_own", "_other")

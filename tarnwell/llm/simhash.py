@@ -364,8 +364,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     found = materialize(set_fingerprints(rows.select(order.alias("order"), F.col(text_col).alias("text")), "order", "text", width, words), "fingerprints")
     distinct = materialize(found.groupBy("set").agg(F.min("fp").alias("fp"), F.min("order").alias("first"), F.count("*").alias("_n")), "distinct")
     maybe = materialize(_rooted(distinct, "fp", link_wide(distinct.select("fp").distinct(), similarity, words)), "candidates")
-    several = maybe.groupBy("root").count().filter("count > 1").select("root")
-    members = maybe.join(several, "root", "left_semi").select(F.col("first.row").alias("row"), "set", "root")
+    per_root = materialize(maybe.groupBy("root").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("several", F.lit(True)), "roots")
+    members = join_per_key(maybe.drop("_n"), per_root, "root").filter("several").select(F.col("first.row").alias("row"), "set", "root")
     texts = rows.select(F.col(place).alias("row"), F.col(text_col).alias("text"))
     links = link_sets(texts.join(members, "row"), similarity, width)
     named = _named(distinct, "set", links)
