@@ -186,11 +186,10 @@ def test_language_model_learns_what_follows_what():
 def test_contexts_are_the_words_before():
     rng = np.random.default_rng(1)
     r, starts = rng.normal(size=(65, lm.DIMS)).astype(np.float32), np.array([0, 1, 40, 41, 100])
-    tokens, picked = rng.integers(0, 64, 100), np.arange(2, 100, 7)
-    got = lm.Contexts(tokens, starts, r, picked)
-    for k, t in enumerate(picked):
+    tokens = rng.integers(0, 64, 100)
+    for got, k, t in [(lm.Contexts(tokens, starts, r, picked), k, t) for picked in (np.arange(2, 100, 7), np.arange(100)) for k, t in enumerate(picked)]:
         before = tokens[starts[starts <= t][-1] : t]
-        assert got.last[k].tolist() == [*before[::-1][: lm.SPAN], *[64] * (lm.SPAN - len(before))]
+        assert [x[k] for x in got.last] == [*before[::-1][: lm.SPAN], *[64] * (lm.SPAN - len(before))]
         assert np.allclose(got.mean[k], r[before].mean(axis=0) if len(before) else 0, atol=1e-5)
 
 
