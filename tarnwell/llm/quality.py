@@ -106,8 +106,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     return float(min(0.98, max(0.02, np.mean(found))))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights (the last one is the intercept) that minimise the non-negative risk with logistic loss."""
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 2000, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights (the last one is the intercept) that minimise the non-negative risk with logistic loss, by Adam on the whole sample."""
     add = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)])
     p, u = add(positive), add(unlabelled)
     w = np.zeros(p.shape[1], np.float32)
