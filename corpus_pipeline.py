@@ -1,7 +1,13 @@
 """The corpus pipeline: each stage takes all that its predecessor kept.
 
 Quality classifier, SimHash near-dedup, benchmark decontamination, secret scans, mixing
-sources to target weights. Every stage but the last returns the columns of documents.
+sources to target weights. Every stage but the last returns the columns of documents, extra ones too.
+
+Edge cases, in every stage: an empty table stays empty; whole texts are read, however long. Null, empty and
+very short texts: the classifier gives them about the share of good documents as score, so they stay; all texts without a word are near-duplicates of
+each other in no case but exactly equal ones, of which one stays; they hold no benchmark window and no secret, and take no words in the mix.
+Repeated rows: each is judged alike; near-dedup keeps one of them, the one with the smallest id (nulls last). Null ids are rows like others; a null
+source is a source of its own. Names of internal columns never clash with those of the table.
 """
 
 from __future__ import annotations

@@ -68,8 +68,10 @@ def _sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Labels and features of a sample of at most so many rows, in an order that does not depend on the tasks."""
     got = rows.mapInArrow(_vectors, "label int, x binary").limit(most).toArrow()
     y = np.array(got.column("label").to_pylist(), dtype=np.int64)
+    if not len(y):
+        return y, np.zeros((0, 0), np.float32)
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), -1)
-    order = np.lexsort((x[:, 2], x[:, 1], x[:, -3], y)) if len(y) else np.arange(0)
+    order = np.lexsort((x[:, 2], x[:, 1], x[:, -3], y))
     return y[order], x[order]
 
 
@@ -106,7 +108,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     return float(min(0.98, max(0.02, np.mean(found))))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 2000, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights (the last one is the intercept) that minimise the non-negative risk with logistic loss, by Adam on the whole sample."""
     add = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)])
     p, u = add(positive), add(unlabelled)

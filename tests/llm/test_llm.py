@@ -706,7 +706,12 @@ def test_pipeline_stages_against_brute_force(spark, corpus, texts):
     assert list(stages) == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "secret scans", "mixing sources to target weights"]
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     after = {r.doc_id for r in kept["quality classifier"].collect()}
-    judged = [(labels[d] == 1) == (d in after) for d in texts if d in labels]
+    assert all(d in after for d in texts if labels.get(d) == 1)  # clean documents stay
+    # two hundred documents hold eleven bad ones, too few to learn from trusted positives alone: the share of right decisions is held on a thousand
+    larger = DATA.replace("0.001", "0.01")
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    stays = {r.doc_id for r in stages["quality classifier"](spark, spark.read.parquet(f"{larger}/documents.parquet"), larger).select("doc_id").collect()}
+    judged = [(known[d] == 1) == (d in stays) for d in known]
     assert sum(judged) / len(judged) > 0.95
     shingles = lambda t: {tuple(low(t).split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
     survivors = {r.doc_id: shingles(r.text) for r in kept["SimHash near-dedup"].collect()}
@@ -729,5 +734,8 @@ def secrets_in(text):
 
 def test_pipeline_stages_on_odd_tables(spark, odd, none):
     for docs in (odd, none):
-        for _, stage in corpus_pipeline.STAGES[1:]:
-            stage(spark, docs, DATA).count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            rows = stage(spark, docs, DATA).collect()
+            assert len(rows) <= docs.count()
+            if k < 4:
+                assert stage(spark, docs, DATA).schema.names == docs.columns
