@@ -207,7 +207,7 @@ def read_arc(spark: SparkSession, path: str, batch_bytes: int = 4 << 20, packed:
                 for r in parse_arc(content):
                     http, payload = _split_http(r.pop("body"))
                     page = _header(http, b"X-Page-Id")
-                    held.append(r | {"page_id": int(page) if page else None, "http": http, "payload": zlib.compress(payload, 6) if packed else payload, "digest": base32_sha1(payload), "bytes": len(payload)})
+                    held.append(r | {"page_id": int(page) if page else None, "http": http, "payload": zlib.compress(payload, 1) if packed else payload, "digest": base32_sha1(payload), "bytes": len(payload)})
                     size += len(payload)
                     if size >= batch_bytes:
                         yield _records(name, held)
