@@ -197,7 +197,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_arc(spark: SparkSession, path: str, batch_bytes: int = 4 << 20, packed: bool = False) -> DataFrame:
+def read_arc(spark: SparkSession, path: str, batch_bytes: int = 4 << 20, packed: bool = False, payloads: bool = True) -> DataFrame:
     """file, at, page_id, url, date, mime, http, payload (deflated, if packed), digest and bytes of every record of the ARC files."""
 
     def parse(batches):
@@ -207,7 +207,7 @@ def read_arc(spark: SparkSession, path: str, batch_bytes: int = 4 << 20, packed:
                 for r in parse_arc(content):
                     http, payload = _split_http(r.pop("body"))
                     page = _header(http, b"X-Page-Id")
-                    held.append(r | {"page_id": int(page) if page else None, "http": http, "payload": zlib.compress(payload, 1) if packed else payload, "digest": base32_sha1(payload), "bytes": len(payload)})
+                    held.append(r | {"page_id": int(page) if page else None, "http": http, "payload": None if not payloads else zlib.compress(payload, 1) if packed else payload, "digest": base32_sha1(payload), "bytes": len(payload)})
                     size += len(payload)
                     if size >= batch_bytes:
                         yield _records(name, held)
@@ -241,12 +241,13 @@ def warc_record(kind: str, identity: str, date: str, url: str | None, block: byt
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def convert(records: DataFrame, path: str, least: int = 0, segment_bytes: int = 32 << 20, packed: bool = False) -> None:
+def convert(records: DataFrame, path: str, least: int = 0, segment_bytes: int = 32 << 20, packed: bool = False, keys: DataFrame | None = None) -> None:
     """ARC records (payloads deflated, if packed, which halves the shuffle) as WARC files. The response of each digest is found by an aggregation, which groups of any size pass."""
     place = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "at", "url", "date")
     # only digests of records that are long enough have a response to refer to
     keyed = records.withColumn("key", F.when(F.col("bytes") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), "file", F.lit(" "), "at")))
-    first = materialize(keyed.filter(F.col("bytes") >= least).groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("_n")).filter("_n > 1"), "responses")
+    found = records if keys is None else keys  # the same records without payloads, where they can be had
+    first = materialize(found.withColumn("key", F.col("digest")).filter(F.col("bytes") >= least).groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("_n")).filter("_n > 1"), "responses")
     marked = join_per_key(keyed, first, "key")
     own = (F.col("first.file") == F.col("file")) & (F.col("first.at") == F.col("at"))
     marked = marked.select("page_id", "url", "date", "mime", "http", "payload", "digest", "bytes", "truncated", F.when(~own, F.col("first")).alias("first"))
@@ -313,7 +314,7 @@ def archive_pages(pages: DataFrame, least: int = 0, segment_bytes: int = 32 << 2
     spark = pages.sparkSession
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     write_arc(pages, arc, segment_bytes=segment_bytes)
-    convert(read_arc(spark, arc, packed=True), warc, least, segment_bytes, packed=True)
+    convert(read_arc(spark, arc, packed=True), warc, least, segment_bytes, packed=True, keys=read_arc(spark, arc, payloads=False))
     return read_warc(spark, warc, payloads)
 
 
