@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import exact_quantiles
+
 
 def mode(df: DataFrame, by: list[str], value: str, name: str = "mode") -> DataFrame:
     """Most frequent non-null value of each group; the smallest one on ties."""
@@ -87,13 +89,16 @@ def quantile_nearest(df: DataFrame, by: list[str], value: str, q: float, name: s
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, n_missing, mean, quartiles and 1.5-IQR outliers, in two passes over all columns at once."""
+    """column, n, n_missing, mean, quartiles and 1.5-IQR outliers, over all columns at once."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
-    stats = long.groupBy("column").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    iqr = F.col("_q")[2] - F.col("_q")[0]
-    bounds = stats.select("column", (F.col("_q")[0] - 1.5 * iqr).alias("_lo"), (F.col("_q")[2] + 1.5 * iqr).alias("_hi"))
-    outside = long.join(F.broadcast(bounds), "column").groupBy("column").agg(F.count_if((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi"))).alias("n_outliers"))  # one row a column
-    return stats.join(outside, "column").select("column", "n", "n_missing", "mean", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "n_outliers")
+    unknown = [None] * 3
+    quartiles = {c: q or unknown for c, q in exact_quantiles(df, columns, [0.25, 0.5, 0.75]).items()}
+    known = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(v).cast("double") for v in x]) for c, q in quartiles.items() for x in (c, q)])
+    q = [known[F.col("column")][k] for k in range(3)]
+    iqr = q[2] - q[0]
+    outlier = (F.col("value") < q[0] - 1.5 * iqr) | (F.col("value") > q[2] + 1.5 * iqr)
+    stats = long.groupBy("column").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"), F.count_if(outlier).alias("n_outliers"))
+    return stats.select("column", "n", "n_missing", "mean", q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), "n_outliers")
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -142,7 +147,8 @@ def profile_signals(df: DataFrame, group: str, categorical: list[str], numeric:
     modal = totals.select(group, "column", F.col("m.value").alias("v"), (-F.col("m.n") / F.col("t")).alias("share")).join(overall, ["column", "v"]).join(whole, F.col("column") == F.col("oc"))
     cats = modal.select(group, F.concat_ws("=", "column", "v").alias("signal"), (F.col("share") - F.col("on") / F.col("ot")).alias("strength"))
     long_n = df.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in numeric])).alias("y")).select(group, "y.*")
-    base = long_n.groupBy(F.col("column").alias("bc")).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
+    base = df.sparkSession.createDataFrame([(c, q) for c, q in quartiles.items()], "bc string, q array<double>")
     nums = long_n.groupBy(group, "column").agg(F.percentile("x", F.lit(0.5)).alias("med")).join(F.broadcast(base), F.col("column") == F.col("bc"))  # one row a column
     nums = nums.select(group, F.col("column").alias("signal"), F.try_divide(F.col("med") - F.col("q")[1], F.col("q")[2] - F.col("q")[0]).alias("strength"))
     ranked = cats.unionByName(nums).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.abs("strength").desc_nulls_last(), "signal")))

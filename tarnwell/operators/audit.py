@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import duplicate_keys, orphans
+from .ordering import exact_quantiles
 
 #: Columns that no feature table may hold.
 FORBIDDEN = ("lead_score_internal", "broker_response", "broker_response_hours", "days_on_market", "total_inquiries", "total_views", "is_active", "competing_inquiries_30d")
@@ -70,7 +71,9 @@ def consistency(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataF
 def price_arithmetic(df: DataFrame, total: Column, unit: Column, size: Column) -> DataFrame:
     """Median and 95th percentile of the relative error of total = unit * size."""
     error = F.abs(F.try_divide(total - unit * size, total))
-    return df.select(error.alias("e")).agg(F.count("e").alias("n"), F.percentile("e", F.lit(0.5)).alias("median_error"), F.percentile("e", F.lit(0.95)).alias("p95_error"))
+    errors = df.select(error.cast("double").alias("e"))
+    median, p95 = exact_quantiles(errors, ["e"], [0.5, 0.95])["e"] or (None, None)
+    return errors.agg(F.count("e").alias("n"), F.lit(median).cast("double").alias("median_error"), F.lit(p95).cast("double").alias("p95_error"))
 
 
 def volume_by_period(df: DataFrame, time: str, target: Column, unit: str = "yyyy-MM") -> DataFrame:

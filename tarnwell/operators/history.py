@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +54,10 @@ def strict_history(df: DataFrame, key: str, time: str, tie: str, means: list[str
             f"prior_{m}_last": newest,
             f"prior_{m}_trend": F.when(n > 1, (newest - oldest) / (n - 1)),
         }
-    out |= {f"prior_{d}_unique": F.size(F.collect_set(d).over(past)).cast("long") for d in distinct}
-    return df.withColumns(out)
+    # a value counts once, at its first row in the key
+    firsts = {f"_first_{d}": (F.col(d).isNotNull() & (F.row_number().over(Window.partitionBy(key, d).orderBy(time, tie)) == 1)).cast("long") for d in distinct}
+    out |= {f"prior_{d}_unique": F.coalesce(F.sum(f"_first_{d}").over(past), F.lit(0)).cast("long") for d in distinct}
+    return df.withColumns(firsts).withColumns(out).drop(*firsts) if distinct else df.withColumns(out)
 
 
 def same_value_history(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
@@ -64,14 +69,33 @@ def same_value_history(df: DataFrame, key: str, time: str, value: str) -> DataFr
 
 
 def gap_statistics(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
-    """Mean and median of the gaps (days) between a key's rows up to each row; peers of one time add a gap of 0."""
+    """Mean and median of the gaps (days) between a key's rows up to each row; peers of one time add a gap of 0.
+
+    The median comes from two heaps that follow a key's rows in order, so a key of n rows takes n log n steps.
+    """
     order = Window.partitionBy(key).orderBy(time, tie)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gapped = df.withColumn("_gap", (micros(time) - F.lag(micros(time)).over(order)) / DAY)
-    listed = F.array_sort(F.collect_list("_gap").over(upto))
-    n = F.size(listed)
-    middle = (F.get(listed, F.floor((n - 1) / 2).cast("int")) + F.get(listed, F.floor(n / 2).cast("int"))) / 2
-    return gapped.withColumns({"gap_mean": F.avg("_gap").over(upto), "gap_median": F.when(n > 0, middle)}).drop("_gap")
+    # the windows find their partitioning and order as they need it
+    dealt = df.repartition(key).sortWithinPartitions(key, time, tie)
+    gapped = dealt.withColumn("_gap", (micros(time) - F.lag(micros(time)).over(order)) / DAY).withColumn("gap_mean", F.avg("_gap").over(upto))
+
+    def medians(batches):
+        now, low, high = object(), [], []
+        for batch in batches:
+            out, names = [], batch.schema.names
+            for k, gap in zip(batch.column(names.index(key)).to_pylist(), batch.column(names.index("_gap")).to_pylist()):
+                if k != now:
+                    now, low, high = k, [], []
+                if gap is not None:
+                    # the lower half with its largest value on top, the upper one with its smallest
+                    heapq.heappush(high, -heapq.heappushpop(low, -gap))
+                    if len(high) > len(low):
+                        heapq.heappush(low, -heapq.heappop(high))
+                out.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
+            kept = [i for i, name in enumerate(names) if name != "_gap"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(out, pa.float64())], names=[*[names[i] for i in kept], "gap_median"])
+
+    return gapped.mapInArrow(medians, gapped.drop("_gap").schema.add("gap_median", "double"))
 
 
 def response_history(df: DataFrame, key: str, time: str, response_time: str, outcome: Column, row_id: str) -> DataFrame:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import running
+from .ordering import exact_quantiles, running
 
 
 def score_table(df: DataFrame, target: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -83,8 +83,7 @@ def gains_table(df: DataFrame, target: str, score: str, steps: int = 20) -> Data
 
 def edges_of(df: DataFrame, value: str, bins: int) -> list[float]:
     """Distinct exact quantiles 0, 1/bins, ..., 1 of a column: at most bins + 1 numbers."""
-    got = df.agg(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).first()[0]
-    return sorted(set(got)) if got else []
+    return sorted(set(exact_quantiles(df, [value], [k / bins for k in range(bins + 1)])[value] or []))
 
 
 def calibration_table(df: DataFrame, target: str, p: str, bins: int = 10) -> DataFrame:
@@ -166,7 +165,7 @@ def numeric_drift(reference: DataFrame, current: DataFrame, value: str) -> DataF
     """Wasserstein distance in reference IQRs, and difference of missing shares."""
     missing = lambda df: df.agg(F.avg(F.col(value).isNull().cast("double")))
     delta = missing(current).first()[0] - missing(reference).first()[0]
-    q = reference.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    q = exact_quantiles(reference, [value], [0.25, 0.75])[value]
     r = reference.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").cast("double").alias("r"), F.lit(0.0).alias("c"))
     c = current.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.lit(0.0).alias("r"), F.count("*").cast("double").alias("c"))
     merged = r.unionByName(c).groupBy("x").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
@@ -177,7 +176,7 @@ def numeric_drift(reference: DataFrame, current: DataFrame, value: str) -> DataF
     lagged = prior.join(F.broadcast(total)).select("x", F.col("before_one").alias("k"), F.abs(F.col("before_r") / F.col("_r") - F.col("before_c") / F.col("_c")).alias("gap"))
     nxt = lagged.select((F.col("k") + 1).alias("k"), F.col("x").alias("x0"))
     dist = lagged.join(nxt, "k").agg(F.coalesce(F.sum((F.col("x") - F.col("x0")) * F.col("gap")), F.lit(0.0)).alias("w"))
-    return dist.select((F.col("w") / F.lit(max(q[1] - q[0], 1e-9))).alias("wasserstein_iqr"), F.lit(delta).alias("missing_delta"))
+    return dist.select((F.col("w") / F.lit(max(q[1] - q[0], 1e-9) if q else None)).alias("wasserstein_iqr"), F.lit(delta).alias("missing_delta"))
 
 
 def confusion(df: DataFrame, target: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -191,10 +190,9 @@ def confusion(df: DataFrame, target: str, predicted: str, by: tuple[str, ...] =
 
 def error_types(df: DataFrame, target: str, score: str, reference: Column, q: float = 0.9) -> DataFrame:
     """TP, FP, FN, TN at the quantile of the reference rows' scores."""
-    cut = df.filter(reference).agg(F.percentile(score, F.lit(q)).alias("_c"))
-    out = df.join(F.broadcast(cut))  # a single row
-    high, y = F.col(score) >= F.col("_c"), F.col(target) == 1
-    return out.withColumn("error_type", F.when(high & y, "TP").when(high, "FP").when(y, "FN").otherwise("TN")).drop("_c")
+    cut = exact_quantiles(df.filter(reference), [score], [q])[score]
+    high, y = F.col(score) >= F.lit(cut[0] if cut else None).cast("double"), F.col(target) == 1
+    return df.withColumn("error_type", F.when(high & y, "TP").when(high, "FP").when(y, "FN").otherwise("TN"))
 
 
 def bootstrap(df: DataFrame, target: str, scores: list[str], metric_share: float = 0.10, draws: int = 200, seed: int = 7, cluster: str | None = None) -> DataFrame:

@@ -7,6 +7,9 @@ literals, so every evaluation cuts alike; equal keys share a bucket.
 
 from __future__ import annotations
 
+import math
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +20,17 @@ def _bucketed(df: DataFrame, key: Column, buckets: int) -> DataFrame:
 
 
 def as_number(df: DataFrame, key: str) -> Column:
-    """A number that orders as the key does: numbers, dates and times as they are, other types by their first bytes."""
+    """A number that orders as the key does: numbers, dates and times as they are, strings by the six bytes that follow what all of them begin with."""
     kind = df.schema[key].dataType.typeName()
     if kind in ("timestamp", "timestamp_ntz"):
         return F.unix_micros(F.col(key).cast("timestamp")).cast("double")
     if kind == "date":
         return F.unix_date(key).cast("double")
     if kind == "string":
-        return F.conv(F.rpad(F.substring(F.hex(F.col(key)), 1, 12), 12, "0"), 16, 10).cast("double")
+        # what the least and the greatest string begin with, all of them do
+        ends = df.agg(F.hex(F.min(key)), F.hex(F.max(key))).first()
+        shared = len(os.path.commonprefix([e or "" for e in ends])) // 2 * 2
+        return F.conv(F.rpad(F.substring(F.hex(F.col(key)), shared + 1, 12), 12, "0"), 16, 10).cast("double")
     return F.col(key).cast("double")
 
 
@@ -59,6 +65,34 @@ def running(df: DataFrame, key: str, measures: list[str], by: tuple[str, ...] =
     return out.drop("_bucket", "_b", *[f"_k_{b}" for b in by], *[f"_{x}_{m}" for m in measures for x in ("i", "o")])
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], accuracy: int = 10_000) -> dict[str, list[float] | None]:
+    """Exact quantiles (linear between neighbours) of each column as doubles, None for a column without values.
+
+    Two passes: approximate quantiles give a narrow interval around each one, then the values below an interval are
+    counted and only the distinct ones inside it, about 4 / accuracy of the rows, are ordered. An interval that misses is
+    widened to the whole column. Up to `accuracy` rows are ordered as they are. Only the quantiles reach the driver.
+    """
+    value = {c: F.col(c).cast("double") for c in columns}
+    near = [min(1.0, max(0.0, q + side * 2 / accuracy)) for q in shares for side in (-1, 1)]
+    first = df.agg(*[x for c, v in value.items() for x in (F.count(v).alias(f"n_{c}"), F.min(v).alias(f"a_{c}"), F.max(v).alias(f"b_{c}"), F.percentile_approx(v, near, accuracy).alias(f"q_{c}"))]).first()
+    found: dict[tuple[str, int], float] = {}
+    wide = {c for c in columns if first[f"n_{c}"] <= accuracy}
+    while missing := [(c, k) for c in columns for k in range(len(shares)) if first[f"n_{c}"] and (c, k) not in found]:
+        at = [shares[k] * (first[f"n_{c}"] - 1) for c, k in missing]
+        ends = [(first[f"a_{c}"], first[f"b_{c}"]) if c in wide else tuple(first[f"q_{c}"][2 * k : 2 * k + 2]) for c, k in missing]
+        # null stands for all values below the interval
+        spots = [F.when(value[c] <= b, F.struct(F.lit(i).alias("i"), F.when(value[c] >= a, value[c]).alias("x"))) for i, ((c, _), (a, b)) in enumerate(zip(missing, ends))]
+        counts = df.select(F.explode(F.array(*spots)).alias("s")).filter("s is not null").groupBy("s.i", "s.x").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("i").orderBy(F.col("x").asc_nulls_first()))
+        holds = lambda ranks: F.max(F.when((F.array(*[F.lit(r) for r in ranks])[F.col("i")] < F.col("upto")) & (F.array(*[F.lit(r) for r in ranks])[F.col("i")] >= F.col("upto") - F.col("n")), F.col("x")))
+        got = counts.withColumn("upto", upto).groupBy("i").agg(holds([math.floor(r) for r in at]).alias("lo"), holds([math.ceil(r) for r in at]).alias("hi")).collect()
+        for r in got:
+            if r["lo"] is not None and r["hi"] is not None:
+                found[missing[r["i"]]] = r["lo"] if r["lo"] == r["hi"] else r["lo"] + (r["hi"] - r["lo"]) * (at[r["i"]] % 1)
+        wide = set(columns)
+    return {c: [found[c, k] for k in range(len(shares))] if first[f"n_{c}"] else None for c in columns}
+
+
 def capacity_bands(df: DataFrame, key: str, ties: tuple[str, ...], shares: tuple[float, ...] = (0.05, 0.10, 0.20), names: tuple[str, ...] = ("PRIORITY", "HIGH", "MEDIUM", "LOW")) -> DataFrame:
     """Bands by exact rank: the first ceil(share * N) rows of the descending key, and so on."""
     ranked = with_position(df, key, ties, descending=True, name="rank")

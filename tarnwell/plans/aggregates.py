@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import scalars as X
 from tarnwell.operators import aggregates as A
 from tarnwell.operators import audit as U
+from tarnwell.operators.ordering import exact_quantiles
 from tarnwell.plans.registry import ASKS, SCORED, asks, events, orders, query, r6, scored
 from tarnwell.sources.tables import load_table
 
@@ -235,5 +236,5 @@ def interval_features(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH q AS (SELECT quantile_cont(l_extendedprice, 0.02) AS a, quantile_cont(l_extendedprice, 0.98) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(least(greatest(l_extendedprice, a), b), 4) AS price FROM lineitem, q""")
 def winsorized(spark: SparkSession, d: str) -> DataFrame:
     li = load_table(spark, d, "lineitem")
-    q = li.agg(F.percentile("l_extendedprice", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
-    return li.join(F.broadcast(q)).select("l_orderkey", "l_linenumber", F.round(F.least(F.greatest("l_extendedprice", F.col("q")[0]), F.col("q")[1]), 4).alias("price"))  # a single row
+    low, high = exact_quantiles(li, ["l_extendedprice"], [0.02, 0.98])["l_extendedprice"] or (None, None)
+    return li.select("l_orderkey", "l_linenumber", F.round(F.least(F.greatest("l_extendedprice", F.lit(low)), F.lit(high)), 4).alias("price"))

@@ -229,3 +229,47 @@ def test_boosted_trees_keep_the_best_number(spark):
     assert 1 <= model.stages[-1].getNumTrees <= 12 and model.stages[-1].getMaxDepth() == 6
     assert L.fit_boosted(df, df.filter("false"), "y", ["c"], ["x", "z"], iterations=6).stages[-1].getNumTrees == 6
     assert inspect.signature(L.fit_boosted).parameters["iterations"].default == 500
+
+
+def test_exact_quantiles_match_sorted_values(spark):
+    import numpy as np
+
+    from tarnwell.operators.ordering import exact_quantiles
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=3000).round(3), np.concatenate([np.full(2000, 7.0), rng.integers(0, 4, 1000)])
+    df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b)] + [(None, None, None)], "a double, b double, c double")
+    shares = [0.0, 0.02, 0.25, 0.5, 0.9, 1.0]
+    for accuracy in (50, 10_000):  # narrowed, and all values ordered
+        got = exact_quantiles(df, ["a", "b", "c"], shares, accuracy)
+        assert got["c"] is None
+        np.testing.assert_allclose(got["a"], np.quantile(a, shares), rtol=1e-12)
+        np.testing.assert_allclose(got["b"], np.quantile(b, shares), rtol=1e-12)
+
+
+def test_gap_statistics_match_sorted_gaps(spark):
+    import datetime
+    import random
+    import statistics
+
+    from tarnwell.operators.history import gap_statistics
+
+    draw, start = random.Random(3), datetime.datetime(2020, 1, 1)
+    rows = [(draw.choice([1, 2, 2, 2, None]), start + datetime.timedelta(hours=draw.randrange(400)), i) for i in range(300)]
+    got = {r["i"]: (r["gap_mean"], r["gap_median"]) for r in gap_statistics(spark.createDataFrame(rows, "k int, t timestamp, i int"), "k", "t", "i").collect()}
+    assert len(got) == len(rows)
+    for key in (1, 2, None):
+        own = sorted((t, i) for k, t, i in rows if k == key)
+        gaps = []
+        for at, (t, i) in enumerate(own):
+            if at:
+                gaps.append((t - own[at - 1][0]).total_seconds() / 86400)
+            assert got[i] == pytest.approx((statistics.mean(gaps), statistics.median(gaps))) if gaps else got[i] == (None, None)
+
+
+def test_positions_of_strings_with_a_common_prefix(spark):
+    from tarnwell.operators.ordering import with_position
+
+    names = [f"customer-{k:06d}" for k in range(500)]
+    parts = with_position(spark.createDataFrame([(n,) for n in reversed(names)], "name string"), "name")
+    assert [r["name"] for r in parts.orderBy("position").collect()] == names
