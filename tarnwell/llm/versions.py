@@ -216,7 +216,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     found = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], max(10_000, 20 * n)).alias("cuts"), F.min("id").alias("first")).first()
     bounds = sorted({int(x) for x in found["cuts"] or []} - {found["first"]})
     id_, last = F.col("id"), F.lit(len(bounds))
-    own = F.coalesce(_bucket(id_, bounds), last) if bounds else F.lit(0)
+    own = F.when(id_.isNull(), last).otherwise(_bucket(id_, bounds)) if bounds else F.lit(0)
     at_cut = F.coalesce(F.get(F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>"), own - 1) == id_, F.lit(False)) if bounds else F.lit(False)
     places = F.array(F.struct(own.cast("int").alias("bucket"), F.lit(0).alias("kind")), F.when(at_cut, F.struct((own - 1).cast("int").alias("bucket"), F.lit(1).alias("kind"))), F.when(id_.eqNullSafe(F.lit(found["first"])), F.struct(last.cast("int").alias("bucket"), F.lit(1).alias("kind"))))
     dealt = rows.withColumn("_at", F.explode(F.filter(places, lambda x: x.isNotNull()))).select("id", "text", "_at.bucket", "_at.kind")

@@ -166,7 +166,7 @@ def test_equal_texts_have_equal_fingerprints(spark):
 def test_peeling_recovers_the_difference_and_grows():
     rng = random.Random(7)
     for n, m in ((0, 0), (1, 0), (5, 3), (40, 0), (400, 300), (3000, 3000)):
-        common, a, b = ([f"{kind}{rng.random()} x.\n" for _ in range(k)] for kind, k in (("c", 500), ("a", n), ("b", m)))
+        common, a, b = ([f"{kind}{rng.getrandbits(50)} x.\n" for _ in range(k)] for kind, k in (("c", 500), ("a", n), ("b", m)))
         texts = ["".join(rng.sample(x, len(x)) * 1).encode() for x in (common + a + a[:2], common + b)]
         left, right = versions.Digests([texts[0], b"", texts[0]]), versions.Digests([texts[1], texts[1], texts[0]])
         owner, keys, sign = versions.differences(left, right)
