@@ -6,24 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import forget, materialize
 
 
-def split_hot(rows: DataFrame, key: str, spread: str, most: int, weight: Column | None = None) -> DataFrame:
+def split_hot(rows: DataFrame, key: str, spread: str, most: int, weight: Column | None = None, most_broadcast: int = 200_000) -> DataFrame:
     """Give each row the column `shard`, and `side`: 0 where all rows of a shard are compared with each other.
 
     A key with over `most` rows (or that sum of `weight`) is cut into chunks by a hash of `spread`; each pair of
     chunks becomes a shard of its own, whose rows of side 1 are compared with those of side 2.
     """
-    hot = rows.groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("count")).filter(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_chunks"))
+    hot = rows.groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n")).filter(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_chunks"), "_n")
     n_hot = hot.count()
     if not n_hot:
         return rows.withColumns({"shard": F.xxhash64(key), "side": F.lit(0).cast("byte")})
-    # by broadcast while hot keys are few, so that their rows are not dealt out by key
-    marked = rows.join(F.broadcast(hot) if n_hot <= 200_000 else hot, key, "left").withColumn("_own", F.pmod(F.xxhash64(spread, F.lit(most)), F.coalesce("_chunks", F.lit(1))).cast("int"))
+    # by broadcast, so that rows of hot keys are not dealt out by key; of very many hot keys only the hottest
+    looked_up = rows.join(F.broadcast(hot.drop("_n")), key, "left") if n_hot <= most_broadcast else join_per_key(rows, hot, key, most, most_broadcast)
+    marked = looked_up.withColumn("_own", F.pmod(F.xxhash64(spread, F.lit(most)), F.coalesce("_chunks", F.lit(1))).cast("int"))
     dealt = marked.withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1)))
     side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2).cast("byte")
     return dealt.withColumns({"shard": F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")), "side": side}).drop("_chunks", "_own", "_other")
@@ -32,14 +33,18 @@ def split_hot(rows: DataFrame, key: str, spread: str, most: int, weight: Column
 def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, most: int = 500, most_broadcast: int = 200_000) -> DataFrame:
     """Left join of rows with a table of one row a key, whose column `_n` tells how many rows the key has.
 
-    Keys of over `most` rows are looked up in a broadcast table while there are at most `most_broadcast` of them, and
-    the rows of these keys are dealt out evenly instead of by key. Beyond that number, Spark's own skew handling is left to it.
+    Keys of over `most` rows, of more than `most_broadcast` of them the hottest that many, are looked up in a broadcast table, and
+    the rows of these keys are dealt out evenly instead of by key.
     """
     rest = [c for c in per_key.columns if c not in (key, "_n")]
-    hot = per_key.filter(F.col("_n") > most)
-    n_hot = hot.count()
-    if not 0 < n_hot <= most_broadcast:
+    n_hot = per_key.filter(F.col("_n") > most).count()
+    if not n_hot:
         return rows.join(per_key.drop("_n"), key, "left")
+    if n_hot > most_broadcast:
+        counts = per_key.filter(F.col("_n") > most).groupBy("_n").agg(F.count("*").alias("keys"))
+        above = F.sum("keys").over(Window.orderBy(F.desc("_n")))  # over one row a count
+        most = counts.withColumn("above", above).filter(F.col("above") > most_broadcast).agg(F.max("_n")).first()[0]
+    hot = per_key.filter(F.col("_n") > most)
     known = hot.select(key, F.struct(*rest).alias("_hot"))
     marked = rows.join(F.broadcast(known), key, "left")
     # 0 for all rows but those of hot keys; an expression, as Spark would drop a constant from the join's key

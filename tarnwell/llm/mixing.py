@@ -8,12 +8,14 @@ once over the histogram of sizes; each step is one job over a table far smaller
 
 Rates become copies: everyone gets the whole part, and the fractions are filled in the order
 of a stable hash divided by the fraction, up to the target; what is then left is filled with
-single documents from the largest that fits downwards, so that a source ends within a few words of its target.
-The order is summed by slots and blocks of slots, so no task holds a whole source.
+free copies, the largest sizes that fit first, as many of each as fit, so that a source misses its target only by less than its
+smallest document with a free copy, or the share `near` of the target. Orders are summed by slots and blocks of slots, so no task holds a
+whole source, or all documents of one size.
 
-Edge cases: null texts and texts without a word have size 0, rate 1 and take nothing; the null
+Edge cases: null texts and texts without a word have size 0, rate 1 and take nothing; very long texts count whole; the null
 source is a source of its own and comes last; a source without words has target 0; null ids
-and repeated rows are documents of their own; an empty table gives an empty result; extra columns are ignored.
+and repeated rows are documents of their own; ties in the order of fractions are broken by id and row; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD, forget, hash_fraction, materialize, table
+from ._shards import join_per_key
 
 #: Slots of the order in which fractions are filled, and how many of them are summed as one block first.
 _SLOTS, _BLOCK = 1 << 14, 1 << 7
@@ -120,18 +123,18 @@ def balance(sizes: DataFrame, targets: DataFrame, most: float = 2.0, tolerance:
 
 
 def _edge(slots: DataFrame, room: DataFrame) -> DataFrame:
-    """source, room, filled and edge of each source: the slot at which its words pass the room, and the words before it.
+    """_k, room, filled and edge of each key: the slot at which its words pass the room, and the words before it.
 
-    `slots` holds source, slot (0 to _SLOTS - 1) and words; `room` holds source, room and filled. Words are summed
-    by blocks of slots first and by slot inside one block then, so a source's rows of either window are at most 128.
+    `slots` holds _k, slot (0 to _SLOTS - 1) and words; `room` holds _k, room and filled. Words are summed
+    by blocks of slots first and by slot inside one block then, so a key's rows of either window are at most 128.
     """
-    per = materialize(slots.groupBy("source", "slot").agg(F.sum("words").alias("words")), "slots")
+    per = materialize(slots.groupBy("_k", "slot").agg(F.sum("words").alias("words")), "slots")
     state = room.withColumn("block", F.lit(None).cast("long"))
     for width in (_BLOCK, 1):
-        inside = per.withColumnRenamed("source", "_s").join(state, F.col("_s").eqNullSafe(state["source"])).filter(F.col("block").isNull() | (F.floor(F.col("slot") / _BLOCK) == F.col("block")))
-        sums = inside.groupBy("source", F.floor(F.col("slot") / width).alias("at")).agg(F.sum("words").alias("words"), F.max("room").alias("room"), F.max("filled").alias("filled"))
-        upto = F.col("filled") + F.sum("words").over(Window.partitionBy("source").orderBy("at"))
-        found = sums.withColumn("upto", upto).groupBy("source").agg(
+        inside = per.join(state, "_k").filter(F.col("block").isNull() | (F.floor(F.col("slot") / _BLOCK) == F.col("block")))
+        sums = inside.groupBy("_k", F.floor(F.col("slot") / width).alias("at")).agg(F.sum("words").alias("words"), F.max("room").alias("room"), F.max("filled").alias("filled"))
+        upto = F.col("filled") + F.sum("words").over(Window.partitionBy("_k").orderBy("at"))
+        found = sums.withColumn("upto", upto).groupBy("_k").agg(
             F.max("room").alias("room"),
             F.coalesce(F.max(F.when(F.col("upto") <= F.col("room"), F.col("upto"))), F.max("filled")).alias("filled"),
             F.coalesce(F.min(F.when(F.col("upto") > F.col("room"), F.col("at"))), F.lit(_SLOTS)).alias("block"),
@@ -140,14 +143,67 @@ def _edge(slots: DataFrame, room: DataFrame) -> DataFrame:
     return state.withColumnRenamed("block", "edge")
 
 
+def _fill(rows: DataFrame, room: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows with `extra`: 1 for those that come, in the order of their slots, before their key's room is full.
+
+    `rows` holds _k, slot (null: never), inner, words and what `order` needs; `room` holds _k, room, filled and _n, the number of the key's rows.
+    The slot at which a key's room ends is cut once more by `inner`, and only one slot of that is ordered row by row.
+    """
+    edge = _edge(rows.filter("slot is not null").select("_k", "slot", "words"), room.drop("_n"))
+    edge = materialize(edge.join(room.select("_k", "_n"), "_k"), "edge")
+    dealt = join_per_key(rows, edge, "_k")
+    at_edge = materialize(dealt.filter("slot = edge"), "edge-rows")
+    fine = _edge(at_edge.select("_k", F.col("inner").alias("slot"), "words"), edge.select("_k", "room", "filled"))
+    last = materialize(at_edge.drop("room", "filled", "edge").join(fine, "_k"), "last-rows")
+    line = F.sum("words").over(Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ordered = last.filter("inner = edge").withColumn("extra", (F.col("filled") + line <= F.col("room")).cast("int"))
+    placed_ = last.filter("inner <> edge").withColumn("extra", (F.col("inner") < F.col("edge")).cast("int"))
+    others = dealt.filter("slot is null or slot <> edge or edge is null").withColumn("extra", F.coalesce((F.col("slot") < F.col("edge")).cast("int"), F.lit(0)))
+    named = [*rows.columns, "extra"]
+    return others.select(*named).unionByName(placed_.select(*named)).unionByName(ordered.select(*named))
+
+
+def _by_size(spare: DataFrame, left: DataFrame) -> DataFrame:
+    """_k, size, copies, taken: how many of the free copies of each size fill what is left, the largest sizes first.
+
+    `spare` holds _k, size and copies (free ones); `left` holds _k, left and near. A round takes whole sizes from the largest that fits until one
+    does not fit whole, and as many of that as fit. What is then left is less than that size, so a round or two
+    halve it: rounds are as many as its digits in base two, however many sizes there are.
+    """
+    state, taken = left, spare.withColumn("taken", F.lit(0).cast("long")).filter("false")
+    down = Window.partitionBy("_k").orderBy(F.desc("size"))
+    while True:
+        fits = spare.join(state, "_k").filter((F.col("left") > F.col("near")) & (F.col("size") <= F.col("left")))
+        before = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        room = F.col("left") - before
+        whole = F.col("size") * F.col("copies") <= room
+        # sizes up to the first that does not fit whole; those after it wait for the next round
+        tried = fits.withColumn("_whole", whole).withColumn("_room", room).withColumn("_open", F.coalesce(F.min(F.col("_whole").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1)))
+        took = tried.filter("_open = 1").select("_k", "size", "copies", F.when(F.col("_whole"), F.col("copies")).otherwise(F.floor(F.col("_room") / F.col("size"))).cast("long").alias("taken")).filter("taken > 0")
+        took = materialize(took, "taken-sizes")
+        if took.isEmpty():
+            return taken
+        taken = taken.unionByName(took)
+        spent = took.groupBy("_k").agg(F.sum(F.col("size") * F.col("taken")).alias("spent"))
+        state = materialize(state.join(spent, "_k", "left").select("_k", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left"), "near"), "left")
+        spare = spare.join(took.select("_k", "size"), ["_k", "size"], "left_anti")
+
+
+def _key(source: Column) -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
 def copies_of(sizes: DataFrame, solved: DataFrame, most: float = 2.0, near: float = 1e-4) -> DataFrame:
     """_row, id, source, size, source_size, target, rate, copies: whole copies whose words meet the targets.
 
-    Single documents are added until none fits or the rest is under the share `near` of the target.
+    Free copies are added, the largest sizes first, until none fits or the rest is under the share `near` of the target.
     """
-    per = solved.withColumnRenamed("source", "_source")
-    same = lambda a, b: a.eqNullSafe(b)
-    rated = sizes.join(per, same(sizes["source"], per["_source"])).drop("_source")
+    keyed = sizes.withColumn("_k", _key(F.col("source")))
+    count = keyed.groupBy("_k").agg(F.count("*").alias("_n"))
+    per = materialize(solved.withColumn("_k", _key(F.col("source"))).drop("source").join(count, "_k"), "per-source")
+    # a source's rows are not dealt out by it: the largest sources are looked up
+    rated = join_per_key(keyed, per, "_k")
     rated = rated.withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("size"), F.col("multiplier"), F.col("mean"), most)).otherwise(F.lit(1.0)))
     rated = rated.withColumns({"base": F.floor("rate"), "part": F.col("rate") - F.floor("rate")})
     draw = F.when(F.col("id").isNull(), hash_fraction("_row")).otherwise(hash_fraction("id"))
@@ -157,41 +213,35 @@ def copies_of(sizes: DataFrame, solved: DataFrame, most: float = 2.0, near: floa
         {
             "slot": F.floor(F.col("turn") / (1 + F.col("turn")) * _SLOTS),
             "inner": F.when(F.col("turn").isNotNull(), F.floor(hash_fraction(F.lit("inner"), "id", "_row") * _SLOTS)),
+            "words": F.col("size"),
         }
     )
     rated = materialize(rated.drop("multiplier", "mean"), "rated")
-    room = rated.groupBy("source").agg(F.greatest(F.max("target") - F.sum(F.col("size") * F.col("base")), F.lit(0.0)).alias("room"), F.lit(0).cast("long").alias("filled"))
-    edge = _edge(rated.filter("slot is not null").select("source", "slot", F.col("size").alias("words")), room).select(F.col("source").alias("_s"), "room", "filled", "edge")
-    # the slot at which a source's target falls is cut once more, and only one slot of that is ordered row by row
-    dealt = rated.join(edge, same(rated["source"], edge["_s"]), "left").drop("_s")
-    at_edge = materialize(dealt.filter("slot = edge"), "edge-rows")
-    fine = _edge(at_edge.select("source", F.col("inner").alias("slot"), F.col("size").alias("words")), edge.withColumnRenamed("_s", "source").drop("edge"))
-    fine = fine.select(F.col("source").alias("_s"), F.col("filled").alias("filled2"), F.col("edge").alias("edge2"))
-    last = materialize(at_edge.join(fine, same(at_edge["source"], fine["_s"])).drop("_s"), "last-rows")
-    line = F.sum("size").over(Window.partitionBy("source").orderBy("turn", F.col("id").asc_nulls_last(), "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ordered = last.filter("inner = edge2").withColumn("extra", (F.col("filled2") + line <= F.col("room")).cast("int"))
-    placed_ = last.filter("inner <> edge2").withColumn("extra", (F.col("inner") < F.col("edge2")).cast("int"))
-    others = dealt.filter("slot is null or slot <> edge or edge is null").withColumn("extra", F.coalesce((F.col("slot") < F.col("edge")).cast("int"), F.lit(0)))
-    named = ["_row", "id", "source", "size", "source_size", "target", "rate", (F.col("base") + F.col("extra")).alias("copies")]
-    filled = materialize(others.select(*named).unionByName(placed_.select(*named)).unionByName(ordered.select(*named)), "filled")
-    # what is left of each source's target, filled from the largest document that fits
-    left = filled.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("left"), (F.max("target") * near).alias("near"))
-    spare = filled.filter((F.col("size") > 0) & (F.col("copies") < int(most))).groupBy("source", "size").agg(F.min("_row").alias("_row"))
+    room = rated.groupBy("_k").agg(F.greatest(F.max("target") - F.sum(F.col("size") * F.col("base")), F.lit(0.0)).alias("room"), F.lit(0).cast("long").alias("filled"), F.count("*").alias("_n"))
+    filled = _fill(rated, room, [F.col("turn"), F.col("id").asc_nulls_last(), F.col("_row")])
+    filled = materialize(filled.select("_k", "_row", "id", "source", "size", "source_size", "target", "rate", (F.col("base") + F.col("extra")).alias("copies")), "filled")
+    # what is left of each source's target, by sizes of free copies
+    left = filled.groupBy("_k").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("left"), (F.max("target") * near).alias("near"))
+    spare = filled.filter((F.col("size") > 0) & (F.col("copies") < int(most))).groupBy("_k", "size").agg(F.sum(int(most) - F.col("copies")).alias("copies"), F.count("*").alias("_n"))
     spare = materialize(spare, "spare")
-    left, taken = materialize(left.select(F.col("source").alias("_s"), "left", "near"), "left"), None
-    while True:
-        fits = spare.join(left, same(spare["source"], left["_s"])).filter((F.col("size") <= F.col("left")) & (F.col("left") > F.col("near"))).drop("_s", "left", "near")
-        if taken is not None:
-            fits = fits.join(taken, "_row", "left_anti")
-        pick = materialize(fits.groupBy("source").agg(F.max(F.struct("size", "_row")).alias("p")).select("source", "p.size", "p._row"), "picks")
-        if pick.isEmpty():
-            break
-        taken = pick.select("_row") if taken is None else taken.unionByName(pick.select("_row"))
-        p = pick.select(F.col("source").alias("_p"), "size")
-        left = materialize(left.join(p, same(left["_s"], p["_p"]), "left").select("_s", (F.col("left") - F.coalesce("size", F.lit(0))).alias("left"), "near"), "left")
-    if taken is not None:
-        filled = filled.join(taken.withColumn("_one", F.lit(1)), "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_one", F.lit(0))).drop("_one")
-    return filled
+    sized = lambda df: F.concat_ws("|", df["size"].cast("string"), df["_k"])
+    took = _by_size(spare.drop("_n"), materialize(left, "left")).join(spare.select("_k", "size", "_n"), ["_k", "size"])
+    took = materialize(took.select(sized(took).alias("_z"), "copies", "taken", "_n"), "taken-sizes")
+    if took.isEmpty():
+        return filled.drop("_k")
+    # a size of which all free copies are taken is full; of the others single copies are dealt out by hash
+    free = filled.withColumn("_z", sized(filled))
+    free = join_per_key(free, took.select("_z", F.col("copies").alias("_free"), F.col("taken").alias("_taken"), "_n"), "_z")
+    gets = (F.col("size") > 0) & (F.col("copies") < int(most)) & F.col("_taken").isNotNull()
+    free = materialize(free.withColumn("copies", F.when(gets & (F.col("_taken") == F.col("_free")), F.lit(int(most)).cast("long")).otherwise(F.col("copies"))), "free")
+    units = free.filter(gets & (F.col("_taken") < F.col("_free"))).select(F.col("_z").alias("_k"), "_row", "_taken", "_free", F.explode(F.sequence(F.lit(1), (int(most) - F.col("copies")).cast("int"))).alias("unit"))
+    units = units.select("_k", "_row", "unit", "_taken", "_free", F.lit(1).cast("long").alias("words"), *[F.floor(hash_fraction(F.lit(x), "_row", "unit") * _SLOTS).alias(x) for x in ("slot", "inner")])
+    units = materialize(units, "units")
+    if units.isEmpty():
+        return free.drop("_k", "_z", "_free", "_taken")
+    dealt = _fill(units.drop("_taken", "_free"), units.groupBy("_k").agg(F.max("_taken").cast("double").alias("room"), F.lit(0).cast("long").alias("filled"), F.count("*").alias("_n")), [F.col("_row"), F.col("unit")])
+    more = dealt.filter("extra = 1").groupBy("_row").agg(F.count("*").alias("_more"))
+    return free.join(more, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0))).drop("_k", "_z", "_free", "_taken", "_more")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -7,7 +7,8 @@ readers skip. Archives hold about `segment_bytes` of records, so no row outgrows
 The ARC reader tells version 1 (URL IP date type length) from version 2 (five more
 fields before the length) by the version block and takes each body by its declared
 length. Archives may be gzipped record by record, as a whole, or not at all. Junk between gzip members is
-skipped up to the next one that opens; a damaged member gives what can be read of it. A malformed header ends its member; in plain archives reading goes on at
+skipped up to the next one that opens; a damaged member gives what can be read of it before the damage. Without a version block the version is
+told by the fields of the first header; content types may hold blanks. `arc_losses` counts what is skipped, damaged or cut. A malformed header ends its member; in plain archives reading goes on at
 the next line that is a header whose declared length ends where another header or the file's end stands, so
 words of a body are never taken for a header. A record cut short is kept and marked as truncated. The converter makes WARC
 identifiers (from a digest of what identifies the record), timestamps, types and
@@ -50,9 +51,36 @@ def _member(data: bytes) -> bytes:
 _GZIP = b"\x1f\x8b\x08"
 
 
-def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """The gzip members of an archive, one at a time; what is no member between them is skipped, and damaged ones give what they hold."""
+def _salvaged(data: bytes, begun: int, step: int = 256) -> bytes:
+    """What a damaged member gives before its damage: inflated in small steps, the last one byte by byte."""
+    made, out, at = zlib.decompressobj(31), [], begun
+    while at < len(data):
+        before = made.copy()
+        try:
+            out.append(made.decompress(data[at : at + step]))
+        except zlib.error:
+            if step == 1:
+                break
+            made, step = before, 1
+            continue
+        if made.eof:
+            break
+        at += step
+    return b"".join(out)
+
+
+def members(data: bytes, step: int = 1 << 16, lost: list[dict] | None = None) -> Iterator[bytes]:
+    """The gzip members of an archive, one at a time; what is no member between them is skipped, and damaged ones give what they hold.
+
+    `lost` gets a row (at, reason, bytes) for all that is skipped or damaged; NUL bytes between members are padding.
+    """
+    return (content for content, _ in _members(data, step, [] if lost is None else lost))
+
+
+def _members(data: bytes, step: int, lost: list[dict]) -> Iterator[tuple[bytes, bool]]:
+    """The members, each with whether it is sound."""
     at = data.find(_GZIP)
+    _skipped(lost, 0, data[: at if at >= 0 else len(data)])
     while at >= 0:
         made, out, begun = zlib.decompressobj(31), [], at
         try:
@@ -60,11 +88,23 @@ def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
                 piece = data[at : at + step]
                 out.append(made.decompress(piece))
                 at += len(piece) - len(made.unused_data)
+            content, sound, ended = b"".join(out), made.eof, at
+            if not sound:
+                lost.append({"at": begun, "reason": "cut gzip member", "bytes": 0})
         except zlib.error:
-            at = begun + 1
-        if made.eof or any(out):
-            yield b"".join(out)
-        at = data.find(_GZIP, at)
+            content, sound, at, ended = _salvaged(data, begun), False, begun + 1, None
+        out, at = None, data.find(_GZIP, at)
+        if ended is None:
+            lost.append({"at": begun, "reason": "damaged gzip member", "bytes": (at if at >= 0 else len(data)) - begun})
+        if sound or content:
+            yield content, sound
+        if ended is not None:
+            _skipped(lost, ended, data[ended : at if at >= 0 else len(data)])
+
+
+def _skipped(lost: list[dict], at: int, data: bytes) -> None:
+    if data.strip(b"\0\r\n"):
+        lost.append({"at": at, "reason": "no gzip member", "bytes": len(data)})
 
 
 def base32_sha1(data: bytes) -> str:
@@ -124,15 +164,18 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
     _write(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), html_col).mapInArrow(pack, "archive binary"), path)
 
 
-#: A header line: URL, address, date, type, the five further fields of version 2, length.
-_HEADER = re.compile(rb"(\S+) (\S+) (\d{4,14}) (\S+) (?:(\S+) (\S+) (\S+) (\d+) (\S+) )?(\d+)")
+#: Header lines of both versions: URL, address, date, type (which may hold blanks), the five further fields of version 2, length.
+_HEADERS = {1: re.compile(rb"(\S+) (\S+) (\d{4,14}) (\S.*?)(?P<v2>) (?P<length>\d+)"), 2: re.compile(rb"(\S+) (\S+) (\d{4,14}) (\S.*?) (?P<v2>\d{1,3}|-) (\S+) (\S+) (\d+) (\S+) (?P<length>\d+)")}
 
 
-def _header_at(data: bytes, at: int) -> tuple[re.Match, int] | None:
-    """The header that stands at a place, and where its body begins."""
+def _header_at(data: bytes, at: int, version: int | None = None) -> tuple[re.Match, int] | None:
+    """The header that stands at a place, and where its body begins; of a version, or of either."""
     end = data.find(b"\n", at, at + (1 << 16))
-    m = _HEADER.fullmatch(data[at:end].rstrip(b"\r")) if end >= 0 else None
-    return (m, end + 1) if m else None
+    line = data[at:end].rstrip(b"\r") if end >= 0 else b""
+    for v in (version,) if version else (2, 1):
+        if m := _HEADERS[v].fullmatch(line):
+            return m, end + 1
+    return None
 
 
 def _after(data: bytes, begin: int, length: int) -> int | None:
@@ -151,36 +194,46 @@ def _resume(data: bytes, at: int) -> int:
         return after
     while 0 < begin < len(data):
         found = _header_at(data, begin)
-        if found and _after(data, found[1], int(found[0][10])) is not None:
+        if found and _after(data, found[1], int(found[0]["length"])) is not None:
             return begin
         begin = data.find(b"\n", begin) + 1
     return len(data)
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
-    """Records of one ARC archive by declared lengths; `truncated` tells that the body is shorter than declared."""
-    version, n, packed = None, 0, data.startswith(_GZIP) or (b"filedesc://" not in data[:4096] and _GZIP in data)
-    for k, record in enumerate(members(data) if packed else [data.rstrip(b"\0")]):
+def parse_arc(data: bytes, lost: list[dict] | None = None) -> Iterator[dict]:
+    """Records of one ARC archive by declared lengths; `truncated` tells that the body is shorter than declared, or comes from a damaged gzip member.
+
+    Without a version block the version is that of the first header's fields. `lost` gets a row (at, reason, bytes) for all that is skipped, damaged or cut;
+    places are those in the archive or, for what a gzip member holds, in that member.
+    """
+    lost = [] if lost is None else lost
+    version, n = None, 0
+    packed = data.startswith(_GZIP) or (_GZIP in data and b"filedesc://" not in data[:4096] and not _header_at(data, 0))
+    for k, (record, sound) in enumerate(_members(data, 1 << 16, lost) if packed else [(data.rstrip(b"\0"), True)]):
         at = 0
         while at < len(record):
             if record[at : at + 1] in (b"\n", b"\r"):  # between records
                 at += 1
                 continue
-            found = _header_at(record, at)
-            if not found or (version and (found[0][5] is not None) != (version == 2) and not found[0][1].startswith(b"filedesc://")):
-                if packed and k and at == 0:
-                    break
-                at = _resume(record, at)
+            block = record.startswith(b"filedesc://", at)
+            found = _header_at(record, at, None if block else version)
+            if not found:
+                after = len(record) if packed and k and at == 0 else _resume(record, at)
+                lost.append({"at": at, "reason": "malformed header", "bytes": after - at})
+                at = after
                 continue
             m, begin = found
-            length = int(m[10])
+            length = int(m["length"])
             body = record[begin : begin + length]
             at = begin + length
-            if m[1].startswith(b"filedesc://"):
-                version = 2 if body.split(b" ", 1)[0] == b"2" else 1
-            elif version is not None:
-                n += 1
-                yield {"url": m[1].decode("utf-8", "replace"), "date": m[3].decode(), "mime": m[4].decode("utf-8", "replace"), "body": body, "at": n, "truncated": len(body) < length}
+            if len(body) < length:
+                lost.append({"at": begin, "reason": "shorter than declared", "bytes": length - len(body)})
+            if block:
+                version = 2 if body.split(b" ", 1)[0] == b"2" else 1 if body else 2 if m["v2"] else None
+                continue
+            version = version or (2 if m["v2"] else 1)
+            n += 1
+            yield {"url": m[1].decode("utf-8", "replace"), "date": m[3].decode(), "mime": m[4].decode("utf-8", "replace"), "body": body, "at": n, "truncated": len(body) < length or not sound}
 
 
 def _split_http(body: bytes) -> tuple[bytes, bytes]:
@@ -221,6 +274,21 @@ def read_arc(spark: SparkSession, path: str, batch_bytes: int = 4 << 20, packed:
     return _files(spark, path).mapInArrow(parse, "file string, page_id bigint, url string, date string, mime string, http binary, payload binary, digest string, bytes bigint, at bigint, truncated boolean")
 
 
+def arc_losses(spark: SparkSession, path: str) -> DataFrame:
+    """file, reason, n and bytes of what the reader could not take from the ARC files: nothing is dropped without a count."""
+
+    def parse(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lost: list[dict] = []
+                for _ in parse_arc(content, lost):
+                    pass
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lost), pa.string()), pa.array([x["reason"] for x in lost], pa.string()), pa.array([x["bytes"] for x in lost], pa.int64())], names=["file", "reason", "bytes"])
+
+    found = _files(spark, path).mapInArrow(parse, "file string, reason string, bytes bigint")
+    return found.groupBy("file", "reason").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
 def record_id(page_id: int | None, url: str, date: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(f'{page_id}|{url}|{date}|{digest}'.encode()).digest()[:16], version=5)}>"
 
