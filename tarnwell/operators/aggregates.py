@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import exact_quantiles
+from .quantiles import grouped_quantiles
 
 
 def mode(df: DataFrame, by: list[str], value: str, name: str = "mode") -> DataFrame:
@@ -82,10 +83,8 @@ def rollup_total(df: DataFrame, by: str, aggregates: list[Column], total: str =
 
 
 def quantile_nearest(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
-    """The value at the index nearest to q (n - 1) of a group's sorted values; halves round up."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
-    return ranked.filter(F.col("_i") == F.floor(q * (F.col("_n") - 1) + 0.5)).select(*by, F.col(value).alias(name))
+    """The value, as a double, at the index nearest to q (n - 1) of a group's sorted values; halves round up."""
+    return grouped_quantiles(df, by, value, {name: q}, rule="nearest").drop("n")
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .joins import duplicate_keys, orphans
 from .ordering import exact_quantiles
+from .quantiles import grouped_quantiles
 
 #: Columns that no feature table may hold.
 FORBIDDEN = ("lead_score_internal", "broker_response", "broker_response_hours", "days_on_market", "total_inquiries", "total_views", "is_active", "competing_inquiries_30d")
@@ -82,7 +83,10 @@ def volume_by_period(df: DataFrame, time: str, target: Column, unit: str = "yyyy
 
 def coverage_by_period(df: DataFrame, time: str, state: str, lag_days: Column) -> DataFrame:
     """Rows, share with a state, median and 90th percentile of its lag, by month."""
-    return df.groupBy(F.date_format(time, "yyyy-MM").alias("period")).agg(F.count("*").alias("n"), F.avg(F.col(state).isNotNull().cast("double")).alias("coverage"), F.percentile(lag_days, F.lit(0.5)).alias("median_lag"), F.percentile(lag_days, F.lit(0.9)).alias("p90_lag"))
+    rows = df.select(F.date_format(time, "yyyy-MM").alias("period"), F.col(state).isNotNull().cast("double").alias("_known"), lag_days.alias("_lag"))
+    counts = rows.groupBy("period").agg(F.count("*").alias("n"), F.avg("_known").alias("coverage"))
+    lags = grouped_quantiles(rows, ["period"], "_lag", {"median_lag": 0.5, "p90_lag": 0.9}).drop("n").withColumnRenamed("period", "_p")
+    return counts.join(lags, F.col("period").eqNullSafe(F.col("_p")), "left").drop("_p")
 
 
 def srm_z(df: DataFrame, arm: str, treatment: str = "treatment", share: float = 0.5) -> DataFrame:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwell.sources.tables import scratch_folder, settled
+
+from .ordering import exact_quantiles
+
 
 def prepare(categorical: list[str], numeric: list[str], scale: bool = True) -> list:
     """Stages: median fill, frequency-indexed one-hot with a place for the unseen, standardised numbers."""
@@ -45,11 +49,12 @@ def fit_classifier(train: DataFrame, kind: str, target: str, categorical: list[s
 def fit_boosted(train: DataFrame, validation: DataFrame, target: str, categorical: list[str], numeric: list[str], iterations: int = 500, depth: int = 6, rate: float = 0.04, seed: int = 42) -> PipelineModel:
     """Boosted trees: all iterations are fitted, then as many kept as have the least loss on the validation rows (all without such rows).
 
-    Spark's own early stopping ends at the first iteration without gain, so the best number is looked up in the whole run.
+    Spark's own early stopping ends at the first iteration without gain, so the best number is looked up in the whole run. Fewer trees
+    are fitted again: a model cut to its first trees can't be made without its internals.
     """
     context = train.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():  # a long run needs its lineage cut
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tarnwell-"))
+        context.setCheckpointDir(scratch_folder(train.sparkSession, "trees"))
     fit = lambda n: fit_classifier(train, "gbt", target, categorical, numeric, seed=seed, maxIter=n, maxDepth=depth, stepSize=rate)
     model = fit(iterations)
     if validation.isEmpty():
@@ -62,6 +67,39 @@ def fit_boosted(train: DataFrame, validation: DataFrame, target: str, categorica
     return model if best == iterations else fit(best)
 
 
+def feature_names(model: PipelineModel, df: DataFrame, categorical: list[str], numeric: list[str]) -> list[str]:
+    """Names of the entries of a fitted model's feature vector: numbers first, then each category's values, the last one for the unseen."""
+    names = list(numeric)
+    for stage in model.stages:
+        if hasattr(stage, "labelsArray"):
+            for c, labels in zip(categorical, stage.labelsArray):
+                names += [f"{c}={x}" for x in labels] + [f"{c}=?"]
+    return names
+
+
+def fit_logistic(train: DataFrame, target: str, categorical: list[str], numeric: list[str], c: float = 1.0, most_values: int = 1000) -> Column:
+    """The probability of a logistic model (L2 strength 1 / (c n)) as one expression over the columns.
+
+    Medians, means and spreads of numbers and the values of categories (the `most_values` most frequent) come from aggregates; the model is fitted
+    on a written table of its features, and nothing of it but numbers is in the expression.
+    """
+    medians = exact_quantiles(train, numeric, [0.5]) if numeric else {}
+    fill = {x: (medians[x] or [0.0])[0] for x in numeric}
+    filled = {x: F.coalesce(F.col(f"`{x}`").cast("double"), F.lit(fill[x])) for x in numeric}
+    row = train.agg(F.count("*"), *[a for x in numeric for a in (F.avg(filled[x]), F.stddev_samp(filled[x]))]).first()
+    terms = [(filled[x] - F.lit(row[1 + 2 * k] or 0.0)) / F.lit(row[2 + 2 * k] or 1.0) for k, x in enumerate(numeric)]
+    for x in categorical:
+        text = F.coalesce(F.col(f"`{x}`").cast("string"), F.lit("<missing>"))
+        values = train.groupBy(text.alias("v")).count().orderBy(F.desc("count"), "v").limit(most_values).collect()
+        terms += [(text == F.lit(v["v"])).cast("double") for v in values]
+    table = settled(train.filter(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("label"), array_to_vector(F.array(*terms)).alias("features")), "features")
+    model = LogisticRegression(regParam=1.0 / (c * max(row[0], 1)), standardization=False, maxIter=200).fit(table)
+    z = F.lit(float(model.intercept))
+    for weight, term in zip(model.coefficients.toArray().tolist(), terms):
+        z = z + F.lit(weight) * term
+    return 1 / (1 + F.exp(-z))
+
+
 def predict(model: PipelineModel, df: DataFrame, categorical: list[str], name: str = "p") -> DataFrame:
     """The frame with the probability of class 1."""
     ready = df
@@ -137,13 +175,18 @@ def supply_profile(df: DataFrame, entity: str, time_days: str, outcome: Column,
     return g.withColumns({"rate": shrunk_rate(F.col("hits"), F.col("n"), prior, strength), "entropy": entropy, "main": top})
 
 
-def normal_upper_p(z: Column) -> Column:
-    """One-sided p-value of a normal z, by the complementary error function (Numerical-Recipes Chebyshev form, error below 1.2e-7)."""
-    x = F.abs(z) / 2**0.5
-    t = 1 / (1 + x / 2)
-    coefficients = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    poly = F.lit(coefficients[-1])
-    for c in reversed(coefficients[:-1]):
-        poly = poly * t + c
-    tail = t * F.exp(-x * x + poly) / 2
+def normal_upper_p(z: Column, series: int = 80, fraction: int = 120) -> Column:
+    """P(Z >= z) of a standard normal Z.
+
+    Below 3 it is 1/2 less density times the series z + z^3/3 + z^5/(3 5) + ...; from 3 on density over the continued fraction
+    z + 1/(z + 2/(z + 3/(z + ...))), both as in Abramowitz and Stegun, Handbook of Mathematical Functions (public domain), 26.2.11 and 26.2.14.
+    """
+    x = F.abs(z.cast("double"))
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    small = F.least(x, F.lit(3.0))
+    start = F.struct(small.alias("term"), small.alias("total"))
+    step = lambda a, k: F.struct((a["term"] * small * small / (2 * k + 1)).alias("term"), (a["total"] + a["term"] * small * small / (2 * k + 1)).alias("total"))
+    near = 0.5 - density * F.aggregate(F.sequence(F.lit(1), F.lit(series)), start, step, lambda a: a["total"])
+    far = density / F.aggregate(F.sequence(F.lit(fraction), F.lit(1), F.lit(-1)), x, lambda a, k: x + k / a)
+    tail = F.when(x < 3, near).otherwise(far)
     return F.when(z >= 0, tail).otherwise(1 - tail)

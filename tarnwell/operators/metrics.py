@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwell.sources.tables import settled
+
 from .ordering import exact_quantiles, running
 
 
@@ -24,16 +26,12 @@ def ranking_metrics(df: DataFrame, target: str, score: str, by: tuple[str, ...]
 
     Rows tied at the capacity share what is left of it, so no order among them matters.
     """
-    down = running(score_table(df, target, score, by), "_s", ["pos", "n"], by, descending=True)
-    totals = down.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("n").alias("_N"))
-    if by:
-        same = F.lit(True)
-        named = totals.select(*[F.col(b).alias(f"_k_{b}") for b in by], "_P", "_N")
-        for b in by:
-            same &= F.col(b).eqNullSafe(F.col(f"_k_{b}"))
-        both = down.join(named, same)
-    else:
-        both = down.join(F.broadcast(totals))  # a single row
+    return ranking_of_table(settled(score_table(df, target, score, by), "scores"), by, shares)
+
+
+def ranking_of_table(table: DataFrame, by: tuple[str, ...] = (), shares: tuple[float, ...] = (0.05, 0.10, 0.20)) -> DataFrame:
+    """The ranking metrics of a score table (by..., _s, pos, n), whose counts may be weights. The table is read several times."""
+    both = running(table, "_s", ["pos", "n"], by, descending=True).withColumnsRenamed({"all_pos": "_P", "all_n": "_N"})
     neg = F.col("n") - F.col("pos")
     neg_below = F.col("_N") - F.col("_P") - (F.col("before_n") - F.col("before_pos")) - neg
     precision = F.try_divide(F.col("before_pos") + F.col("pos"), F.col("before_n") + F.col("n"))
@@ -195,42 +193,6 @@ def error_types(df: DataFrame, target: str, score: str, reference: Column, q: fl
     return df.withColumn("error_type", F.when(high & y, "TP").when(high, "FP").when(y, "FN").otherwise("TN"))
 
 
-def bootstrap(df: DataFrame, target: str, scores: list[str], metric_share: float = 0.10, draws: int = 200, seed: int = 7, cluster: str | None = None) -> DataFrame:
-    """Percentile intervals of AUC and lift of each score, and of the differences to the first, from Poisson draws.
-
-    A row (or its cluster) gets a Poisson(1) weight a draw from a hash, so all scores see the same draws and reruns agree.
-    Draws without both classes are left out.
-    """
-    # without a cluster every row is a unit of its own, equal rows too
-    unit = F.col(cluster) if cluster else F.monotonically_increasing_id()
-    u = F.shiftrightunsigned(F.xxhash64(F.col("_unit").cast("string"), F.col("draw"), F.lit(seed)), 11).cast("double") / float(1 << 53)
-    cuts, total, term = [], 0.0, math.exp(-1)
-    for k in range(12):
-        total += term
-        cuts.append(total)
-        term /= k + 1
-    weight = sum(((u > c).cast("int") for c in cuts), F.lit(0))
-    long = df.select(unit.alias("_unit"), target, *scores)
-    long = long.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_w", weight).filter("_w > 0")
-    long = long.select("draw", "_w", target, F.explode(F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).cast("double").alias("_s")) for s in scores])).alias("x")).select("draw", "_w", target, "x.*")
-    table = long.groupBy("draw", "score_name", "_s").agg(F.sum(F.col("_w") * F.col(target)).cast("double").alias("pos"), F.sum("_w").cast("double").alias("n"))
-    w = Window.partitionBy("draw", "score_name")
-    before = w.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
-    t = table.withColumns({"bp": F.coalesce(F.sum("pos").over(before), F.lit(0.0)), "bn": F.coalesce(F.sum("n").over(before), F.lit(0.0)), "all_pos": F.sum("pos").over(w), "all_n": F.sum("n").over(w)})
-    neg = F.col("n") - F.col("pos")
-    k = F.greatest(F.lit(1.0), F.ceil(F.col("all_n") * metric_share).cast("double"))
-    taken = F.greatest(F.lit(0.0), F.least(F.col("n"), k - F.col("bn")))
-    per = t.groupBy("draw", "score_name").agg(
-        F.try_divide(F.sum(F.col("pos") * (F.col("all_n") - F.col("all_pos") - (F.col("bn") - F.col("bp")) - neg / 2)), F.max(F.col("all_pos") * (F.col("all_n") - F.col("all_pos")))).alias("auc"),
-        F.try_divide(F.sum(F.col("pos") * taken / F.col("n")) / F.max(k), F.max(F.col("all_pos") / F.col("all_n"))).alias("lift"),
-    )
-    per = per.filter("auc is not null and lift is not null")
-    base = per.filter(F.col("score_name") == scores[0]).select("draw", F.col("auc").alias("_a"), F.col("lift").alias("_l"))
-    both = per.join(base, "draw").withColumns({"d_auc": F.col("auc") - F.col("_a"), "d_lift": F.col("lift") - F.col("_l")})
-    ends = lambda c: [F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for q, n in ((0.025, "low"), (0.975, "high"))]
-    return both.groupBy("score_name").agg(F.count("*").alias("draws"), *[x for c in ("auc", "lift", "d_auc", "d_lift") for x in ends(c)])
-
-
 def collapse_guard(base: DataFrame, challenger: DataFrame, keys: list[str], ap_drop: float = 0.02, least_folds: int = 2) -> DataFrame:
     """Segments in which the challenger's average precision falls by more than the limit in enough folds."""
     b = base.select("fold", *keys, F.col("average_precision").alias("_b"))

@@ -14,9 +14,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucketed(df: DataFrame, key: Column, buckets: int) -> DataFrame:
-    cuts = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
-    return df.withColumn("_bucket", F.lit(0) if not cuts else sum((F.coalesce(key > F.lit(c), F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0)))
+def _bucketed(df: DataFrame, key: Column, buckets: int, rows_a_bucket: int = 250_000, grid: int = 1024) -> DataFrame:
+    """The rows with `_bucket`, the number of quantiles below the key: at least `buckets` of them, more for tables of more rows."""
+    n, found = df.agg(F.count("*"), F.percentile_approx(key, [k / grid for k in range(1, grid)], 10_000)).first()
+    buckets = max(buckets, min(grid, math.ceil(n / rows_a_bucket)))
+    cuts = sorted({found[k * grid // buckets - 1] for k in range(1, buckets)}) if found else []
+    return df.withColumn("_bucket", F.coalesce(_below(key, cuts), F.lit(0)) if cuts else F.lit(0))
+
+
+def _below(key: Column, cuts: list[float], width: int = 32) -> Column:
+    """How many of the sorted cuts are below the key: among every 32nd one first, then in one block."""
+    if len(cuts) <= 2 * width:
+        return sum(((key > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    array = lambda x: F.array(*[F.lit(float(c)) for c in x])
+    block = F.size(F.filter(array(cuts[::width]), lambda c: c < key))
+    inside = F.slice(array(cuts), F.greatest(block - 1, F.lit(0)) * width + 1, F.lit(width))
+    return F.when(block == 0, 0).otherwise((block - 1) * width + F.size(F.filter(inside, lambda c: c < key)))
 
 
 def as_number(df: DataFrame, key: str) -> Column:
@@ -47,16 +60,25 @@ def with_position(df: DataFrame, key: str, ties: tuple[str, ...] = (), descendin
     return ranked.join(F.broadcast(offsets), "_bucket").withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_bucket", "_before", "_inside")
 
 
-def running(df: DataFrame, key: str, measures: list[str], by: tuple[str, ...] = (), descending: bool = False, buckets: int = 32) -> DataFrame:
-    """For a table with one row a key (and group): columns `before_<m>`, sums of each measure over all preceding keys."""
-    number = as_number(df, key)
-    parts = _bucketed(df, -number if descending else number, buckets)
+def running(df: DataFrame, key: str, measures: list[str], by: tuple[str, ...] = (), descending: bool = False, buckets: int = 32, small: int = 100_000) -> DataFrame:
+    """For a table with one row a key (and group): `before_<m>`, sums of each measure over all preceding keys, and `all_<m>`, its sums over the group.
+
+    Groups of up to `small` rows are one window each; if one is larger, all are cut into buckets whose totals give the offsets.
+    """
     order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
     back = (Window.unboundedPreceding, -1)
+    if by and (df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0) <= small:
+        whole = Window.partitionBy(*by)
+        before = whole.orderBy(order).rowsBetween(*back)
+        return df.withColumns({f"before_{m}": F.coalesce(F.sum(m).over(before), F.lit(0)) for m in measures} | {f"all_{m}": F.sum(m).over(whole) for m in measures})
+    number = as_number(df, key)
+    parts = _bucketed(df, -number if descending else number, buckets)
     inner = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(*back)
     sums = parts.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    outer = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(*back)
-    offsets = sums.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_bucket").alias("_b"), *[F.coalesce(F.sum(f"_t_{m}").over(outer), F.lit(0)).alias(f"_o_{m}") for m in measures])
+    # over one row a bucket
+    whole = Window.partitionBy(*by)
+    outer = whole.orderBy("_bucket").rowsBetween(*back)
+    offsets = sums.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_bucket").alias("_b"), *[c for m in measures for c in (F.coalesce(F.sum(f"_t_{m}").over(outer), F.lit(0)).alias(f"_o_{m}"), F.sum(f"_t_{m}").over(whole).alias(f"all_{m}"))])
     same = F.col("_bucket") == F.col("_b")
     for b in by:
         same &= F.col(b).eqNullSafe(F.col(f"_k_{b}"))

@@ -9,6 +9,7 @@ from tarnwell.functions import scalars as X
 from tarnwell.operators import aggregates as A
 from tarnwell.operators import audit as U
 from tarnwell.operators.ordering import exact_quantiles
+from tarnwell.operators.quantiles import grouped_quantiles
 from tarnwell.plans.registry import ASKS, SCORED, asks, events, orders, query, r6, scored
 from tarnwell.sources.tables import load_table
 
@@ -17,8 +18,9 @@ _DEC = [0.25, 0.5, 0.75]
 
 @query("""SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, round(min(o_totalprice), 4) AS lo, round(max(o_totalprice), 4) AS hi, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")
 def grouped_summary(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("o_totalprice")
-    return orders(spark, d).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(p), 4).alias("mean"), F.round(F.percentile(p, F.lit(0.5)), 4).alias("median"), F.round(F.min(p), 4).alias("lo"), F.round(F.max(p), 4).alias("hi"), F.count_distinct("o_custkey").alias("customers"), F.round(F.sum(p), 2).alias("total"))
+    p, o = F.col("o_totalprice"), orders(spark, d)
+    middle = grouped_quantiles(o, ["o_orderpriority"], "o_totalprice", {"median": 0.5}).select("o_orderpriority", F.round("median", 4).alias("median"))
+    return middle.join(o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(p), 4).alias("mean"), F.round(F.min(p), 4).alias("lo"), F.round(F.max(p), 4).alias("hi"), F.count_distinct("o_custkey").alias("customers"), F.round(F.sum(p), 2).alias("total")), "o_orderpriority")
 
 
 @query("""SELECT user_id, bool_or(coalesce(event_type = 'purchase', false)) AS bought, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate, count(value) AS n_values, count(*) AS n FROM events GROUP BY 1""")
@@ -35,8 +37,8 @@ def modal_priority(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.75), 4) AS q75, l_returnflag FROM lineitem GROUP BY l_returnflag""")
 def linear_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    g = load_table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(*map(F.lit, _DEC))).alias("q"))
-    return g.select("l_returnflag", *[F.round(F.col("q")[k], 4).alias(f"q{int(x * 100)}") for k, x in enumerate(_DEC)])
+    names = {f"q{int(x * 100)}": x for x in _DEC}
+    return grouped_quantiles(load_table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", names).select("l_returnflag", *[F.round(n, 4).alias(n) for n in names])
 
 
 @query("""WITH r AS (SELECT l_returnflag, l_quantity AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, v AS p90 FROM r WHERE i = floor(0.9 * (n - 1) + 0.5)""")
@@ -144,8 +146,8 @@ def rollup_total(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'ALL' ELSE o_orderstatus END AS stage, round(quantile_cont(o_totalprice, 0.05), 4) AS p05, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.95), 4) AS p95 FROM orders GROUP BY GROUPING SETS ((o_orderstatus), ())""")
 def score_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    g = orders(spark, d).groupingSets([[F.col("o_orderstatus")], []], "o_orderstatus").agg(F.percentile("o_totalprice", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"), F.grouping("o_orderstatus").alias("g"))
-    return g.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("o_orderstatus")).alias("stage"), *[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("p05", "p50", "p95"))])
+    long = orders(spark, d).select("o_totalprice", F.explode(F.array("o_orderstatus", F.lit("ALL"))).alias("stage"))
+    return grouped_quantiles(long, ["stage"], "o_totalprice", {"p05": 0.05, "p50": 0.5, "p95": 0.95}).select("stage", *[F.round(n, 4).alias(n) for n in ("p05", "p50", "p95")])
 
 
 @query("""SELECT o_custkey, max(o_totalprice) AS best, count(*) AS n FROM orders GROUP BY 1""")

@@ -117,12 +117,6 @@ def error_types(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("error_type").agg(F.count("*").alias("n"))
 
 
-@query()
-def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals of two scores and of their difference, by the same draws, clustered by lead."""
-    return M.bootstrap(scored(spark, d), "y", ["p", "p2"], draws=1000, cluster="lead")
-
-
 @query()
 def segment_collapse(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d).withColumn("fold", F.year("at"))
@@ -159,10 +153,10 @@ def frozen_logistic(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def logistic_model(spark: SparkSession, d: str) -> DataFrame:
-    """A regularised logistic model fitted before a date, scored after it."""
+    """A regularised logistic model fitted before a date, scored after it by its coefficients as one expression."""
     train, test = _halves(spark, d)
-    model = L.fit_classifier(train, "logistic", "y", ["segment"], ["price", "p"])
-    return M.ranking_metrics(L.predict(model, test, ["segment"], "q"), "y", "q").select("n_rows", "positives", "roc_auc", "lift_10")
+    q = L.fit_logistic(train, "y", ["segment"], ["price", "p"])
+    return M.ranking_metrics(test.withColumn("q", q), "y", "q").select("n_rows", "positives", "roc_auc", "lift_10")
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -24,6 +25,27 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_settled: list[tuple[SparkSession, str]] = []
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The table written to a scratch folder and read again, for tables that several jobs read: lineage is cut and survives lost executors. Removed when the driver ends."""
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    _settled.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _settled:
+        try:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        except Exception:  # the JVM may have ended first
+            return
+
+
 def normalise(df: DataFrame) -> DataFrame:
     """Ingest policy: timestamps without zone are read as session-zone timestamps, NaN becomes null."""
     out = {}

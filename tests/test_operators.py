@@ -207,19 +207,6 @@ def test_sample_size_and_sticky_arms(spark):
     assert abs(U.srm_z(ids.select(X.sticky_arm("s", F.col("id")).alias("arm")), "arm").first().z) < 3
 
 
-def test_bootstrap_draws_and_centre(spark):
-    from tarnwell.plans import QUERIES
-    from tarnwell.plans.registry import scored
-    from tests.conftest import DATA
-
-    point = M.ranking_metrics(scored(spark, DATA), "y", "p").first()
-    got = {r.score_name: r for r in QUERIES["bootstrap_intervals"](spark, DATA).collect()}
-    assert all(r.draws == 1000 for r in got.values())
-    assert 0 < got["p"].auc_low < point.roc_auc < got["p"].auc_high < 1
-    assert got["p"].lift_low < point.lift_10 < got["p"].lift_high
-    assert got["p"].d_auc_low == got["p"].d_auc_high == 0
-
-
 def test_boosted_trees_keep_the_best_number(spark):
     import inspect
 
