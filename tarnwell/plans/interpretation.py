@@ -158,12 +158,12 @@ def paired_delta(spark: SparkSession, d: str) -> DataFrame:
 _CLUSTERED = f"c AS (SELECT p, p2, lead AS cell, fold, sum(y) AS pos, count(*) - sum(y) AS neg FROM s GROUP BY 1, 2, 3, 4), u AS (SELECT *, {_unit("'42|' || cell || '|' || draw")} AS u FROM c, range(1, {{draws}} + 1) q(draw)), d AS (SELECT u.*, po.k AS w FROM u JOIN po ON po.e = 0 AND u.u >= po.lo AND u.u < po.hi WHERE po.k > 0)"
 
 
-@query(f"""WITH s0 AS ({SCORED}), s AS (SELECT *, 0 AS fold FROM s0), {_POISSON}, {_CLUSTERED.format(draws=1000)},
+@query(f"""WITH s0 AS ({SCORED}), s AS (SELECT *, 0 AS fold FROM s0), {_POISSON}, {_CLUSTERED.format(draws=250)},
 l AS (SELECT draw, 'p' AS name, p AS s, pos * w AS pos, (pos + neg) * w AS n FROM d UNION ALL SELECT draw, 'p2', p2, pos * w, (pos + neg) * w FROM d), tt AS (SELECT draw, name, s, CAST(sum(pos) AS DOUBLE) AS pos, CAST(sum(n) AS DOUBLE) AS n FROM l GROUP BY 1, 2, 3), m AS ({_metrics_sql("tt", "draw, name")}),
 cl AS (SELECT 'p' AS name, p AS s, CAST(y AS DOUBLE) AS y FROM s UNION ALL SELECT 'p2', p2, y FROM s), c1 AS (SELECT name, s, sum(y) AS pos, CAST(count(*) AS DOUBLE) AS n FROM cl GROUP BY 1, 2), e AS ({_metrics_sql("c1", "name")}), dd AS ({_PAIRED}) {_DELTAS}""")
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """Difference of two scores under 1000 draws of whole leads."""
-    return B.paired_delta(scored(spark, d), "y", "p", "p2", "id", draws=1000, cluster="lead").select("metric", *r6(*_DELTA_COLUMNS), "draws")
+    """Difference of two scores under 250 draws of whole leads."""
+    return B.paired_delta(scored(spark, d), "y", "p", "p2", "id", draws=250, cluster="lead").select("metric", *r6(*_DELTA_COLUMNS), "draws")
 
 
 @query(f"""WITH s0 AS ({SCORED}), s AS (SELECT *, date_part('year', seen) AS fold FROM s0), {_POISSON}, {_CLUSTERED.format(draws=100)},
