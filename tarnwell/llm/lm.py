@@ -12,8 +12,8 @@ the sum of the buckets' input vectors, weighted by place. The probability of a b
 a softmax of products with output vectors plus biases: by batched matrix products over all classes, and over all buckets of a class
 for the tokens of that class. Documents are encoded once as buckets.
 
-Training contrasts each class with noise classes, and each bucket with noise buckets of its class. It passes over every training document in `rounds`;
-each round takes every `stride`-th token, other ones than the rounds before. Tasks start
+Training contrasts each class with noise classes, and each bucket with noise buckets of its class. Every token of every training document
+trains once: the blocks of about 16 000 tokens of a task are dealt to the `rounds` in turn. Tasks of a round start
 from the same weights, draw noise of their own, and their results are averaged, weighted by tokens, in one aggregation.
 
 Counts. All training tokens are counted exactly. The counts of the `known` most frequent words are broadcast, those of
@@ -83,51 +83,47 @@ class Parameters:
 
 
 class Contexts:
-    """Contexts of some (ascending) tokens of concatenated documents: the last SPAN tokens, and the mean input vector of all tokens before."""
+    """Contexts of the tokens of concatenated documents: the last SPAN tokens, and the mean input vector of all tokens before.
 
-    def __init__(self, tokens: np.ndarray, starts: np.ndarray, r: np.ndarray, picked: np.ndarray):
+    `padded` holds the documents, each after SPAN start symbols; `at` is each token's place there.
+    """
+
+    def __init__(self, tokens: np.ndarray, starts: np.ndarray, r: np.ndarray):
         sizes = np.diff(starts)
-        every = len(picked) == len(tokens)
-        doc = np.repeat(np.arange(len(sizes)), sizes) if every else np.searchsorted(starts, picked, "right") - 1
-        # each document gets SPAN start symbols before its tokens
-        padded = np.full(len(tokens) + SPAN * len(sizes), len(r) - 1, np.int32)
-        padded[np.arange(len(tokens)) + np.repeat(SPAN * np.arange(1, len(sizes) + 1), sizes)] = tokens
-        at = picked + SPAN * (doc + 1)
-        self.last = [padded[at - 1 - j] for j in range(SPAN)]
-        first = starts[doc]
-        if every:
-            upto = np.zeros((len(tokens) + 1, DIMS))
-            np.cumsum(r[tokens], axis=0, dtype=np.float64, out=upto[1:])
-            mean = upto[:-1] - np.repeat(upto[starts[:-1]], sizes, axis=0)
-        else:
-            # sums up to the picked tokens and to the documents' first ones
-            edges = np.union1d(picked, starts[:-1])
-            upto = np.zeros((len(edges), DIMS))
-            np.cumsum(np.add.reduceat(r[tokens], edges, axis=0)[:-1], axis=0, dtype=np.float64, out=upto[1:])
-            mean = upto[np.searchsorted(edges, picked)] - upto[np.searchsorted(edges, first)]
-        mean /= np.maximum(picked - first, 1)[:, None]
+        self.at = np.arange(len(tokens)) + np.repeat(SPAN * np.arange(1, len(sizes) + 1), sizes)
+        self.padded = np.full(len(tokens) + SPAN * len(sizes), len(r) - 1, np.int32)
+        self.padded[self.at] = tokens
+        upto = np.zeros((len(tokens) + 1, DIMS))
+        np.cumsum(r.take(tokens, axis=0), axis=0, dtype=np.float64, out=upto[1:])
+        mean = upto[:-1]
+        mean -= np.repeat(upto[starts[:-1]], sizes, axis=0)
+        mean /= np.maximum(np.arange(len(tokens)) - np.repeat(starts[:-1], sizes), 1)[:, None]
         self.mean = mean.astype(np.float32)
 
     def __call__(self, some: slice) -> tuple[list[np.ndarray], np.ndarray]:
-        return [x[some] for x in self.last], self.mean[some]
+        return [self.padded.take(self.at[some] - 1 - j) for j in range(SPAN)], self.mean[some]
 
 
-def _hidden(p: Parameters, last: list[np.ndarray], mean: np.ndarray, weighted: list[np.ndarray] | None = None) -> np.ndarray:
-    """Context vectors; `weighted` holds the input vectors times each place's weights, where many are asked for."""
+def _hidden(p: Parameters, last: list[np.ndarray], mean: np.ndarray, weighted: list[np.ndarray]) -> np.ndarray:
+    """Context vectors; `weighted` holds the input vectors times each place's weights."""
     h = mean * p.c[SPAN]
     for j in range(SPAN):
-        h += weighted[j][last[j]] if weighted else p.r[last[j]] * p.c[j]
+        h += weighted[j].take(last[j], axis=0)
     return h
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    np.clip(z, -30, 30, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
 
 
 class Trainer:
-    """Noise-contrastive steps: noise classes shared by a batch, and noise buckets of each token's own class, drawn by their frequencies."""
+    """Noise-contrastive steps: noise classes shared by a batch, and for each class noise buckets shared by its tokens, drawn by their frequencies."""
 
-    def __init__(self, p: Parameters, counts: np.ndarray, noise_classes: int = 32, noise_buckets: int = 4, rate: float = 0.08):
+    def __init__(self, p: Parameters, counts: np.ndarray, noise_classes: int = 32, noise_buckets: int = 8, rate: float = 0.12):
         self.p, self.noise_classes, self.noise_buckets, self.rate = p, noise_classes, noise_buckets, rate
         share = (counts + 0.5) / (counts + 0.5).sum()
         of_class = share.reshape(p.classes, -1).sum(1)
@@ -138,44 +134,75 @@ class Trainer:
         self.log_bucket = np.log(noise_buckets * share / np.repeat(of_class, self.width)).astype(np.float32)
         self.seen = {k: np.full_like(getattr(p, k), 1e-3) for k in p.names}
 
-    def step(self, target: np.ndarray, last: list[np.ndarray], mean: np.ndarray, rng: np.random.Generator) -> None:
-        p, n = self.p, len(target)
-        h = _hidden(p, last, mean)
+    def step(self, contexts: Contexts, first: int, last: int, rng: np.random.Generator) -> None:
+        """One step on the tokens first to last (exclusive), which follow each other: each input vector is fetched and moved once."""
+        p, n = self.p, last - first
+        low = contexts.at[first] - SPAN
+        inputs = contexts.padded[low : contexts.at[last - 1] + 1]
+        m = len(inputs) - SPAN
+        target = inputs.take(contexts.at[first:last] - low)
+        # in the order of buckets, and so of classes
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        place = (contexts.at[first:last] - low - SPAN).take(order)
+        r = p.r.take(inputs, axis=0)
+        near = r[SPAN - 1 : SPAN - 1 + m] * p.c[0]
+        for j in range(1, SPAN):
+            near += r[SPAN - 1 - j : SPAN - 1 - j + m] * p.c[j]
+        mean = contexts.mean[first:last].take(order, axis=0)
+        h = near.take(place, axis=0)
+        h += mean * p.c[SPAN]
+        target = target.take(order)
         kind = target // self.width
+        # classes
         noise = np.minimum(np.searchsorted(self.draw_class, rng.random(self.noise_classes)), p.classes - 1)
-        g_own = (_sigmoid(np.einsum("nd,nd->n", h, p.qc[kind]) + p.bc[kind] - self.log_class[kind]) - 1).astype(np.float32) / n
-        g_other = _sigmoid(h @ p.qc[noise].T + p.bc[noise] - self.log_class[noise]).astype(np.float32) / n
-        g_h = g_own[:, None] * p.qc[kind] + g_other @ p.qc[noise]
-        rows = np.concatenate([g_own[:, None] * h, g_other.T @ h])
-        self._move("qc", np.append(kind, noise), rows)
-        self._move("bc", np.append(kind, noise), np.append(g_own, g_other.sum(0)))
-        # buckets of the token's own class
-        first, after = self.draw[kind * self.width], self.draw[(kind + 1) * self.width]
-        spots = first[:, None] + rng.random((n, self.noise_buckets)) * (after - first)[:, None]
-        other = np.clip(np.searchsorted(self.draw, spots, "right") - 1, (kind * self.width)[:, None], (kind * self.width + self.width - 1)[:, None])
-        g_own = (_sigmoid(np.einsum("nd,nd->n", h, p.q[target]) + p.b[target] - self.log_bucket[target]) - 1).astype(np.float32) / n
-        q = p.q[other]
-        g_other = _sigmoid(np.einsum("nd,nkd->nk", h, q) + p.b[other] - self.log_bucket[other]).astype(np.float32) / n
-        g_h += g_own[:, None] * p.q[target] + np.einsum("nk,nkd->nd", g_other, q)
-        where, g = np.concatenate([target[:, None], other], axis=1).ravel(), np.concatenate([g_own[:, None], g_other], axis=1)
-        self._move("q", where, (g[:, :, None] * h[:, None]).reshape(-1, DIMS))
-        self._move("b", where, g.ravel())
-        c = np.zeros_like(p.c)
+        own, offset = p.qc.take(kind, axis=0), p.bc - self.log_class
+        g_own = (_sigmoid(np.einsum("nd,nd->n", h, own) + offset.take(kind)) - 1) / n
+        g_noise = _sigmoid(h @ p.qc[noise].T + offset[noise])
+        g_noise /= n
+        g_h = g_own[:, None] * own
+        g_h += g_noise @ p.qc[noise]
+        edges = np.flatnonzero(np.diff(kind, prepend=-1))
+        classes = kind[edges]
+        moves = [("qc", np.append(classes, noise), np.concatenate([np.add.reduceat(g_own[:, None] * h, edges, axis=0), g_noise.T @ h]))]
+        moves.append(("bc", np.append(classes, noise), np.append(np.add.reduceat(g_own, edges), g_noise.sum(0))))
+        # buckets inside the tokens' classes
+        begins, after = self.draw[classes * self.width], self.draw[(classes + 1) * self.width]
+        spots = begins[:, None] + rng.random((len(classes), self.noise_buckets)) * (after - begins)[:, None]
+        other = np.clip(np.searchsorted(self.draw, spots, "right") - 1, (classes * self.width)[:, None], (classes * self.width + self.width - 1)[:, None])
+        own, offset = p.q.take(target, axis=0), p.b - self.log_bucket
+        g_own = (_sigmoid(np.einsum("nd,nd->n", h, own) + offset.take(target)) - 1) / n
+        g_h += g_own[:, None] * own
+        runs = np.flatnonzero(np.diff(target, prepend=-1))
+        rows, biases = [np.add.reduceat(g_own[:, None] * h, runs, axis=0)], [np.add.reduceat(g_own, runs)]
+        for a, b, q, z in zip(edges, np.append(edges[1:], n), p.q[other], offset[other]):
+            g = _sigmoid(h[a:b] @ q.T + z)
+            g /= n
+            g_h[a:b] += g @ q
+            rows.append(g.T @ h[a:b])
+            biases.append(g.sum(0))
+        where = np.append(target[runs], other.ravel())
+        moves += [("q", where, np.concatenate(rows)), ("b", where, np.concatenate(biases))]
+        # inputs
+        g_place = np.zeros((m, DIMS), np.float32)
+        g_place[place] = g_h
+        g_in, c = np.zeros_like(r), np.empty_like(p.c)
         c[SPAN] = np.einsum("nd,nd->d", g_h, mean)
         for j in range(SPAN):
-            c[j] = np.einsum("nd,nd->d", g_h, p.r[last[j]])
-        self._move("r", np.concatenate(last), np.concatenate([g_h * p.c[j] for j in range(SPAN)]))
-        self._move("c", np.arange(SPAN + 1), c)
+            s = slice(SPAN - 1 - j, SPAN - 1 - j + m)
+            c[j] = np.einsum("nd,nd->d", g_place, r[s])
+            g_in[s] += g_place * p.c[j]
+        for name, at, g in [*moves, ("r", inputs, g_in), ("c", np.arange(SPAN + 1), c)]:
+            self._move(name, at, g)
 
     def _move(self, name: str, at: np.ndarray, rows: np.ndarray) -> None:
         """An adaptive step of the rows that the batch touched."""
-        some, place = np.unique(at, return_inverse=True)
-        if rows.ndim == 1:
-            g = np.bincount(place, rows, len(some)).astype(np.float32)
-        else:
-            g = np.bincount((place[:, None] * DIMS + np.arange(DIMS)).ravel(), rows.ravel(), len(some) * DIMS).reshape(-1, DIMS).astype(np.float32)
-        self.seen[name][some] += g * g
-        getattr(self.p, name)[some] -= self.rate * g / np.sqrt(self.seen[name][some])
+        order = np.argsort(at.astype(np.uint16), kind="stable")
+        at = at.take(order)
+        runs = np.flatnonzero(np.diff(at, prepend=-1))
+        some, g = at[runs], np.add.reduceat(rows.take(order, axis=0), runs, axis=0)
+        seen = self.seen[name].take(some, axis=0) + g * g
+        self.seen[name][some] = seen
+        getattr(self.p, name)[some] -= self.rate * g / np.sqrt(seen)
 
 
 def _log_softmax(h: np.ndarray, q: np.ndarray, b: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -192,7 +219,7 @@ def _log_softmax(h: np.ndarray, q: np.ndarray, b: np.ndarray, own: np.ndarray) -
 def log_probabilities(p: Parameters, tokens: np.ndarray, starts: np.ndarray, rows: int = 4096) -> np.ndarray:
     """Normalised natural log-probability of each token's bucket, by batched products with the vectors of all classes and of all buckets of its class."""
     n = len(tokens)
-    contexts, out = Contexts(tokens, starts, p.r, np.arange(n)), np.empty(n)
+    contexts, out = Contexts(tokens, starts, p.r), np.empty(n)
     width = p.buckets // p.classes
     kind = tokens // width
     h, weighted = np.empty((n, DIMS), np.float32), [p.r * p.c[j] for j in range(SPAN)]
@@ -200,13 +227,13 @@ def log_probabilities(p: Parameters, tokens: np.ndarray, starts: np.ndarray, row
         s = slice(at, min(at + rows, n))
         h[s] = _hidden(p, *contexts(s), weighted)
         out[s] = _log_softmax(h[s], p.qc, p.bc, kind[s])
-    order = np.argsort(kind, kind="stable")
+    order = np.argsort(kind.astype(np.uint16), kind="stable")
     edges = np.searchsorted(kind[order], np.arange(p.classes + 1))
     for k in range(p.classes):
         q, b = p.q[k * width : (k + 1) * width], p.b[k * width : (k + 1) * width]
         for at in range(edges[k], edges[k + 1], rows):
             s = order[at : min(at + rows, edges[k + 1])]
-            out[s] += _log_softmax(h[s], q, b, tokens[s] - k * width)
+            out[s] += _log_softmax(h.take(s, axis=0), q, b, tokens[s] - k * width)
     return out
 
 
@@ -238,8 +265,8 @@ def _counted(counts: dict[bytes, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
 
-def train_model(train: DataFrame, counts: np.ndarray, rounds: int = 2, batch: int = 2048, stride: int = 8) -> Parameters:
-    """Passes over all training documents (column symbols); each round averages the tasks' weights in one aggregation of a fixed number of rows."""
+def train_model(train: DataFrame, counts: np.ndarray, rounds: int = 2, batch: int = 4096) -> Parameters:
+    """Every token of the training documents (column symbols) trains once, in one of the rounds; each round averages the tasks' weights in one aggregation of a fixed number of rows."""
     p = Parameters(counts)
     size = len(p.pack())
     width = 256
@@ -247,18 +274,17 @@ def train_model(train: DataFrame, counts: np.ndarray, rounds: int = 2, batch: in
         start = p.pack()
 
         def learn(batches, start=start, turn=turn):
-            own, tokens_seen = Parameters(counts).unpack(start), 0
+            own, tokens_seen, block = Parameters(counts).unpack(start), 0, TaskContext.get().partitionId()
             trainer, rng = Trainer(own, counts), np.random.default_rng([17, turn, TaskContext.get().partitionId()])
             for rows in batches:
-                for _, tokens, starts in _token_blocks(rows.column(0).to_pylist()):
-                    pick = np.arange(turn % stride, len(tokens), stride)
-                    if not len(pick):
+                for _, tokens, starts in _token_blocks(rows.column(0).to_pylist(), 1 << 14):
+                    block += 1
+                    if block % rounds != turn:
                         continue
-                    contexts = Contexts(tokens, starts, own.r, pick)
-                    for at in range(0, len(pick), batch):
-                        some = slice(at, at + batch)
-                        trainer.step(tokens[pick[some]], *contexts(some), rng)
-                    tokens_seen += len(pick)
+                    contexts = Contexts(tokens, starts, own.r)
+                    for at in range(0, len(tokens), batch):
+                        trainer.step(contexts, at, min(at + batch, len(tokens)), rng)
+                    tokens_seen += len(tokens)
             flat = np.concatenate([own.pack() * np.float32(tokens_seen), np.zeros(-size % width, np.float32)]).reshape(-1, width)
             if tokens_seen:
                 yield pa.RecordBatch.from_arrays(
@@ -269,7 +295,7 @@ def train_model(train: DataFrame, counts: np.ndarray, rounds: int = 2, batch: in
         learned = train.select("symbols").mapInArrow(learn, "part int, n bigint, w array<float>")
         got = materialize(learned.groupBy("part").agg(F.sum("n").alias("n"), *sums), "weights").toArrow()
         if not got.num_rows:
-            return p
+            continue
         order = np.argsort(got.column("part").to_numpy())
         flat = np.stack([got.column(f"w{k}").to_numpy()[order] for k in range(width)], axis=1) / got.column("n").to_numpy()[order][:, None]
         # rounded, so that the order of additions never shows
