@@ -81,7 +81,7 @@ class Mixture:
         return out
 
 
-def fit_mixture(df: DataFrame, features: str, start: list[list[float]], steps: int = 100, gain: float = 1e-6, floor: float = 1e-6) -> Mixture:
+def fit_mixture(df: DataFrame, features: str, start: list[list[float]], steps: int = 100, gain: float = 1e-3, floor: float = 1e-6) -> Mixture:
     """Expectation-maximisation with diagonal covariances from the means in `start`; each step is one aggregation of k (2 dims + 1) sums.
 
     Sums are taken about the means before, so no digits cancel. It ends when the mean log-likelihood gains less than `gain`. Variances stay at or above `floor`;

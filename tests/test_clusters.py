@@ -46,7 +46,7 @@ START = [[1.0, 1.0], [4.0, 0.0], [0.0, 5.0]]
 def test_mixture_against_loops(spark):
     kind, x = planted()
     df = frame(spark, kind, x, ODD)
-    got = K.fit_mixture(df, "features", START, steps=12)
+    got = K.fit_mixture(df, "features", START, steps=12, gain=1e-6)
     w, m, v, trace = plain_em(x, START, 12)
     assert np.allclose(got.weights, w, atol=1e-9) and np.allclose(got.means, m, atol=1e-9) and np.allclose(got.variances, v, atol=1e-9)
     assert np.allclose(got.trace, trace, atol=1e-9)
