@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import materialize, table
-from ._shards import Forest, connected_components, split_hot, whole_groups
+from ._shards import Forest, connected_components, join_per_key, split_hot, whole_groups
 
 WIDTH = 2.0
 
@@ -157,9 +157,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = found.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("more"))
     parts = connected_components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
     rooted = classes.join(parts, "cid", "left").join(counts, "cid", "left").withColumn("root", F.coalesce("component", "cid"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    named = named.select("v", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    linked = rows.filter("_usable").join(named, "v").select(F.col("_id").alias(id_col), "n_links", "component_id")
+    rooted = materialize(rooted.select("v", "n", "first", "root", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links")), "rooted")
+    # one component or one vector may hold a third of all rows
+    roots = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_n")), "roots")
+    named = join_per_key(rooted, roots, "root").select("v", "n_links", "component_id", F.col("n").alias("_n"))
+    named = materialize(named, "named")
+    linked = join_per_key(rows.filter("_usable"), named, "v", most_broadcast=20_000).select(F.col("_id").alias(id_col), "n_links", "component_id")
     alone = rows.filter("not _usable").select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").cast("long").alias("component_id"))
     return linked.unionByName(alone)
 
