@@ -201,12 +201,6 @@ def stated_vs_offered(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*r6("same_sector", "same_place"))
 
 
-@query("""SELECT c_custkey, CAST(CASE WHEN conv >= 9223372036854775808 THEN 'treatment' ELSE 'control' END AS VARCHAR) AS arm FROM (SELECT c_custkey, ('0x' || substr(sha256('s1|' || c_custkey), 1, 16))::UBIGINT AS conv FROM customer) WHERE false""")
-def sticky_assignment_empty(spark: SparkSession, d: str) -> DataFrame:
-    """The schema of an assignment over no entities."""
-    return load_table(spark, d, "customer").filter("false").select("c_custkey", X.sticky_arm("s1", F.col("c_custkey")).alias("arm"))
-
-
 @query("""SELECT c_custkey, CASE WHEN substr(sha256('s1|' || c_custkey), 1, 1) < '8' THEN 'treatment' ELSE 'control' END AS arm FROM customer""")
 def sticky_assignment(spark: SparkSession, d: str) -> DataFrame:
     return load_table(spark, d, "customer").select("c_custkey", X.sticky_arm("s1", F.col("c_custkey")).alias("arm"))

@@ -205,6 +205,8 @@ def test_sample_size_and_sticky_arms(spark):
     assert 20000 < X.sample_size(0.2, 0.05) < 30000
     ids = spark.range(10000)
     assert abs(U.srm_z(ids.select(X.sticky_arm("s", F.col("id")).alias("arm")), "arm").first().z) < 3
+    none = ids.filter("false").select(X.sticky_arm("s", F.col("id")).alias("arm"))
+    assert (none.schema["arm"].dataType.simpleString(), none.count()) == ("string", 0)
 
 
 def test_boosted_trees_keep_the_best_number(spark):
