@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import unicodedata
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -45,14 +47,26 @@ def right_closed(x: Column, edges: list[float], labels: list[str]) -> Column:
     return out.otherwise(labels[-1])
 
 
+@functools.cache
+def _accented() -> tuple[str, str]:
+    """Lower-case characters of the basic plane that decompose to one character and marks, and that character, by the Unicode tables of this Python."""
+    pairs = []
+    for c in (chr(k) for k in range(0xC0, 0x10000) if not 0xD800 <= k < 0xE000):
+        base = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+        if len(base) == 1 and base[0] != c and c.lower() == c:
+            pairs.append((c, base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def fold_text(x: Column) -> Column:
-    """Lower case without Spanish accents."""
-    return F.translate(F.lower(x), "áéíóúüñ", "aeiouun")
+    """Lower case without accents: what decomposes to a letter and marks becomes the letter, marks of their own go. Null stays null."""
+    return F.regexp_replace(F.translate(F.lower(x), *_accented()), r"\p{Mn}+", "")
 
 
 def mentions(x: Column, phrases: list[str]) -> Column:
-    """Whether folded text holds any of the phrases."""
-    return F.coalesce(F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(fold_text(x), p)), F.lit(False))
+    """Whether folded text holds any of the phrases; the text is folded once for all of them."""
+    folded = fold_text(x)
+    return F.coalesce(functools.reduce(lambda a, b: a | b, [F.contains(folded, F.lit(p)) for p in phrases], F.lit(False)), F.lit(False))
 
 
 def json_list(x: Column) -> Column:

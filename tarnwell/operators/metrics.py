@@ -193,11 +193,19 @@ def error_types(df: DataFrame, target: str, score: str, reference: Column, q: fl
     return df.withColumn("error_type", F.when(high & y, "TP").when(high, "FP").when(y, "FN").otherwise("TN"))
 
 
-def collapse_guard(base: DataFrame, challenger: DataFrame, keys: list[str], ap_drop: float = 0.02, least_folds: int = 2) -> DataFrame:
-    """Segments in which the challenger's average precision falls by more than the limit in enough folds."""
-    b = base.select("fold", *keys, F.col("average_precision").alias("_b"))
-    worse = challenger.join(b, ["fold", *keys]).withColumn("worse", F.col("average_precision") - F.col("_b") < -ap_drop)
-    return worse.groupBy(*keys).agg(F.count_if("worse").alias("n_worse"), F.count("*").alias("n_folds")).withColumn("collapsed", F.col("n_worse") >= least_folds)
+def collapse_guard(base: DataFrame, challenger: DataFrame, keys: list[str], ap_drop: float = 0.02, brier_rise: float = 0.02, least_folds: int = 2, least_rows: int = 100) -> DataFrame:
+    """Segments in which the challenger loses too much average precision, or gains too much Brier score, in enough folds.
+
+    Both sides have one row a fold and segment with n_rows, average_precision and brier. Compared are folds in which both models have the same
+    number of rows, enough of them; the others are counted in n_skipped, so a segment that one model lacks is not forgotten. Null keys are a segment.
+    """
+    side = lambda df, name: df.select("fold", *keys, F.lit(name).alias("_side"), "n_rows", "average_precision", "brier")
+    of = lambda name, c: F.max(F.when(F.col("_side") == name, F.col(c))).alias(f"_{name}_{c}")
+    pairs = side(base, "b").unionByName(side(challenger, "c")).groupBy("fold", *keys).agg(*[of(s, c) for s in "bc" for c in ("n_rows", "average_precision", "brier")])
+    compared = F.coalesce((F.col("_b_n_rows") == F.col("_c_n_rows")) & (F.col("_b_n_rows") >= least_rows), F.lit(False))
+    worse = (F.col("_c_average_precision") - F.col("_b_average_precision") < -ap_drop) | (F.col("_c_brier") - F.col("_b_brier") > brier_rise)
+    out = pairs.groupBy(*keys).agg(F.count_if(compared & F.coalesce(worse, F.lit(False))).alias("n_worse"), F.count_if(compared).alias("n_folds"), F.count_if(~compared).alias("n_skipped"))
+    return out.withColumn("collapsed", F.col("n_worse") >= least_folds)
 
 
 def permuted(df: DataFrame, column: str, seed: int = 3, buckets: int = 64) -> DataFrame:

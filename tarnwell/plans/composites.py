@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.operators import aggregates as A
+from tarnwell.operators import availability as V
 from tarnwell.operators import features as X
 from tarnwell.operators import history as H
 from tarnwell.operators import joins as J
 from tarnwell.operators import metrics as M
 from tarnwell.operators import targets as T
 from tarnwell.plans.registry import ASKS, SCORED, SNAPSHOTS, asks, orders, query, r6, scored, snapshots
-from tarnwell.sources.tables import load_table
+from tarnwell.sources.tables import load_table, settled
 
 _FIRST = f"""a AS ({ASKS}), f AS (SELECT *, row_number() OVER (PARTITION BY lead ORDER BY asked_at, ask_id) AS n FROM a), sn AS ({SNAPSHOTS}),
 j AS (SELECT f.*, sn.available, date_diff('day', sn.seen, f.asked_at) AS age FROM f ASOF LEFT JOIN sn ON sn.part_id = f.part_id AND f.asked_at >= sn.seen WHERE f.n = 1),
@@ -70,6 +71,39 @@ def available_within_30_days(spark: SparkSession, d: str) -> DataFrame:
     return g.join(F.broadcast(p)).select("brand", "n", "hits", F.round(A.shrunk_rate(F.col("hits"), F.col("n"), F.col("p")), 6).alias("rate"))  # a single row
 
 
+_LABELS = f"""a AS ({ASKS}), sn AS ({SNAPSHOTS}), cur AS (SELECT a.*, sn.available AS now FROM a ASOF JOIN sn ON sn.part_id = a.part_id AND a.asked_at >= sn.seen),
+fut AS (SELECT ask_id, bool_or(sn.available) AS later FROM a JOIN sn ON sn.part_id = a.part_id AND sn.seen > a.asked_at AND sn.seen <= a.asked_at + INTERVAL 30 DAY GROUP BY 1),
+y AS (SELECT cur.ask_id, asked_at, p_brand AS brand, CAST(now AS INT) AS cur, CASE WHEN now THEN 1 ELSE CAST(later AS INT) END AS y, CASE WHEN now THEN asked_at ELSE asked_at + INTERVAL 30 DAY END AS ripe FROM cur LEFT JOIN fut USING (ask_id) JOIN part ON p_partkey = part_id WHERE now OR later IS NOT NULL),
+d AS (SELECT asked_at AS t, row_number() OVER (ORDER BY asked_at) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT asked_at FROM y)),
+c AS (SELECT f, (SELECT t FROM d WHERE k = CAST(floor((n - 1) * (f * 0.2)) AS BIGINT) + 1) AS lo, (SELECT t FROM d WHERE k = CAST(floor((n - 1) * CAST((f + 1) * 0.2 AS DOUBLE)) AS BIGINT) + 1) AS hi FROM range(1, 5) AS r(f)),
+tr AS (SELECT f, brand, y FROM c JOIN y ON ripe < lo AND cur = 0), g AS (SELECT f, avg(y) AS prior FROM tr GROUP BY 1),
+r AS (SELECT f, brand, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, (sum(y) + 20 * any_value(prior)) / (count(*) + 20) AS rate, any_value(prior) AS prior FROM tr JOIN g USING (f) GROUP BY 1, 2)"""
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    brand = load_table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("brand"))
+    return V.availability_labels(asks(spark, d), snapshots(spark, d), "part_id", "asked_at", "at", "available", "snap_id").join(brand, "part_id")
+
+
+@query(f"""WITH {_LABELS} SELECT CAST(f AS INT) AS fold, brand, n, hits, round(prior, 6) AS prior, round(rate, 6) AS rate FROM r""")
+def availability_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates by brand at which parts not free become free within 30 days, in each of four expanding folds from the labels matured before it."""
+    y = settled(_labelled(spark, d), "labels")
+    rates = V.matured_rates(y, "brand", V.expanding_cuts(y, "asked_at"))
+    return rates.filter("n > 0").select("fold", "brand", "n", "hits", *r6("prior", "rate"))
+
+
+@query(f"""WITH {_LABELS}, s AS (SELECT c.f, y.y, CASE WHEN cur = 1 THEN 1.0 ELSE coalesce(r.rate, g.prior) END AS p FROM c JOIN y ON asked_at >= lo AND asked_at <= hi LEFT JOIN r ON r.f = c.f AND r.brand = y.brand LEFT JOIN g ON g.f = c.f),
+k AS (SELECT f, y, p, rank() OVER (PARTITION BY f ORDER BY round(p, 9)) + (count(*) OVER (PARTITION BY f, round(p, 9)) - 1) / 2.0 AS rk FROM s)
+SELECT CAST(f AS INT) AS fold, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, round(avg((p - y) * (p - y)), 6) AS brier, round((sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS roc_auc FROM k GROUP BY 1""")
+def availability_quality(spark: SparkSession, d: str) -> DataFrame:
+    """How well these rates foretell availability in their own folds."""
+    y = settled(_labelled(spark, d), "labels")
+    s = settled(V.matured_scores(y, "brand", "asked_at", V.expanding_cuts(y, "asked_at")).select("fold", "target", F.round("p", 9).alias("p")), "scores")
+    ranked, errors = M.ranking_metrics(s, "target", "p", ("fold",)), M.error_metrics(s, "target", "p", ("fold",))
+    return ranked.join(errors.select("fold", "brier"), "fold").select("fold", F.col("n_rows").alias("n"), F.col("positives").cast("long").alias("positives"), *r6("brier", "roc_auc"))
+
+
 @query(f"""WITH a AS ({ASKS}), f AS (SELECT *, row_number() OVER (PARTITION BY lead ORDER BY asked_at, ask_id) AS n FROM a), o AS (SELECT f.lead, f.asked_at, CAST(f.st = 'F' AS INT) AS first_hit, CAST(coalesce(bool_or(x.st = 'F'), false) AS INT) AS any_hit FROM f JOIN a x ON x.lead = f.lead AND x.asked_at >= f.asked_at AND x.asked_at <= f.asked_at + INTERVAL 30 DAY WHERE f.n = 1 GROUP BY ALL)
 SELECT count(*) AS n, CAST(sum(first_hit) AS BIGINT) AS first_event, CAST(sum(any_hit) AS BIGINT) AS any_in_window FROM o""")
 def target_options(spark: SparkSession, d: str) -> DataFrame:

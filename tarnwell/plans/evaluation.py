@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import scalars as X
 from tarnwell.operators import audit as U
+from tarnwell.operators import forests as R
 from tarnwell.operators import inventory as I
 from tarnwell.operators import learned as L
 from tarnwell.operators import metrics as M
@@ -117,10 +118,20 @@ def error_types(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("error_type").agg(F.count("*").alias("n"))
 
 
-@query()
+def _by_fold(p: str, name: str) -> str:
+    """SQL of n, average precision and Brier score by year and segment."""
+    return f"""{name}g AS (SELECT date_part('year', seen) AS fold, segment, {p} AS s, sum(y) AS pos, count(*) AS n, sum(({p} - y) * ({p} - y)) AS sq FROM s GROUP BY ALL),
+{name}w AS (SELECT *, sum(pos) OVER (PARTITION BY fold, segment ORDER BY s DESC) AS cp, sum(n) OVER (PARTITION BY fold, segment ORDER BY s DESC) AS cn, sum(pos) OVER (PARTITION BY fold, segment) AS pp FROM {name}g),
+{name} AS (SELECT fold, segment, sum(n) AS n, sum(CASE WHEN pp > 0 THEN CAST(pos AS DOUBLE) / pp * cp / cn END) AS ap, sum(sq) / sum(n) AS brier FROM {name}w GROUP BY 1, 2)"""
+
+
+@query(f"""WITH s AS ({SCORED}), {_by_fold("p", "a")}, {_by_fold("p2", "b")}, j AS (SELECT a.segment, coalesce(a.n = b.n AND a.n >= 100, false) AS ok, coalesce(b.ap - a.ap < -0.02 OR b.brier - a.brier > 0.02, false) AS bad FROM a JOIN b USING (fold, segment))
+SELECT segment, count(*) FILTER (WHERE ok AND bad) AS n_worse, count(*) FILTER (WHERE ok) AS n_folds, count(*) FILTER (WHERE NOT ok) AS n_skipped, count(*) FILTER (WHERE ok AND bad) >= 2 AS collapsed FROM j GROUP BY 1""")
 def segment_collapse(spark: SparkSession, d: str) -> DataFrame:
+    """Segments in which the second score falls behind the first in two years or more."""
     s = scored(spark, d).withColumn("fold", F.year("at"))
-    base, other = (M.ranking_metrics(s, "y", c, ("fold", "segment")) for c in ("p", "p2"))
+    by = ("fold", "segment")
+    base, other = (M.ranking_metrics(s, "y", c, by).select(*by, "n_rows", "average_precision").join(M.error_metrics(s, "y", c, by).select(*by, "brier"), list(by)) for c in ("p", "p2"))
     return M.collapse_guard(base, other, ["segment"])
 
 
@@ -199,3 +210,16 @@ def label_agreement(spark: SparkSession, d: str) -> DataFrame:
 def supply_profiles(spark: SparkSession, d: str) -> DataFrame:
     o = orders(spark, d).withColumn("lag", F.datediff(F.lit("1999-01-01"), "o_orderdate").cast("double"))
     return L.supply_profile(o, "o_custkey", "lag", F.col("o_orderstatus") == "F", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"], 0.5)
+
+
+@query()
+def extra_trees_model(spark: SparkSession, d: str) -> DataFrame:
+    """100 extra trees on the orders of four customers in five, by segment on the fifth: which orders are finished, from price, day, scores and priority."""
+    s = scored(spark, d)
+    days = F.datediff("at", F.lit("1992-01-01")).cast("double")
+    flags = [(F.col("segment") == v).cast("double") for v in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
+    rows = s.withColumn("features", F.array(F.col("price"), days, F.col("p"), F.col("p2"), *flags))
+    held_out = F.pmod(F.xxhash64("lead"), F.lit(5)) == 0
+    forest = R.fit_extra_trees(rows.filter(~held_out), "features", "y", 9)
+    out = M.ranking_metrics(R.with_score(rows.filter(held_out), "features", forest, "q"), "y", "q", ("segment",))
+    return out.select("segment", "n_rows", "positives", *r6("roc_auc", "lift_10"))

@@ -60,3 +60,10 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT role, count(*) AS n, count(DISTINCT conv_id) AS convs, round(avg(length(text)), 4) AS mean_chars FROM conversations GROUP BY 1) SELECT * FROM c""")
 def conversation_mix(spark: SparkSession, d: str) -> DataFrame:
     return load_table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("convs"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
+
+
+@query("""SELECT doc_id, sha256(strip_accents(lower(text))) AS folded_sha256, CAST(length(strip_accents(lower(text))) AS BIGINT) AS n FROM documents""")
+def folded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts in lower case without accents, as digests."""
+    t = X.fold_text(F.col("text"))
+    return load_table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("folded_sha256"), F.length(t).cast("long").alias("n"))
