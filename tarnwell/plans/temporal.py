@@ -6,10 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.functions import scalars as X
 from tarnwell.operators import history as H
+from tarnwell.operators import joins as J
 from tarnwell.operators import ordering as O
 from tarnwell.operators import targets as T
-from tarnwell.plans.registry import ASKS, asks, events, orders, query, r6
+from tarnwell.plans.registry import ASKS, SNAPSHOTS, asks, events, orders, query, r6, snapshots
+from tarnwell.sources.tables import load_table
 
 
 @query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), h AS (SELECT max(ts) AS h FROM events)
@@ -179,3 +182,32 @@ def streamed_daily_volume(spark: SparkSession, d: str) -> DataFrame:
 
     windows = table_stream(spark, d, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
     return run_available(windows, "volume", "complete").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("""SELECT user_id, ts, event_id, event_type, CAST(1 AS BIGINT) AS version FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) WHERE n = 1""")
+def streamed_latest_states(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last event, held as keyed state of the streaming engine; the table is one batch, so every state is its first version."""
+    from tarnwell.streaming.events import current_states, latest_states, run_available, table_stream
+
+    stream = table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    changes = run_available(latest_states(stream, "user_id", "ts", "event_id", ["event_type"], "36500 days"), "latest")
+    return current_states(changes, "user_id", "ts", "event_id")
+
+
+@query(f"""WITH a AS ({ASKS}), sn AS ({SNAPSHOTS}) SELECT ask_id, lead, sn.available, CAST(date_diff('day', sn.seen, asked_at) AS INT) AS age_days,
+ round(1 / (1 + exp(-(-0.4 + 0.9 * (CAST(coalesce(sn.available, false) AS INT) - 0.5) / 0.5 - 0.3 * (coalesce(date_diff('day', sn.seen, asked_at), 365) - 90.0) / 120.0))), 8) AS score FROM a ASOF LEFT JOIN sn ON sn.part_id = a.part_id AND a.asked_at >= sn.seen""")
+def streamed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every order scored as its batch arrives: the part's state as of then, its age, and a frozen model of the two."""
+    from tarnwell.streaming.events import run_scored, table_stream
+
+    li = load_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("part_id"))
+    states = snapshots(spark, d)
+
+    def score(batch: DataFrame) -> DataFrame:
+        a = batch.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("ask_id"), F.col("o_custkey").alias("lead"), "part_id", F.col("o_orderdate").alias("asked_at"))
+        known = J.state_coverage(J.asof_backward(a, states, "part_id", "asked_at", "at", ["available"]), "asked_at", "at")
+        # fixed values of the frozen model: coefficient, mean, spread, fill
+        model = X.logistic(-0.4, [(0.9, F.coalesce("available", F.lit(False)).cast("int"), 0.5, 0.5, 0.0), (-0.3, F.col("age_days"), 90.0, 120.0, 365.0)])
+        return known.select("ask_id", "lead", "available", "age_days", F.round(model, 8).alias("score"))
+
+    return run_scored(table_stream(spark, d, "orders"), "scores", score).drop("batch")

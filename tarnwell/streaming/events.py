@@ -63,6 +63,65 @@ def first_events(events: DataFrame, key: str, time: str, payload: str) -> DataFr
     return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, first_at timestamp, {payload} {pay}", f"at timestamp, value {pay}, sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def latest_states(events: DataFrame, key: str, time: str, tie: str, payload: list[str], keep: str) -> DataFrame:
+    """Changes of the last state of each key, as keyed state of the engine: one row a key and batch in which its last row changed.
+
+    Last is the row with the greatest time, of several at one time that with the greatest tie. `version` counts a key's changes. Once the watermark
+    is `keep` beyond a key's last row, a row with `expired` is emitted and the key's state is dropped, so state is bounded by the keys seen in
+    that span. Rows older than the watermark of the batch before are dropped by the engine, rows older than the key's last row change nothing; rows without a key or
+    time are left out. The result can be appended to a table; `current_states` reads the last states out of it.
+    """
+    span = int(pd.Timedelta(keep).total_seconds() * 1000)
+    rows = events.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumn("_us", F.unix_micros(time)).select(key, time, "_us", tie, *payload)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, tie, *payload)}
+    plain = lambda v: v.item() if hasattr(v, "item") else None if pd.isna(v) else v
+
+    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        row = lambda s, gone: pd.DataFrame([(group[0], *s, gone)], columns=[key, "_us", tie, *payload, "version", "expired"])
+        if state.hasTimedOut:
+            gone = state.get
+            state.remove()
+            yield row(gone, True)
+            return
+        held = state.get if state.exists else None
+        best = held
+        for pdf in frames:
+            top = pdf.sort_values(["_us", tie]).iloc[-1]
+            found = tuple(plain(top[c]) for c in ("_us", tie, *payload))
+            if best is None or found[:2] > tuple(best[:2]):
+                best = (*found, (held[-1] if held else 0) + 1)
+        if best is not held:
+            state.update(tuple(best))
+            yield row(best, False)
+        state.setTimeoutTimestamp(max(best[0] // 1000 + span, state.getCurrentWatermarkMs()) + 1)
+
+    fields = ", ".join(f"{c} {kinds[c]}" for c in (tie, *payload))
+    out = rows.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, _us long, {fields}, version long, expired boolean", f"_us long, {fields}, version long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn(time, F.timestamp_micros("_us")).select(key, time, tie, *payload, "version", "expired")
+
+
+def current_states(changes: DataFrame, key: str, time: str, tie: str) -> DataFrame:
+    """The last state of each key that has not expired, from the changes: one aggregation, combined before the shuffle."""
+    last = F.max_by(F.struct(*[c for c in changes.columns if c != key]), F.struct(time, tie, "expired"))
+    return changes.groupBy(key).agg(last.alias("x")).select(key, "x.*").filter("not expired").drop("expired")
+
+
+def scored_batches(target: str, score: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that scores each batch on arrival with batch operators; a batch that runs again replaces its own rows only."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return sink
+
+
+def run_scored(stream: DataFrame, name: str, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Everything there is now, scored batch by batch, as a table in the shared folder with the number of its `batch`."""
+    target = scratch_folder(stream.sparkSession, name)
+    stream.writeStream.foreachBatch(scored_batches(target, score)).option("checkpointLocation", f"{target}-state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(target)
+
+
 def upsert_latest(target: str, key: str, time: str, tie: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that keeps the latest row of each key, batch by batch in versions of their own; reruns of a batch agree."""
 
