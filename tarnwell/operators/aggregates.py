@@ -18,6 +18,13 @@ def mode(df: DataFrame, by: list[str], value: str, name: str = "mode") -> DataFr
     return counts.groupBy(*by).agg(best["v"].alias(name), (-best["n"]).alias(f"{name}_count"))
 
 
+def first_mode(df: DataFrame, by: list[str], value: str, *order: str, name: str = "mode") -> DataFrame:
+    """Most frequent non-null value of each group; on ties the one that comes first in the order, then the smallest."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_first"))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("at"), F.col(value).alias("v")))
+    return counts.groupBy(*by).agg(best["v"].alias(name), (-best["n"]).alias(f"{name}_count"))
+
+
 def rate(condition: Column) -> Column:
     """Share of rows for which a condition holds; nulls count as no."""
     return F.avg(F.coalesce(condition.cast("double"), F.lit(0.0)))

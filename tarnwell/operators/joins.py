@@ -28,17 +28,19 @@ def latest_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def asof_backward(rows: DataFrame, states: DataFrame, key: str, time: str, state_time: str, payload: list[str], prefix: str = "", allow_exact: bool = True) -> DataFrame:
+def asof_backward(rows: DataFrame, states: DataFrame, key: str, time: str, state_time: str, payload: list[str], prefix: str = "", allow_exact: bool = True, ties: tuple[str, ...] = ()) -> DataFrame:
     """Each row with the state of its key that is last at or before its time; null where there is none.
 
     One union and one window: states come before rows of the same time (after them, if
     exact matches are not allowed). The payload travels as one struct, so a state that holds
-    nulls is still a state. Keys and times are unique among the states.
+    nulls is still a state. Of several states of one key and time the one greatest by `ties` counts, nulls least; without `ties` keys and times
+    must be unique among the states. Dates of states and rows are compared at the grain they have: truncate both first for days.
     """
+    rank = F.struct(*ties) if ties else None
     held = F.struct(F.col(state_time).alias("_at"), *payload)
-    right = states.filter(F.col(key).isNotNull() & F.col(state_time).isNotNull()).select(F.col(key).alias("_key"), F.col(state_time).alias("_time"), F.lit(0 if allow_exact else 1).alias("_kind"), held.alias("_held"), F.lit(None).cast(rows.schema).alias("_row"))
-    left = rows.select(F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(1 if allow_exact else 0).alias("_kind"), F.lit(None).cast(right.schema["_held"].dataType).alias("_held"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"))
-    order = Window.partitionBy("_key").orderBy(F.col("_time").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    right = states.filter(F.col(key).isNotNull() & F.col(state_time).isNotNull()).select(F.col(key).alias("_key"), F.col(state_time).alias("_time"), F.lit(0 if allow_exact else 1).alias("_kind"), held.alias("_held"), F.lit(None).cast(rows.schema).alias("_row"), *([rank.alias("_tie")] if ties else []))
+    left = rows.select(F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(1 if allow_exact else 0).alias("_kind"), F.lit(None).cast(right.schema["_held"].dataType).alias("_held"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), *([F.lit(None).cast(right.schema["_tie"].dataType).alias("_tie")] if ties else []))
+    order = Window.partitionBy("_key").orderBy(F.col("_time").asc_nulls_first(), "_kind", *(["_tie"] if ties else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = left.unionByName(right).withColumn("_found", F.last("_held", ignorenulls=True).over(order)).filter("_row is not null")
     return out.select("_row.*", F.col("_found._at").alias(f"{prefix}{state_time}"), *[F.col(f"_found.{p}").alias(f"{prefix}{p}") for p in payload])
 
@@ -109,6 +111,28 @@ def relaxed_candidates(demand: DataFrame, supply: DataFrame, found: DataFrame, d
     return pairs.join(found, [demand_id, supply_id], "left_anti").withColumn("tier", F.lit(tier))
 
 
+def keyed_candidates(demand: DataFrame, supply: DataFrame, demand_id: str, supply_id: str, equal: str, mode: str, modes: Column, levels: list[str], at: str, created: str, relax: bool = False) -> DataFrame:
+    """Pairs by mode and place: `tier` is the finest level, first named, at which both have the same place, among supply created by the time `at`.
+
+    `modes` gives the modes that a supply row serves. Levels need not be nested, and a null level matches nothing. Pairs agree on `equal`; with
+    `relax` those that do not (a null differs from all but null) come too, in the tier after the last level. `level` names the match.
+    Both sides become keys of mode, level and place, joined by equality; a key keeps a pair only if no finer level matches, so a pair comes
+    once and no pairs are shuffled. Ids are unique on both sides; a row without its time, or supply without `created`, has no pairs.
+    """
+    places = lambda side: F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"{side}{c}").cast("string").alias("v")) for k, c in enumerate(levels)]), lambda x: x["v"].isNotNull()))
+    s = supply.withColumn("_mode", F.explode(F.array_distinct(modes))).select(*[F.col(f"`{c}`").alias(f"s_{c}") for c in supply.columns], F.col("_mode").alias("s__mode"))
+    s = s.select("*", places("s_").alias("_sp"))
+    d = demand.select("*", places("").alias("_dp"))
+    same = F.col(equal).eqNullSafe(F.col(f"s_{equal}"))
+    on = (F.col(mode) == F.col("s__mode")) & (F.col("_dp.k") == F.col("_sp.k")) & (F.col("_dp.v") == F.col("_sp.v")) & (F.col(f"s_{created}") <= F.col(at))
+    if not relax:
+        on &= F.col(equal) == F.col(f"s_{equal}")
+    for k, c in enumerate(levels[:-1]):
+        on &= (F.col("_dp.k") <= k) | ~F.coalesce(F.col(c).cast("string") == F.col(f"s_{c}").cast("string"), F.lit(False))
+    names = F.array(*[F.lit(c) for c in levels])
+    return d.join(s, on).select(demand_id, F.col(f"s_{supply_id}").alias(supply_id), F.when(same, F.col("_dp.k")).otherwise(len(levels)).alias("tier"), F.get(names, F.col("_dp.k")).alias("level"))
+
+
 def with_observed(candidates: DataFrame, observed: DataFrame, demand_id: str, supply_id: str, rank: int = 99) -> DataFrame:
     """Candidates and, where it is missing, the pair that was observed, with a rank of its own."""
     extra = observed.select(demand_id, supply_id).distinct().join(candidates, [demand_id, supply_id], "left_anti").withColumn("tier", F.lit(rank))

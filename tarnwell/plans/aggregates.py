@@ -35,6 +35,13 @@ def modal_priority(spark: SparkSession, d: str) -> DataFrame:
     return A.mode(orders(spark, d), ["o_custkey"], "o_orderpriority")
 
 
+@query("""WITH c AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n, min((o_orderdate, o_orderkey)) AS used FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, used) AS k FROM c)
+SELECT o_custkey, v AS mode, n AS mode_count FROM r WHERE k = 1""")
+def earliest_modal_priority(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's most frequent priority, on ties the one used first."""
+    return A.first_mode(orders(spark, d), ["o_custkey"], "o_orderpriority", "o_orderdate", "o_orderkey")
+
+
 @query("""SELECT round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.75), 4) AS q75, l_returnflag FROM lineitem GROUP BY l_returnflag""")
 def linear_quantiles(spark: SparkSession, d: str) -> DataFrame:
     names = {f"q{int(x * 100)}": x for x in _DEC}

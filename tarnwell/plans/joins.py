@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwell.functions import scalars as X
+from tarnwell.operators import inventory as I
 from tarnwell.operators import joins as J
 from tarnwell.plans.registry import ASKS, DEMAND, SNAPSHOTS, SUPPLY, asks, demand, events, orders, query, r6, snapshots, supply
 from tarnwell.sources import tables as S
@@ -195,3 +197,37 @@ def aligned_union(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT part_id, n_rows FROM (SELECT l_partkey AS part_id, l_shipdate, count(*) AS n_rows FROM lineitem GROUP BY 1, 2) WHERE n_rows > 1""")
 def duplicate_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return J.duplicate_keys(load_table(spark, d, "lineitem"), "l_partkey", "l_shipdate").select(F.col("l_partkey").alias("part_id"), "n_rows")
+
+
+@query(f"""WITH s AS ({SNAPSHOTS}), a AS ({ASKS}) SELECT ask_id, s.snap_id, s.available FROM a ASOF LEFT JOIN s ON a.part_id = s.part_id AND a.asked_at >= s.seen""")
+def asof_last_of_day(spark: SparkSession, d: str) -> DataFrame:
+    """The part's state as of an enquiry, straight from line items: of several on one day the one with the greatest id."""
+    li = load_table(spark, d, "lineitem").select(F.col("l_partkey").alias("part_id"), F.col("l_shipdate").alias("at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("snap_id"), (F.col("l_returnflag") == "N").alias("available"))
+    return J.asof_backward(asks(spark, d), li, "part_id", "asked_at", "at", ["snap_id", "available"], ties=("snap_id",)).select("ask_id", "snap_id", "available")
+
+
+_KEYED = f"""sn AS ({SNAPSHOTS}), f AS (SELECT lead, min(asked_at) AS asked_at FROM ({ASKS}) GROUP BY 1), d AS (SELECT dd.*, f.asked_at, CASE WHEN lead % 2 = 0 THEN 'sale' ELSE 'rent' END AS mode, lead % 100 AS corridor FROM ({DEMAND}) dd JOIN f USING (lead)),
+s AS (SELECT ss.*, cr.made, spot % 3 AS m, spot % 100 AS corridor FROM ({SUPPLY}) ss JOIN (SELECT part_id, min(seen) AS made FROM sn GROUP BY 1) cr ON cr.part_id = spot),
+k AS (SELECT d.lead, s.spot, d.asked_at, d.lead % 50 + 1 AS wanted, s.area, d.lead % 60 AS urgency, CASE WHEN d.corridor = s.corridor THEN 0 WHEN d.nation = s.nation THEN 1 ELSE 2 END AS lv, d.kind = s.kind AS same
+ FROM d JOIN s ON (s.m = 2 OR (s.m = 0) = (d.mode = 'sale')) AND s.made <= d.asked_at AND (d.corridor = s.corridor OR d.nation = s.nation OR d.region = s.region)),
+h AS (SELECT k.*, CASE WHEN same THEN lv ELSE 3 END AS tier, sn.available, sn.until FROM k ASOF LEFT JOIN sn ON sn.part_id = k.spot AND k.asked_at >= sn.seen)"""
+
+
+@query(f"""WITH {_KEYED}, p AS (SELECT *, CASE WHEN available IS NULL THEN 0.5 WHEN available THEN 1.0 WHEN until <= urgency THEN 0.7 ELSE 0.0 END AS fit FROM h)
+SELECT CAST(tier AS INT) AS tier, CASE lv WHEN 0 THEN 'corridor' WHEN 1 THEN 'nation' ELSE 'region' END AS level, count(*) AS n, count(DISTINCT lead) AS n_leads,
+ round(avg(least(1, (greatest(0, 1 - abs(area - wanted) / wanted) + fit) / 2 * CASE tier WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 ELSE 0.4 END)), 6) AS score FROM p GROUP BY 1, 2""")
+def keyed_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by mode and place among parts known when a customer first asked, other kinds last; their state as of then and capped scores."""
+    sn = snapshots(spark, d)
+    asked = asks(spark, d).groupBy("lead").agg(F.min("asked_at").alias("asked_at"))
+    dm = demand(spark, d).join(asked, "lead").withColumns({"mode": F.when(F.col("lead") % 2 == 0, "sale").otherwise("rent"), "corridor": F.col("lead") % 100})
+    sp = supply(spark, d).join(sn.groupBy(F.col("part_id").alias("spot")).agg(F.min("at").alias("made")), "spot").withColumn("corridor", F.col("spot") % 100)
+    m = F.col("spot") % 3
+    serves = F.when(m == 0, F.array(F.lit("sale"))).when(m == 1, F.array(F.lit("rent"))).otherwise(F.array(F.lit("sale"), F.lit("rent")))
+    pairs = J.keyed_candidates(dm, sp, "lead", "spot", "kind", "mode", serves, ["corridor", "nation", "region"], "asked_at", "made", relax=True)
+    known = J.asof_backward(pairs.join(asked, "lead"), sn.withColumnRenamed("part_id", "spot"), "spot", "asked_at", "at", ["available", "until"])
+    state = I.urgency_state(F.col("at").isNotNull(), F.col("available"), F.col("until"), F.col("lead") % 60)
+    fit = F.when(state == "UNKNOWN", 0.5).when(state == "AVAILABLE_NOW", 1.0).when(state == "AVAILABLE_WITHIN_URGENCY", 0.7).otherwise(0.0)
+    area = X.gap_fit(F.col("area"), (F.col("lead") % 50 + 1).cast("double"))
+    rows = known.join(sp.select("spot", "area"), "spot").withColumn("score", I.capped_score([area, fit], F.col("tier"), (1.0, 0.8, 0.6, 0.4)))
+    return rows.groupBy("tier", "level").agg(F.count("*").alias("n"), F.count_distinct("lead").alias("n_leads"), F.round(F.avg("score"), 6).alias("score"))
