@@ -26,11 +26,38 @@ def assert_clean(df: DataFrame, forbidden: tuple[str, ...] = FORBIDDEN) -> DataF
     return df
 
 
-def assert_registered(df: DataFrame, registry: DataFrame, stage: str) -> DataFrame:
-    """The same frame, or an error if a column is not in the registry (name, stage, status) as active at that stage."""
-    allowed = {r["name"] for r in registry.filter((F.col("stage") == stage) & (F.col("status") == "active")).select("name").collect()}
-    if bad := [c for c in df.columns if c not in allowed]:
-        raise ValueError(f"columns not registered for {stage}: {bad}")
+def registry_errors(names: list[str], registry: DataFrame, stage: str, roles: tuple[str, ...] | None = None, statuses: tuple[str, ...] = ("active",), unproven: tuple[str, ...] = ("UNPROVEN", "NOT OBSERVABLE", "FORBIDDEN")) -> list[str]:
+    """What keeps columns from use at a stage, in the order of the columns.
+
+    The registry has name, stage (several joined by |) and status; where it has `role` and `earliest`, roles are checked against `roles`, forbidden
+    ones and rejected columns are always refused, and so is what is `earliest` known at no proven time. Only rows of these columns are fetched.
+    """
+    have = [c for c in ("role", "earliest") if c in registry.columns]
+    rows = {r["name"]: r for r in registry.filter(F.col("name").isin(names)).select("name", "stage", "status", *have).collect()}
+    out = []
+    for c in names:
+        if c not in rows:
+            out.append(f"{c}: not registered")
+            continue
+        r = rows[c].asDict()
+        if stage not in str(r["stage"]).split("|"):
+            out.append(f"{c}: stage {r['stage']}")
+        role = r.get("role")
+        if role == "FORBIDDEN" or r["status"] == "REJECTED":
+            out.append(f"{c}: blocked")
+        elif roles is not None and role not in roles:
+            out.append(f"{c}: role {role}")
+        if r["status"] not in statuses:
+            out.append(f"{c}: status {r['status']}")
+        if str(r.get("earliest") or "").upper().startswith(unproven):
+            out.append(f"{c}: known {r['earliest']}")
+    return out
+
+
+def assert_registered(df: DataFrame, registry: DataFrame, stage: str, roles: tuple[str, ...] | None = None, statuses: tuple[str, ...] = ("active",)) -> DataFrame:
+    """The same frame, or an error if the registry keeps a column from use at that stage."""
+    if bad := registry_errors(df.columns, registry, stage, roles, statuses):
+        raise ValueError(f"columns not allowed at {stage}: {'; '.join(bad)}")
     return df
 
 

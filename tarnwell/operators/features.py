@@ -101,6 +101,51 @@ def intake_features(df: DataFrame, mode: str, budgets: dict[str, tuple[str, str]
     return df.withColumns(out)
 
 
+def change_features(df: DataFrame, mode: str, wanted: str, size: str, message: str, budgets: dict[str, tuple[str, str, str]], core: list[str], before: str, near: float = 0.05, material: float = 0.10) -> DataFrame:
+    """What an enquiry says over what was known at intake.
+
+    `budgets` maps a mode (or "both") to the bounds of the intake and the amount asked now. For each: state of the amount, whether it lies inside
+    (null if anything is unknown), its ratio to the middle and its distance from the bounds. Sizes asked and wanted give ratio, gap, its log, and
+    a direction, SAME within `near` or unknown. Amounts are consistent with the mode if no other mode's is given, or some is where both are
+    wanted; an unknown mode is not. `need_changes` counts a size off by more than `material` and each amount that applies and lies outside;
+    completeness over `core` and the amounts that apply, and its gain over the column `before`.
+    """
+    ratio = X.safe_ratio(F.col(size), F.col(wanted))
+    gap = F.abs(F.col(size).cast("double") - F.col(wanted))
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    out, rated = {}, [(F.lit(True), F.col(c)) for c in core]
+    changes = holds(F.abs(ratio - 1) > material).cast("int")
+    consistent = F.when(F.col(mode) == "both", F.coalesce(*[F.col(asked) for _, _, asked in budgets.values()]).isNotNull())
+    for kind, (lo, hi, asked) in budgets.items():
+        applies = holds(F.col(mode).isin(kind, "both"))
+        low, high, now = F.col(lo), F.col(hi), F.col(asked)
+        inside = X.within_interval(now, low, high)
+        out |= {
+            f"{kind}_asked_state": F.when(~applies, "NOT_APPLICABLE").when(now.isNull(), "UNKNOWN").otherwise("OBSERVED"),
+            f"{kind}_asked_inside": inside,
+            f"{kind}_asked_ratio": X.safe_ratio(now, (low + high) / 2),
+            f"{kind}_asked_distance": X.interval_distance(now, low, high),
+        }
+        changes += (applies & holds(~inside)).cast("int")
+        rated.append((applies, now))
+        others = [F.col(o) for k, (_, _, o) in budgets.items() if k != kind]
+        consistent = consistent.when(F.col(mode) == kind, F.coalesce(*others).isNull() if others else F.lit(True))
+    complete = X.completeness(rated)
+    out |= {
+        "size_ratio": ratio,
+        "size_gap": gap,
+        "log_size_gap": F.log1p(gap),
+        "size_direction": F.when(ratio < 1 - near, "LOWER").when(ratio > 1 + near, "HIGHER").otherwise("SAME"),
+        "log_asked_size": F.log1p(F.greatest(F.col(size).cast("double"), F.lit(0.0))),
+        "log_message": F.log1p(F.greatest(F.col(message).cast("double"), F.lit(0.0))),
+        "mode_consistent": consistent.otherwise(False),
+        "asked_completeness": complete,
+        "completeness_gain": complete - F.col(before),
+        "need_changes": changes,
+    }
+    return df.withColumns(out)
+
+
 def density_features(df: DataFrame, counts: dict[str, float], area: str) -> DataFrame:
     """log1p of each count and its density per so many units of area; null without a positive area."""
     size = F.when(F.col(area) > 0, F.col(area).cast("double"))

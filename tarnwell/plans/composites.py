@@ -53,6 +53,24 @@ def deterministic_features(spark: SparkSession, d: str) -> DataFrame:
     return f.select("l_orderkey", "l_linenumber", F.col("q_mid").alias("mid"), F.round("q_log", 6).alias("log"), F.col("q_direction").alias("direction"), X.gated(F.col("l_returnflag") != "R", F.col("l_linestatus")).alias("gated"), X.interaction_flag(F.col("l_quantity") > 25, F.col("l_discount") > 0.05).alias("flag"))
 
 
+_ASKED = """x AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'rent' WHEN 1 THEN 'sale' WHEN 2 THEN 'both' END AS mode, l_tax * 500 AS wanted, l_quantity AS size, l_partkey AS message, l_discount AS before,
+ CASE WHEN l_partkey % 5 > 0 THEN 10.0 END AS rlo, 20.0 AS rhi, CASE WHEN l_suppkey % 3 > 0 THEN l_quantity END AS rask, 1000.0 AS slo, 50000.0 AS shi, CASE WHEN l_suppkey % 2 = 0 THEN l_extendedprice END AS sask FROM lineitem),
+y AS (SELECT *, size / nullif(wanted, 0) AS ratio, coalesce(mode IN ('rent', 'both'), false) AS ra, coalesce(mode IN ('sale', 'both'), false) AS sa, CASE WHEN rask IS NOT NULL AND rlo IS NOT NULL THEN rask BETWEEN rlo AND rhi END AS rin, CASE WHEN sask IS NOT NULL THEN sask BETWEEN slo AND shi END AS si FROM x)"""
+
+
+@query(f"""WITH {_ASKED} SELECT l_orderkey, l_linenumber, CASE WHEN NOT ra THEN 'NOT_APPLICABLE' WHEN rask IS NULL THEN 'UNKNOWN' ELSE 'OBSERVED' END AS rent_asked_state, rin AS rent_asked_inside, round(rask / ((rlo + rhi) / 2), 6) AS rent_asked_ratio,
+ round((greatest(slo - sask, 0) + greatest(sask - shi, 0)) / ((slo + shi) / 2), 6) AS sale_asked_distance, CASE WHEN ratio < 0.95 THEN 'LOWER' WHEN ratio > 1.05 THEN 'HIGHER' ELSE 'SAME' END AS size_direction, round(ln(1 + abs(size - wanted)), 6) AS log_size_gap, round(ln(1 + message), 6) AS log_message,
+ CASE mode WHEN 'rent' THEN sask IS NULL WHEN 'sale' THEN rask IS NULL WHEN 'both' THEN coalesce(rask, sask) IS NOT NULL ELSE false END AS mode_consistent,
+ CAST(coalesce(abs(ratio - 1) > 0.1, false) AS INT) + CAST(ra AND coalesce(NOT rin, false) AS INT) + CAST(sa AND coalesce(NOT si, false) AS INT) AS need_changes,
+ round((2.0 + CAST(ra AND rask IS NOT NULL AS INT) + CAST(sa AND sask IS NOT NULL AS INT)) / (2 + CAST(ra AS INT) + CAST(sa AS INT)) - before, 6) AS completeness_gain FROM y""")
+def change_features(spark: SparkSession, d: str) -> DataFrame:
+    """What each line item, as an enquiry, changes of what was known before."""
+    li, k = load_table(spark, d, "lineitem"), F.col("l_linenumber") % 4
+    rows = li.select("l_orderkey", "l_linenumber", F.when(k == 0, "rent").when(k == 1, "sale").when(k == 2, "both").alias("mode"), (F.col("l_tax") * 500).alias("wanted"), F.col("l_quantity").alias("size"), F.col("l_partkey").alias("message"), F.col("l_discount").alias("before"), F.when(F.col("l_partkey") % 5 > 0, 10.0).alias("rlo"), F.lit(20.0).alias("rhi"), F.when(F.col("l_suppkey") % 3 > 0, F.col("l_quantity")).alias("rask"), F.lit(1000.0).alias("slo"), F.lit(50000.0).alias("shi"), F.when(F.col("l_suppkey") % 2 == 0, F.col("l_extendedprice")).alias("sask"))
+    f = X.change_features(rows, "mode", "wanted", "size", "message", {"rent": ("rlo", "rhi", "rask"), "sale": ("slo", "shi", "sask")}, ["size", "message"], "before")
+    return f.select("l_orderkey", "l_linenumber", "rent_asked_state", "rent_asked_inside", "size_direction", "mode_consistent", "need_changes", *r6("rent_asked_ratio", "sale_asked_distance", "log_size_gap", "log_message", "completeness_gain"))
+
+
 @query("""WITH s AS (SELECT o_orderkey, (CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 2.0 ELSE 0 END + CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0 END + CASE WHEN o_orderstatus <> 'P' THEN 2.0 ELSE 0 END) AS pts FROM orders) SELECT o_orderkey, round(pts / 5, 6) AS rule, round(1 / (1 + exp(-(ln(0.25 / 0.75) + 0.3 * (pts - 2)))), 6) AS moved FROM s""")
 def business_rule(spark: SparkSession, d: str) -> DataFrame:
     s = X.rule_score((2, F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")), (1, F.col("o_totalprice") > 100000), (2, F.col("o_orderstatus") != "P"))
