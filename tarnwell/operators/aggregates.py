@@ -144,7 +144,7 @@ def banded_rate(df: DataFrame, value: str, edges: list[float], hit: Column) -> D
 
 
 def profile_signals(df: DataFrame, group: str, categorical: list[str], numeric: list[str], most: int = 5) -> DataFrame:
-    """Per group its strongest signals: modal share against overall (points) and median shift (in IQRs)."""
+    """Per group its strongest signals: modal share against overall (points) and median shift (in IQRs); no signal of a column without a value in the group."""
     long_c = df.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("value")) for c in categorical])).alias("x")).select(group, "x.*")
     in_group = long_c.groupBy(group, "column", "value").agg(F.count("*").alias("n"))
     totals = in_group.groupBy(group, "column").agg(F.sum("n").alias("t"), F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("m"))
@@ -155,7 +155,7 @@ def profile_signals(df: DataFrame, group: str, categorical: list[str], numeric:
     long_n = df.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in numeric])).alias("y")).select(group, "y.*")
     quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
     base = df.sparkSession.createDataFrame([(c, q) for c, q in quartiles.items()], "bc string, q array<double>")
-    nums = long_n.groupBy(group, "column").agg(F.percentile("x", F.lit(0.5)).alias("med")).join(F.broadcast(base), F.col("column") == F.col("bc"))  # one row a column
+    nums = grouped_quantiles(long_n, [group, "column"], "x", {"med": 0.5}).join(F.broadcast(base), F.col("column") == F.col("bc"))  # one row a column
     nums = nums.select(group, F.col("column").alias("signal"), F.try_divide(F.col("med") - F.col("q")[1], F.col("q")[2] - F.col("q")[0]).alias("strength"))
     ranked = cats.unionByName(nums).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.abs("strength").desc_nulls_last(), "signal")))
     return ranked.filter(F.col("rank") <= most)

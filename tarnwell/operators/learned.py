@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tarnwell.sources.tables import scratch_folder, settled
 
 from .ordering import exact_quantiles
+from .quantiles import grouped_quantiles
 
 
 def prepare(categorical: list[str], numeric: list[str], scale: bool = True) -> list:
@@ -170,7 +171,9 @@ def supply_profile(df: DataFrame, entity: str, time_days: str, outcome: Column,
     """Per entity: rows, response rate shrunk to the prior, median lag, mix of kinds, entropy and main kind."""
     from .aggregates import share_entropy, shrunk_rate
 
-    g = df.groupBy(entity).agg(F.count("*").alias("n"), F.count_if(F.coalesce(outcome, F.lit(False))).alias("hits"), F.percentile(time_days, F.lit(0.5)).alias("median_lag"), *[F.avg((F.col(kinds) == v).cast("double")).alias(f"share_{v}") for v in values])
+    g = df.groupBy(entity).agg(F.count("*").alias("n"), F.count_if(F.coalesce(outcome, F.lit(False))).alias("hits"), *[F.avg((F.col(kinds) == v).cast("double")).alias(f"share_{v}") for v in values])
+    middle = grouped_quantiles(df, [entity], time_days, {"median_lag": 0.5}).select(F.col(entity).alias("_entity"), "median_lag")
+    g = g.join(middle, g[entity].eqNullSafe(middle["_entity"]), "left").drop("_entity")
     entropy, top = share_entropy([f"share_{v}" for v in values])
     return g.withColumns({"rate": shrunk_rate(F.col("hits"), F.col("n"), prior, strength), "entropy": entropy, "main": top})
 

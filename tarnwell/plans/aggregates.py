@@ -162,9 +162,13 @@ def entity_maximum(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).groupBy("o_custkey").agg(F.max("o_totalprice").alias("best"), F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH g AS (SELECT o_orderpriority AS p, o_orderstatus AS v, count(*) AS n FROM orders GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY n DESC, v) AS k, sum(n) OVER (PARTITION BY p) AS t, sum(n) OVER (PARTITION BY v) AS vn, sum(n) OVER () AS al FROM g),
+o AS (SELECT quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q, quantile_cont(CAST(o_custkey AS DOUBLE), [0.25, 0.5, 0.75]) AS c FROM orders), h AS (SELECT o_orderpriority AS p, quantile_cont(o_totalprice, 0.5) AS q, quantile_cont(CAST(o_custkey AS DOUBLE), 0.5) AS c FROM orders GROUP BY 1),
+s AS (SELECT p, 'o_orderstatus=' || v AS signal, CAST(n AS DOUBLE) / t - CAST(vn AS DOUBLE) / al AS strength FROM m WHERE k = 1 UNION ALL SELECT p, 'o_totalprice', (h.q - o.q[2]) / (o.q[3] - o.q[1]) FROM h, o UNION ALL SELECT p, 'o_custkey', (h.c - o.c[2]) / (o.c[3] - o.c[1]) FROM h, o)
+SELECT p AS o_orderpriority, signal, round(strength, 6) AS strength, CAST(row_number() OVER (PARTITION BY p ORDER BY abs(strength) DESC, signal) AS INT) AS rank FROM s""")
 def profile_signals(spark: SparkSession, d: str) -> DataFrame:
-    return A.profile_signals(orders(spark, d), "o_orderpriority", ["o_orderstatus"], ["o_totalprice", "o_custkey"])
+    found = A.profile_signals(orders(spark, d), "o_orderpriority", ["o_orderstatus"], ["o_totalprice", "o_custkey"])
+    return found.select("o_orderpriority", "signal", "rank", *r6("strength"))
 
 
 @query("""SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END), 6) AS rate FROM orders GROUP BY 1""")

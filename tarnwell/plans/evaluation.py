@@ -206,10 +206,14 @@ def label_agreement(spark: SparkSession, d: str) -> DataFrame:
     return L.adjusted_rand(o, "a", "b").select(*r6("ari"))
 
 
-@query()
+@query("""WITH g AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS hits, quantile_cont(CAST(date_diff('day', o_orderdate, DATE '1999-01-01') AS DOUBLE), 0.5) AS median_lag, avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN o_orderpriority = '2-HIGH' THEN 1.0 ELSE 0 END) AS b, avg(CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1.0 ELSE 0 END) AS c FROM orders GROUP BY 1)
+SELECT o_custkey, n, hits, median_lag, round(a, 6) AS urgent, round(b, 6) AS high, round(c, 6) AS medium, round((hits + 10.0) / (n + 20), 6) AS rate, CASE WHEN a >= b AND a >= c THEN 'share_1-URGENT' WHEN b >= c THEN 'share_2-HIGH' ELSE 'share_3-MEDIUM' END AS main,
+ round(-(CASE WHEN a > 0 THEN a * ln(a) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b) ELSE 0 END + CASE WHEN c > 0 THEN c * ln(c) ELSE 0 END) / ln(3.0), 6) AS entropy FROM g""")
 def supply_profiles(spark: SparkSession, d: str) -> DataFrame:
     o = orders(spark, d).withColumn("lag", F.datediff(F.lit("1999-01-01"), "o_orderdate").cast("double"))
-    return L.supply_profile(o, "o_custkey", "lag", F.col("o_orderstatus") == "F", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"], 0.5)
+    out = L.supply_profile(o, "o_custkey", "lag", F.col("o_orderstatus") == "F", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"], 0.5)
+    shares = [F.round(F.col(f"`share_{v}`"), 6).alias(name) for v, name in (("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"))]
+    return out.select("o_custkey", "n", "hits", "median_lag", *shares, "main", *r6("rate", "entropy"))
 
 
 @query()
