@@ -68,7 +68,8 @@ def observations(df: DataFrame, item: str) -> DataFrame:
 
 def sentence_frequency(df: DataFrame, text: str, least: int = 2) -> DataFrame:
     """Sentences that occur in several rows, with their number of rows and occurrences."""
-    long = df.select(F.monotonically_increasing_id().alias("_row"), F.explode(sentences(F.col(text))).alias("sentence"))
+    # the number comes before the sentences are exploded, so that it is one a row of the table
+    long = df.select(F.monotonically_increasing_id().alias("_row"), sentences(F.col(text)).alias("_all")).select("_row", F.explode("_all").alias("sentence"))
     per = long.groupBy("sentence", "_row").agg(F.count("*").alias("k"))
     return per.groupBy("sentence").agg(F.count("*").alias("n_rows"), F.sum("k").alias("n_occurrences")).filter(F.col("n_rows") >= least)
 

@@ -46,7 +46,8 @@ def exact_duplication(spark: SparkSession, d: str) -> DataFrame:
     return R.exact_duplication(load_table(spark, d, "documents"), "text").select("n", "n_duplicated", F.round("share", 6).alias("share"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(trim(text), '\.[ \t\n\x0B\f\r]+', '.' || chr(1), 'g'), chr(1))) AS sentence FROM documents), p AS (SELECT sentence, doc_id, count(*) AS k FROM s WHERE sentence <> '' GROUP BY ALL)
+SELECT sentence, count(*) AS n_rows, CAST(sum(k) AS BIGINT) AS n_occurrences FROM p GROUP BY 1 HAVING count(*) >= 2""")
 def repeated_sentences(spark: SparkSession, d: str) -> DataFrame:
     return R.sentence_frequency(load_table(spark, d, "documents"), "text")
 

@@ -44,3 +44,10 @@ def test_changes_of_an_enquiry(spark):
     assert view("asked_completeness") == {1: (1.0,), 2: (0.5,), 3: (1.0,), 4: (0.0,), 5: (0.5,)}
     assert got[1].rent_asked_distance == pytest.approx(10 / 15) and got[1].rent_asked_ratio == 2.0 and got[3].size_ratio is None and got[4].completeness_gain is None
     assert df.limit(0).count() == 0 and f.filter(F.col("id") > 9).count() == 0
+
+
+def test_a_sentence_repeated_in_one_row_is_one_row(spark):
+    from tarnwell.operators.textrules import sentence_frequency
+
+    df = spark.createDataFrame([("Yes. No. Yes.",), ("Yes. Maybe.",), ("No. No.",), ("Solo. Solo.",), ("",), (None,)], "t string")
+    assert sorted(map(tuple, sentence_frequency(df, "t").collect())) == [("No.", 2, 3), ("Yes.", 2, 3)]
