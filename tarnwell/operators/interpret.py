@@ -55,7 +55,7 @@ def permutation_importance(df: DataFrame, target: str, score: Score, name: str,
     tasks = [F.struct(F.lit(g).alias("group"), F.lit(r).alias("repeat"), *[F.lit(x).cast("long").alias(y) for x, y in zip(_step(g, r, seed, n), ("factor", "shift"))]) for g in groups for r in range(repeats)]
     dealt = base.withColumn("_task", F.explode(F.array(*tasks))).withColumn("_from", F.pmod(F.col("_task.factor") * F.col("_place") + F.col("_task.shift"), F.lit(n)))
     donors = base.select(F.col("_place").alias("_from"), *[F.col(f"`{c}`").alias(f"_d{i}") for i, c in enumerate(columns)])
-    both = dealt.join(donors, "_from")
+    both = dealt.join(donors.hint("merge"), "_from")  # as many rows as the table: its files may look small enough to broadcast
     for i, c in enumerate(columns):
         takes = F.col("_task.group").isin([g for g, cols in groups.items() if c in cols])
         both = both.withColumn(c, F.when(takes, F.col(f"_d{i}")).otherwise(F.col(f"`{c}`")))
