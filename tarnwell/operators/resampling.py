@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.sources.tables import settled
@@ -21,6 +21,9 @@ from .metrics import ranking_of_table
 #: Counts are drawn in powers of two up to 2^LARGEST, larger ones in several of these.
 LARGEST = 8
 
+#: Parts of [0, 1) for which the number of a distribution's steps below is looked up.
+GUIDE = 256
+
 METRICS = ("roc_auc", "average_precision", "brier", "log_loss", "lift_5", "lift_10", "recall_10", "recall_20")
 
 
@@ -42,8 +45,13 @@ def _drawn(part: Column | None, u: Column) -> Column:
     single = sum(((u >= x).cast("long") for x in tables[0][1]), F.lit(0).cast("long"))
     if part is None:
         return single
-    steps = F.array(*[F.array(*[F.lit(x) for x in t]) for _, t in tables])
-    return F.when(part == 0, single).otherwise((F.array(*[F.lit(f) for f, _ in tables])[part] + F.size(F.filter(steps[part], lambda x: x <= u))).cast("long"))
+    # how many steps are at most j / GUIDE for every j: a value is compared with the few steps between its two neighbours alone
+    guides = [[sum(x <= j / GUIDE for x in t) for j in range(GUIDE + 1)] for _, t in tables]
+    steps = F.array(*[F.array(*[F.lit(x) for x in t]) for _, t in tables])[part]
+    guide = F.array(*[F.array(*[F.lit(x) for x in g]) for g in guides])[part]
+    j = F.floor(u * GUIDE).cast("int")
+    inside = F.slice(steps, guide[j] + 1, guide[j + 1] - guide[j])
+    return F.when(part == 0, single).otherwise((F.array(*[F.lit(f) for f, _ in tables])[part] + guide[j] + F.size(F.filter(inside, lambda x: x <= u))).cast("long"))
 
 
 def _uniform(*names: Column | str) -> Column:
@@ -80,6 +88,16 @@ def drawn_cells(cells: DataFrame, draws: int, seed: int) -> DataFrame:
     return long.groupBy(*rest, "draw").agg(F.sum(F.when(F.col("_y") == 1, F.col("_w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("_y") == 0, F.col("_w")).otherwise(0)).alias("neg"))
 
 
+def drawn_clusters(cells: DataFrame, draws: int, seed: int, most: int = 64) -> DataFrame:
+    """Cells (cell, pos, neg, ...) once a draw, those of one cluster `cell` with one number: a draw is hashed once for up to `most` cells of a cluster."""
+    held = [c for c in cells.columns if c != "cell"]
+    packed = cells.withColumn("_pack", F.pmod(F.xxhash64(*held), F.lit(1 << 30))).withColumn("_n", F.row_number().over(Window.partitionBy("cell").orderBy("_pack")))
+    packs = settled(packed.groupBy("cell", F.floor(F.col("_n") / most).alias("_pack")).agg(F.collect_list(F.struct(*held)).alias("_cells")), "packs")
+    drawn = _weighed(packs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))), _uniform(F.lit(seed), "cell", "draw"), None)
+    rows = drawn.select("cell", "draw", "_w", F.explode("_cells").alias("_x")).select("cell", "draw", "_w", "_x.*")
+    return rows.withColumns({"pos": F.col("pos") * F.col("_w"), "neg": F.col("neg") * F.col("_w")})
+
+
 def _cells(df: DataFrame, target: str, scores: list[str], unit: str, by: list[str]) -> DataFrame:
     """One row a combination of scores (and `by`): its rows by target, named by the smallest unit among them."""
     known = df.filter(F.col(target).isNotNull()).select(F.col(unit).alias("cell"), F.col(target).cast("int").alias("_y"), *scores, *by)
@@ -137,7 +155,7 @@ def paired_delta(df: DataFrame, target: str, reference: str, challenger: str, un
     by, scores = [fold] if fold else [], [reference, challenger]
     if cluster:
         cells = settled(_cells(df, target, scores, cluster, [cluster, *by]).drop(cluster), "cells")
-        drawn = _weighed(cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))), _uniform(F.lit(seed), "cell", "draw"), None).withColumns({"pos": F.col("pos") * F.col("_w"), "neg": F.col("neg") * F.col("_w")})
+        drawn = drawn_clusters(cells, draws, seed)
     else:
         cells = settled(_cells(df, target, scores, unit, by), "cells")
         drawn = drawn_cells(cells, draws, seed)
