@@ -3,7 +3,7 @@
 Every tree sees all rows. A node draws some features that are not constant in it and one threshold for each, uniform between the node's least
 and greatest value, and takes the split with the least Gini impurity (ties: the lowest feature). A level takes two passes over a written table:
 ranges of the features in every open node, then counts left of the drawn thresholds; each pass gives one partial result a task and one
-aggregation. What reaches the driver has one row a node and feature, at most trees x 2^depth x features. Draws depend on seed, tree and node
+aggregation. A batch of rows is turned into columns once for all trees. What reaches the driver has one row a node and feature, at most trees x 2^depth x features. Draws depend on seed, tree and node
 alone and counts are exact, so the trees do not depend on how the rows are partitioned.
 
 Rows whose features are null, of another length, or hold nulls, NaN or infinite numbers, or whose target is null, take no part in a fit and get
@@ -48,28 +48,45 @@ class Forest:
         return sum(self.value[t, self.nodes(x, t, depth)] for t in range(len(self.feature))) / len(self.feature)
 
 
+def _places(columns: np.ndarray, n: int, feature: np.ndarray, threshold: np.ndarray, levels: int) -> np.ndarray:
+    """The place of every row among the nodes of a level of one tree, from the table column by column. Rows of a leaf go on to places below it, which are not open."""
+    at, rows, start = np.zeros(n, dtype=np.int64), np.arange(n), np.maximum(feature, 0).astype(np.int64) * n
+    for _ in range(levels):
+        right = columns.take(start.take(at) + rows) > threshold.take(at)
+        at += at
+        at += 1
+        at += right
+    return at - (2**levels - 1)
+
+
 def _ranges(rows: DataFrame, dims: int, forest: Forest, slot: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest value of each feature in every open node."""
-    n = int(slot.max()) + 1
+    n, first, width = int(slot.max()) + 1, 2**level - 1, 2**level
+    slot = slot[:, first : first + width]
+    trees = np.flatnonzero((slot >= 0).any(axis=1))
+    small = np.min_scalar_type(width - 1)  # short numbers are sorted by radix
 
     def partial(batches):
-        lo, hi = np.full((n, dims), np.inf), np.full((n, dims), -np.inf)
+        lo, hi = np.full((dims, n), np.inf), np.full((dims, n), -np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("x"), dims)
-            for t in range(len(slot)):
-                s = slot[t, forest.nodes(x, t, level)]
-                order = np.argsort(s, kind="stable")
-                order = order[np.searchsorted(s[order], 0) :]  # slots below 0 are closed nodes
-                if len(order):
-                    found, starts = np.unique(s[order], return_index=True)
-                    lo[found] = np.minimum(lo[found], np.minimum.reduceat(x[order], starts))
-                    hi[found] = np.maximum(hi[found], np.maximum.reduceat(x[order], starts))
-        seen = np.flatnonzero(lo[:, 0] <= hi[:, 0])
+            x = np.ascontiguousarray(_matrix(batch.column("x"), dims).T)
+            for t in trees:
+                place = _places(x.ravel(), x.shape[1], forest.feature[t], forest.threshold[t], level)
+                size = np.bincount(place, minlength=width)
+                found = np.flatnonzero(size)
+                sorted_ = x.take(np.argsort(place.astype(small), kind="stable"), axis=1)
+                starts = (np.cumsum(size) - size)[found]
+                s = slot[t, found]
+                keep = s >= 0
+                s = s[keep]
+                lo[:, s] = np.minimum(lo[:, s], np.minimum.reduceat(sorted_, starts, axis=1)[:, keep])
+                hi[:, s] = np.maximum(hi[:, s], np.maximum.reduceat(sorted_, starts, axis=1)[:, keep])
+        seen = np.flatnonzero(lo[0] <= hi[0])
         if len(seen):
-            at = np.repeat(seen, dims), np.tile(np.arange(dims), len(seen))
-            yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(lo[at]), pa.array(hi[at])], names=["s", "f", "lo", "hi"])
+            at = np.tile(np.arange(dims), len(seen)), np.repeat(seen, dims)
+            yield pa.RecordBatch.from_arrays([pa.array(at[1].astype(np.int32)), pa.array(at[0].astype(np.int32)), pa.array(lo[at]), pa.array(hi[at])], names=["s", "f", "lo", "hi"])
 
     got = rows.mapInArrow(partial, "s int, f int, lo double, hi double").groupBy("s", "f").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow()
     lo, hi = np.zeros((n, dims)), np.zeros((n, dims))
@@ -95,7 +112,9 @@ def impurity(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
 def fit_extra_trees(df: DataFrame, features: str, target: str, dims: int, trees: int = 100, depth: int = 8, tried: int | None = None, least: int = 5, seed: int = 42) -> Forest:
     """A forest of `trees` trees of at most `depth` levels; `tried` features a node (the root of their number), `least` rows a leaf."""
     tried = tried or max(1, int(np.sqrt(dims)))
-    rows = settled(df.filter(usable(features, dims) & F.col(target).isNotNull()).select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y")), "trees")
+    rows = df.filter(usable(features, dims) & F.col(target).isNotNull()).select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
+    # dealt to all cores: a pass costs far more than reading, and files of few row groups would be few tasks
+    rows = settled(rows.repartition(df.sparkSession.sparkContext.defaultParallelism), "trees")
     total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     size = 2 ** (depth + 1) - 1
     forest = Forest(np.full((trees, size), -1, dtype=np.int32), np.zeros((trees, size)), np.full((trees, size), np.nan), np.zeros((trees, dims)))
@@ -119,17 +138,21 @@ def fit_extra_trees(df: DataFrame, features: str, target: str, dims: int, trees:
                 which[s, k], where[s, k] = f, x
         width = len(t) * tried
 
-        def left(batch: pa.RecordBatch, forest=forest, slot=slot, which=which, where=where, width=width, level=level) -> np.ndarray:
-            x, y = _matrix(batch.column("x"), dims), batch.column("y").to_numpy()
-            out = np.zeros(2 * width)
-            for tree in range(trees):
-                s = slot[tree, forest.nodes(x, tree, level)]
-                at = np.flatnonzero(s >= 0)
-                s = s[at]
-                low = np.take_along_axis(x[at], which[s], axis=1) <= where[s]
-                cell = (s[:, None] * tried + np.arange(tried))[low]
-                out[:width] += np.bincount(cell, minlength=width)
-                out[width:] += np.bincount(cell, weights=np.broadcast_to(y[at][:, None], low.shape)[low], minlength=width)
+        def left(batch: pa.RecordBatch, forest=forest, slot=slot[:, first:last], which=which, where=where, width=width, level=level) -> np.ndarray:
+            x = np.ascontiguousarray(_matrix(batch.column("x"), dims).T)
+            rows_, y = np.arange(x.shape[1]), batch.column("y").to_numpy()
+            columns, out = x.ravel(), np.zeros(2 * width)
+            for tree in np.flatnonzero((slot >= 0).any(axis=1)):
+                place = _places(columns, len(rows_), forest.feature[tree], forest.threshold[tree], level)
+                open_ = np.flatnonzero(slot[tree] >= 0)
+                s = slot[tree, open_]
+                for k in range(tried):
+                    start, most = np.zeros(slot.shape[1], dtype=np.int64), np.full(slot.shape[1], -np.inf)
+                    start[open_], most[open_] = which[s, k] * len(rows_), where[s, k]
+                    code = 2 * place
+                    code += columns.take(start.take(place) + rows_) <= most.take(place)
+                    out[s * tried + k] += np.bincount(code, minlength=2 * slot.shape[1])[2 * open_ + 1]
+                    out[width + s * tried + k] += np.bincount(code, weights=y, minlength=2 * slot.shape[1])[2 * open_ + 1]
             return out
 
         sums = _summed(rows, 2 * width, left).reshape(2, len(t), tried)

@@ -80,3 +80,19 @@ def test_odd_rows_and_small_tables(spark):
     assert T.with_score(good, "x", empty).filter("p is not null").isEmpty()
     one = T.fit_extra_trees(good.withColumn("y", F.lit(1)), "x", "y", 3, trees=2, depth=3)
     assert (one.feature == -1).all() and T.with_score(good, "x", one).filter("p <> 1").isEmpty()
+
+
+def test_rows_of_leaves_stay_below_them():
+    rng = np.random.default_rng(1)
+    x, feature, threshold = rng.normal(size=(500, 3)), np.full(31, -1, dtype=np.int32), np.zeros(31)
+    feature[[0, 1, 2, 4]], threshold[[0, 1, 2, 4]] = [0, 1, 2, 0], [0.1, -0.2, 0.3, -0.4]
+    forest = T.Forest(feature[None], threshold[None], np.zeros((1, 31)), np.zeros((1, 3)))
+    for level in range(5):
+        walked = T._places(np.ascontiguousarray(x.T).ravel(), 500, feature, threshold, level) + 2**level - 1
+        here = forest.nodes(x, 0, level)
+        inside = here >= 2**level - 1  # rows of a node of this level; those of leaves above lie below their leaf
+        assert np.array_equal(walked[inside], here[inside])
+        for w, h in zip(walked[~inside], here[~inside]):
+            while w > h:
+                w = (w - 1) // 2
+            assert w == h
