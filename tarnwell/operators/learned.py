@@ -8,18 +8,30 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, Bucketizer, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.sources.tables import scratch_folder, settled
 
+from .interpret import tree_nodes
 from .ordering import exact_quantiles
 from .quantiles import grouped_quantiles
 
 
+#: Rows of different values that one task of a boosted fit takes.
+_CELLS = 50_000
+
+
+def as_text(df: DataFrame, categorical: list[str]) -> DataFrame:
+    """The frame with categories as text, null as the value <missing>."""
+    for x in categorical:
+        df = df.withColumn(x, F.coalesce(F.col(x).cast("string"), F.lit("<missing>")))
+    return df
+
+
 def prepare(categorical: list[str], numeric: list[str], scale: bool = True) -> list:
     """Stages: median fill, frequency-indexed one-hot with a place for the unseen, standardised numbers."""
     stages = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"_i_{c}" for c in numeric])] if numeric else []
@@ -41,31 +53,63 @@ def fit_classifier(train: DataFrame, kind: str, target: str, categorical: list[s
         "gbt": lambda: GBTClassifier(labelCol=target, seed=seed, **options),
         "forest": lambda: RandomForestClassifier(labelCol=target, seed=seed, **options),
     }[kind]()
-    ready = train
-    for x in categorical:
-        ready = ready.withColumn(x, F.coalesce(F.col(x).cast("string"), F.lit("<missing>")))
-    return Pipeline(stages=[*prepare(categorical, numeric), made]).fit(ready)
+    return Pipeline(stages=[*prepare(categorical, numeric), made]).fit(as_text(train, categorical))
+
+
+def tree_cuts(df: DataFrame, column: str, seed: int = 42) -> list[float]:
+    """The thresholds between which Spark's trees choose for a standardised number, in ascending order; none for a constant.
+
+    A regression tree of the column on itself, deep enough, splits at each of them. Spark draws the rows for its thresholds by the seed and the
+    partitions of the frame, so they are those of any tree model with this seed on the same frame.
+    """
+    rows = VectorAssembler(inputCols=[column], outputCol="_one").transform(df.select(column))
+    model = DecisionTreeRegressor(featuresCol="_one", labelCol=column, maxDepth=30, seed=seed).fit(rows)
+    nodes = tree_nodes(PipelineModel(stages=[model]), scratch_folder(df.sparkSession, "cuts"))
+    return sorted(r["threshold"] for r in nodes.filter("feature is not null").select("threshold").collect())  # one less than bins at most
 
 
 def fit_boosted(train: DataFrame, validation: DataFrame, target: str, categorical: list[str], numeric: list[str], iterations: int = 500, depth: int = 6, rate: float = 0.04, seed: int = 42) -> PipelineModel:
     """Boosted trees: all iterations are fitted, then as many kept as have the least loss on the validation rows (all without such rows).
 
+    Trees see of a number only between which of Spark's thresholds it lies. So numbers are cut at these first, and rows with equal values are one row
+    with their count as weight: the trees are those of the rows themselves, up to rounding, but a step costs no more for more rows of each kind.
     Spark's own early stopping ends at the first iteration without gain, so the best number is looked up in the whole run. Fewer trees
     are fitted again: a model cut to its first trees can't be made without its internals.
     """
-    context = train.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():  # a long run needs its lineage cut
-        context.setCheckpointDir(scratch_folder(train.sparkSession, "trees"))
-    fit = lambda n: fit_classifier(train, "gbt", target, categorical, numeric, seed=seed, maxIter=n, maxDepth=depth, stepSize=rate)
+    spark = train.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():  # a long run needs its lineage cut
+        spark.sparkContext.setCheckpointDir(scratch_folder(spark, "trees"))
+    ready = as_text(train, categorical)
+    stages = Pipeline(stages=[x for x in prepare(categorical, numeric)[:-1] if not isinstance(x, OneHotEncoder)]).fit(ready).stages
+    bins, codes = [f"_b_{c}" for c in numeric], [f"_x_{c}" for c in categorical]
+    if numeric:
+        numbers = [f"_s_{c}" for c in numeric]
+        scaled = [f"(`_i_{c}` - {m!r}D) * {1 / s if s else 0.0!r}D AS `{x}`" for c, x, m, s in zip(numeric, numbers, stages[-1].mean.tolist(), stages[-1].std.tolist())]
+        stages = [*stages, SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")]
+        known = PipelineModel(stages=stages).transform(ready)
+        cuts = [tree_cuts(known, x, seed) or [0.0] for x in numbers]
+        # a value at a threshold goes left in a tree, and into the upper bucket here
+        splits = [[-math.inf, *(math.nextafter(t, math.inf) for t in x), math.inf] for x in cuts]
+        stages = [*stages, Bucketizer(splitsArray=splits, inputCols=numbers, outputCols=bins)]
+
+    def cells(df: DataFrame) -> DataFrame:
+        kinds = PipelineModel(stages=stages).transform(df).groupBy(F.col(target).cast("double").alias(target), *bins, *codes).agg(F.count("*").cast("double").alias("_rows"))
+        return settled(kinds.select(target, *[F.col(c).alias(c, metadata={}) for c in bins], *codes, "_rows"), "cells")  # buckets are not categories
+
+    table = cells(ready)
+    coded = [OneHotEncoder(inputCols=codes, outputCols=[f"_o_{c}" for c in categorical], dropLast=False)] if codes else []
+    shaped = Pipeline(stages=[*coded, VectorAssembler(inputCols=bins + [f"_o_{c}" for c in categorical], outputCol="features")]).fit(table)
+    n_cells = table.count()
+    parts = n_cells // _CELLS + 1  # few: a tree is some seven jobs, so tasks cost more than cells
+    features = shaped.transform(table.repartition(parts, *bins, *codes).sortWithinPartitions(target, *bins, *codes))
+    most = max(32, math.isqrt(n_cells) + 1)  # Spark takes its thresholds from all of up to this many cells squared
+    fit = lambda n: GBTClassifier(labelCol=target, weightCol="_rows", seed=seed, maxIter=n, maxDepth=depth, stepSize=rate, maxBins=most).fit(features)
     model = fit(iterations)
-    if validation.isEmpty():
-        return model
-    ready = validation.withColumn(target, F.col(target).cast("double"))
-    for x in categorical:
-        ready = ready.withColumn(x, F.coalesce(F.col(x).cast("string"), F.lit("<missing>")))
-    losses = model.stages[-1].evaluateEachIteration(PipelineModel(model.stages[:-1]).transform(ready))
-    best = 1 + min(range(len(losses)), key=lambda k: losses[k])
-    return model if best == iterations else fit(best)
+    if not validation.isEmpty():
+        losses = model.evaluateEachIteration(shaped.transform(cells(as_text(validation, categorical))))
+        best = 1 + min(range(len(losses)), key=lambda k: losses[k])
+        model = model if best == iterations else fit(best)
+    return PipelineModel(stages=[*stages, *shaped.stages, model])
 
 
 def feature_names(model: PipelineModel, df: DataFrame, categorical: list[str], numeric: list[str]) -> list[str]:
@@ -103,10 +147,7 @@ def fit_logistic(train: DataFrame, target: str, categorical: list[str], numeric:
 
 def predict(model: PipelineModel, df: DataFrame, categorical: list[str], name: str = "p") -> DataFrame:
     """The frame with the probability of class 1."""
-    ready = df
-    for x in categorical:
-        ready = ready.withColumn(x, F.coalesce(F.col(x).cast("string"), F.lit("<missing>")))
-    return model.transform(ready).withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
+    return model.transform(as_text(df, categorical)).withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
 
 
 def platt(validation: DataFrame, df: DataFrame, target: str, p: str, name: str = "calibrated") -> DataFrame:

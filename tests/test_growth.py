@@ -8,6 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from tarnwell.operators import interpret as P
+from tarnwell.operators import learned as L
 from tarnwell.operators import resampling as B
 from tarnwell.sources.tables import parity
 
@@ -48,3 +49,31 @@ def test_draws_of_whole_clusters(spark):
     weight = lambda c, t: bisect.bisect_right(steps, int(hashlib.md5(f"42|{c}|{t}".encode()).hexdigest()[:13], 16) / 2**52)
     want = sorted((c, t, s, p * w, n * w) for c, s, p, n in cells for t in range(1, 31) if (w := weight(c, t)))
     assert sorted((r.cell, r.draw, r.s, r.pos, r.neg) for r in got.collect()) == want
+
+
+def test_boosted_trees_are_fitted_on_rows_of_different_values(spark, tmp_path):
+    r = random.Random(3)
+    kinds = [(r.choice([None, *range(90)]), r.randrange(40) * 0.5, 7.0, r.choice(["a", "b", None]), r.randrange(2)) for _ in range(150)]
+    rows = [(None if x is None else x * 1.0, *rest) for x, *rest in kinds for _ in range(r.choice([1, 9]))]
+    df = spark.createDataFrame(rows, "x double, z double, same double, c string, y int").coalesce(1)
+    args = ("y", ["c"], ["x", "z", "same"])
+    model = L.fit_boosted(df, df.filter("false"), *args, iterations=4, depth=4, rate=0.3)
+    plain = L.fit_classifier(df, "gbt", args[0], *args[1:], maxIter=4, maxDepth=4, stepSize=0.3)
+    scores = lambda m: [x.q for x in L.predict(m, df, ["c"], "q").collect()]
+    assert max(abs(a - b) for a, b in zip(scores(model), scores(plain), strict=True)) < 1e-9
+    seen = P.tree_nodes(model, f"file://{tmp_path}/nodes").filter("node = 0").agg(F.max("samples")).first()[0]
+    assert seen <= len(set(rows)) < len(rows)
+    # the number of trees is that of the least loss over the rows, not over their kinds
+    early, late = df.limit(300), df.offset(300)
+    model = L.fit_boosted(early, late, *args, iterations=8, depth=4, rate=0.3)
+    plain = L.fit_classifier(early, "gbt", args[0], *args[1:], maxIter=8, maxDepth=4, stepSize=0.3)
+    ready = L.as_text(late, ["c"]).withColumn("y", F.col("y").cast("double"))
+    losses = plain.stages[-1].evaluateEachIteration(L.PipelineModel(plain.stages[:-1]).transform(ready))
+    assert model.stages[-1].getNumTrees == 1 + losses.index(min(losses))
+
+
+def test_thresholds_are_those_of_trees(spark):
+    few = spark.createDataFrame([(float(x),) for x in (0, 0, 1, 4, 4, 4, 10)], "x double")
+    assert L.tree_cuts(few, "x") == [0.5, 2.5, 7.0]
+    assert L.tree_cuts(few.withColumn("x", F.lit(2.0)), "x") == []
+    assert len(L.tree_cuts(spark.range(640).select(F.exp(F.col("id") / 40).alias("x")), "x")) == 31
