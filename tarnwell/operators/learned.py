@@ -24,6 +24,9 @@ from .quantiles import grouped_quantiles
 #: Rows of different values that one task of a boosted fit takes.
 _CELLS = 50_000
 
+#: Rows that one task of a clustering holds.
+_ROWS = 250_000
+
 
 def as_text(df: DataFrame, categorical: list[str]) -> DataFrame:
     """The frame with categories as text, null as the value <missing>."""
@@ -100,7 +103,7 @@ def fit_boosted(train: DataFrame, validation: DataFrame, target: str, categorica
     coded = [OneHotEncoder(inputCols=codes, outputCols=[f"_o_{c}" for c in categorical], dropLast=False)] if codes else []
     shaped = Pipeline(stages=[*coded, VectorAssembler(inputCols=bins + [f"_o_{c}" for c in categorical], outputCol="features")]).fit(table)
     n_cells = table.count()
-    parts = n_cells // _CELLS + 1  # few: a tree is some seven jobs, so tasks cost more than cells
+    parts = n_cells // _CELLS + 1  # few: a tree is several jobs, so tasks cost more than cells
     features = shaped.transform(table.repartition(parts, *bins, *codes).sortWithinPartitions(target, *bins, *codes))
     most = max(32, math.isqrt(n_cells) + 1)  # Spark takes its thresholds from all of up to this many cells squared
     fit = lambda n: GBTClassifier(labelCol=target, weightCol="_rows", seed=seed, maxIter=n, maxDepth=depth, stepSize=rate, maxBins=most).fit(features)
@@ -168,17 +171,26 @@ def isotonic(validation: DataFrame, df: DataFrame, target: str, p: str, name: st
     return model.transform(df)
 
 
+def dealt(df: DataFrame, most: int) -> DataFrame:
+    """The frame, its rows dealt out evenly if a task has more than `most`: a file of few row groups would be few tasks."""
+    largest, total = df.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    return df.repartition(-(-total // most)) if (largest or 0) > most else df
+
+
 def cluster(df: DataFrame, kind: str, k: int, categorical: list[str], numeric: list[str], seed: int = 42, components: int | None = None) -> DataFrame:
-    """The frame with `profile`: clusters renamed by size, the largest first, ties by their old number."""
+    """The frame with `profile`: clusters renamed by size, the largest first, ties by their old number.
+
+    A fit holds the features of its rows, so rows are dealt to tasks of at most about `_ROWS` for it. Its random start depends on how rows lie in tasks.
+    """
     made = {"kmeans": KMeans, "bisecting": BisectingKMeans, "mixture": GaussianMixture}[kind](k=k, seed=seed, predictionCol="_c")
     stages = prepare(categorical, numeric)
     if components:
         stages.append(PCA(k=components, inputCol="features", outputCol="_pca"))
         made.setFeaturesCol("_pca")
-    ready = df
-    for x in categorical:
-        ready = ready.withColumn(x, F.coalesce(F.col(x).cast("string"), F.lit("<missing>")))
-    out = Pipeline(stages=[*stages, made]).fit(ready).transform(ready)
+    ready = as_text(df, categorical)
+    shaped = Pipeline(stages=stages).fit(ready)
+    model = made.fit(shaped.transform(dealt(ready.select(*categorical, *numeric), _ROWS)))
+    out = model.transform(shaped.transform(ready))
     sizes = out.groupBy("_c").agg(F.count("*").alias("_n")).withColumn("profile", F.row_number().over(Window.orderBy(F.desc("_n"), "_c")) - 1)
     return out.join(F.broadcast(sizes.select("_c", "profile")), "_c").select(*df.columns, "profile", F.col("_pca" if components else "features").alias("features"))  # one row a cluster
 

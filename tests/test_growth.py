@@ -77,3 +77,15 @@ def test_thresholds_are_those_of_trees(spark):
     assert L.tree_cuts(few, "x") == [0.5, 2.5, 7.0]
     assert L.tree_cuts(few.withColumn("x", F.lit(2.0)), "x") == []
     assert len(L.tree_cuts(spark.range(640).select(F.exp(F.col("id") / 40).alias("x")), "x")) == 31
+
+
+def test_clustered_rows_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(L, "_ROWS", 100, raising=False)
+    sizes, old = [], L.KMeans.fit
+    monkeypatch.setattr(L.KMeans, "fit", lambda self, df, *rest: sizes.append(df.rdd.glom().map(len).collect()) or old(self, df, *rest))
+    df = spark.range(900).select("id", (F.col("id") % 3 * 100 + F.rand(1)).alias("x"), F.lit("a").alias("c")).coalesce(1)
+    out = L.cluster(df, "kmeans", 3, ["c"], ["x"])
+    assert out.count() == 900 and [r["count"] for r in out.groupBy("profile").count().collect()] == [300] * 3
+    assert out.groupBy((F.col("id") % 3).alias("g")).agg(F.countDistinct("profile").alias("n")).filter("n > 1").isEmpty()
+    L.cluster(df.limit(100), "kmeans", 3, ["c"], ["x"])
+    assert sum(sizes[0]) == 900 and max(sizes[0]) <= 110 and [n for n in sizes[1] if n] == [100]
