@@ -2,12 +2,16 @@
 
 import bisect
 import collections
+import functools
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.operators import interpret as P
+from tarnwell.operators import inventory as I
+from tarnwell.operators import joins as J
 from tarnwell.operators import learned as L
 from tarnwell.operators import resampling as B
 from tarnwell.sources.tables import parity
@@ -89,3 +93,43 @@ def test_clustered_rows_are_dealt_to_tasks(spark, monkeypatch):
     assert out.groupBy((F.col("id") % 3).alias("g")).agg(F.countDistinct("profile").alias("n")).filter("n > 1").isEmpty()
     L.cluster(df.limit(100), "kmeans", 3, ["c"], ["x"])
     assert sum(sizes[0]) == 900 and max(sizes[0]) <= 110 and [n for n in sizes[1] if n] == [100]
+
+
+@pytest.fixture(scope="module")
+def one_place(spark):
+    """Demand and supply of one place and two kinds, in no order: a key with very many pairs."""
+    r = random.Random(17)
+    demand = [(k, k % 2, 1, 7, r.choice([-1.0, 950.0, 5000.0, 5000.0, 5000.0])) for k in r.sample(range(10**6), 800)]
+    supply = [(k, k % 2, 1, 7, 900 + r.randrange(1000) / 10, r.choice([None, 3, 8]), r.random() < 0.5) for k in r.sample(range(10**6), 3000)]
+    d = spark.createDataFrame(demand, "lead long, kind int, nation int, region int, budget double").repartition(3)
+    s = spark.createDataFrame(supply, "spot long, kind int, nation int, region int, price double, age int, free boolean").repartition(3)
+    return demand, supply, d, s
+
+
+@pytest.mark.parametrize("name", ["tiered", "scored", "relaxed", "observed", "pool"])
+def test_pairs_of_one_place_are_many_tasks_and_small_files(spark, one_place, tmp_path, name):
+    demand, supply, d, s = one_place
+    within = F.col("s_price") <= F.col("budget")
+    fits = lambda a, b: b[4] <= a[4]
+    same, other = lambda a, b: a[1] == b[1] and fits(a, b), lambda a, b: a[1] != b[1] and fits(a, b)
+    tiered = functools.partial(J.tiered_candidates, d, s, "lead", "spot", ["kind"], ["nation", "region"], within)
+    exact = d.withColumn("exact", F.when(F.col("lead") % 3 == 0, supply[0][0]))
+    seen = [(demand[0][0], supply[0][0]), (demand[0][0], -1), (demand[0][0], -1)]
+    out, meets = {
+        "tiered": lambda: (tiered(order=["price"]), same),
+        "scored": lambda: (tiered(["age"], ["price"]), same),
+        "relaxed": lambda: (J.relaxed_candidates(d, s, "lead", "spot", "nation", "kind", 3, within, ["price"]), other),
+        "observed": lambda: (J.with_observed(tiered(order=["price"]), spark.createDataFrame(seen, "lead long, spot long"), d, s, "lead", "spot", ["kind", "region"], within), same),
+        "pool": lambda: (I.candidate_pool(exact, s, "lead", "spot", ["kind", "nation"], "exact", ["free", "age"]), lambda a, b: a[1] == b[1]),
+    }[name]()
+    want = {(a[0], b[0]) for a in demand for b in supply if meets(a, b)}
+    want |= {(a[0], supply[0][0]) for a in demand if a[0] % 3 == 0} if name == "pool" else {*seen} if name == "observed" else set()
+    out.write.parquet(f"file://{tmp_path}/out")
+    got = spark.read.parquet(f"file://{tmp_path}/out")
+    found = got.select("lead", "spot").toPandas()
+    assert len(found) == len(want) and {*zip(found.lead, found.spot, strict=True)} == want and len(want) > 600_000
+    if name in ("scored", "pool"):
+        assert got.join(s.select("spot", F.col("age").alias("own")), "spot").filter("not (age <=> own)").isEmpty()
+    files = [p.stat().st_size for p in tmp_path.glob("out/*.parquet")]
+    assert sum(files) < 0.5 * len(want)
+    assert max(r[0] for r in got.groupBy(F.input_file_name()).agg(F.count("*")).select("count(1)").collect()) < 0.15 * len(want)
