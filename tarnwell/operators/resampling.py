@@ -88,16 +88,51 @@ def drawn_cells(cells: DataFrame, draws: int, seed: int) -> DataFrame:
     return long.groupBy(*rest, "draw").agg(F.sum(F.when(F.col("_y") == 1, F.col("_w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("_y") == 0, F.col("_w")).otherwise(0)).alias("neg"))
 
 
-def drawn_clusters(cells: DataFrame, draws: int, seed: int, most: int = 64) -> DataFrame:
-    """Cells (cell, pos, neg, ...) once a draw, those of one cluster `cell` with one number: a draw is hashed once for up to `most` cells of a cluster."""
+def _packs(cells: DataFrame, most: int) -> DataFrame:
+    """cell, _pack and `_cells`, up to `most` cells (pos, neg, ...) of the cluster `cell`."""
     held = [c for c in cells.columns if c != "cell"]
     packed = cells.withColumn("_pack", F.pmod(F.xxhash64(*held), F.lit(1 << 30))).withColumn("_n", F.row_number().over(Window.partitionBy("cell").orderBy("_pack")))
-    packs = settled(packed.groupBy("cell", F.floor(F.col("_n") / most).alias("_pack")).agg(F.collect_list(F.struct(*held)).alias("_cells")), "packs")
+    return packed.groupBy("cell", F.floor(F.col("_n") / most).alias("_pack")).agg(F.collect_list(F.struct(*held)).alias("_cells"))
+
+
+def drawn_clusters(cells: DataFrame, draws: int, seed: int, most: int = 64) -> DataFrame:
+    """Cells (cell, pos, neg, ...) once a draw, those of one cluster `cell` with one number: a draw is hashed once for up to `most` cells of a cluster."""
+    packs = settled(_packs(cells, most), "packs")
     drawn = _weighed(packs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))), _uniform(F.lit(seed), "cell", "draw"), None)
     rows = drawn.select("cell", "draw", "_w", F.explode("_cells").alias("_x")).select("cell", "draw", "_w", "_x.*")
     return rows.withColumns({"pos": F.col("pos") * F.col("_w"), "neg": F.col("neg") * F.col("_w")})
 
 
+def _drawn_by_digits(md5: Column) -> Column:
+    """`_drawn(None, u)` where u is the number that `_uniform` makes of an MD5: its digits are compared with those of the steps."""
+    # u >= x where the first 13 digits, as a number, are at least x * 2^52; a longer text of the same start is not less
+    least = [d for d in (math.ceil(x * (1 << 52)) for x in poisson_steps(1.0)[1]) if d < 1 << 52]
+    out = F.when(md5 < F.lit(f"{least[0]:013x}"), 0)
+    for k, d in enumerate(least[1:], 1):
+        out = out.when(md5 < F.lit(f"{d:013x}"), k)
+    return out.otherwise(len(least)).cast("long")
+
+
+def cluster_tables(cells: DataFrame, scores: list[str], by: list[str], draws: int, seed: int, most: int = 64, at_once: int = 10, tasks: int = 96) -> DataFrame:
+    """Score tables (by..., draw, score_name, _s, pos, n) of the cells that `drawn_clusters` gives, without a row a cell and draw.
+
+    A cell has a row for `at_once` draws, whose sums are columns: work is still draws times cells, but most of it is additions. Packs are dealt to `tasks`: they are small, and
+    few tasks would get all of them.
+    """
+    packs = _packs(cells, most).repartition(tasks, "cell", "_pack").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(draws / at_once) - 1))))
+    draw = [F.col("_block") * at_once + k + 1 for k in range(at_once)]
+    hashed = packs.select("_block", "_cells", *[F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("cell").cast("string"), t.cast("string"))).alias(f"_h{k}") for k, t in enumerate(draw)])
+    # by a generator, so that a hash is taken once a pack and not once a cell
+    weighed = hashed.select("_block", "_cells", F.inline(F.array(F.struct(*[_drawn_by_digits(F.col(f"_h{k}")).alias(f"_w{k}") for k in range(at_once)]))))
+    rows = weighed.select("_block", *[f"_w{k}" for k in range(at_once)], F.inline("_cells"))
+    named = F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_s")) for i, c in enumerate(scores)]))
+    long = rows.select(*by, "_block", "pos", (F.col("pos") + F.col("neg")).alias("n"), *[f"_w{k}" for k in range(at_once)], named)
+    sums = long.groupBy(*by, "_i", "_s", "_block").agg(*[F.sum(F.col(c) * F.col(f"_w{k}")).alias(f"_{c}{k}") for k in range(at_once) for c in ("pos", "n")])
+    each = F.inline(F.array(*[F.struct(t.cast("int").alias("draw"), F.col(f"_pos{k}").cast("double").alias("pos"), F.col(f"_n{k}").cast("double").alias("n")) for k, t in enumerate(draw)]))
+    name = F.get(F.array(*[F.lit(c) for c in scores]), F.col("_i")).alias("score_name")
+    return sums.select(*by, name, "_s", each).filter((F.col("draw") <= draws) & (F.col("n") > 0))
+
+
 def _cells(df: DataFrame, target: str, scores: list[str], unit: str, by: list[str]) -> DataFrame:
     """One row a combination of scores (and `by`): its rows by target, named by the smallest unit among them."""
     known = df.filter(F.col(target).isNotNull()).select(F.col(unit).alias("cell"), F.col(target).cast("int").alias("_y"), *scores, *by)
@@ -110,7 +145,11 @@ def _measured(drawn: DataFrame, scores: list[str], by: list[str]) -> DataFrame:
     """Metrics of each score and group `by` (draw among them), as rows (by..., score_name, metrics)."""
     long = drawn.select(*by, "pos", "neg", F.explode(F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).cast("double").alias("_s")) for s in scores])).alias("x")).select(*by, "x.*", "pos", "neg")
     keys = [*by, "score_name"]
-    table = long.groupBy(*keys, "_s").agg(F.sum("pos").cast("double").alias("pos"), F.sum(F.col("pos") + F.col("neg")).cast("double").alias("n"))
+    return _metrics_of(long.groupBy(*keys, "_s").agg(F.sum("pos").cast("double").alias("pos"), F.sum(F.col("pos") + F.col("neg")).cast("double").alias("n")), keys)
+
+
+def _metrics_of(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics of the score tables (keys..., _s, pos, n), as rows (keys..., metrics)."""
     table = settled(table, "draws")
     p = F.least(F.greatest(F.col("_s"), F.lit(1e-8)), F.lit(1 - 1e-8))
     neg = F.col("n") - F.col("pos")
@@ -155,11 +194,11 @@ def paired_delta(df: DataFrame, target: str, reference: str, challenger: str, un
     by, scores = [fold] if fold else [], [reference, challenger]
     if cluster:
         cells = settled(_cells(df, target, scores, cluster, [cluster, *by]).drop(cluster), "cells")
-        drawn = drawn_clusters(cells, draws, seed)
+        per = _metrics_of(cluster_tables(cells, scores, by, draws, seed), ["draw", *by, "score_name"])
     else:
         cells = settled(_cells(df, target, scores, unit, by), "cells")
-        drawn = drawn_cells(cells, draws, seed)
-    per, whole = _measured(drawn, scores, ["draw", *by]), _measured(cells, scores, by)
+        per = _measured(drawn_cells(cells, draws, seed), scores, ["draw", *by])
+    whole = _measured(cells, scores, by)
     if fold:
         per, whole = _macro(per, ["draw", "score_name"]), _macro(whole, ["score_name"])
     named = lambda d, score, name, keys: _long(d.filter(F.col("score_name") == score), keys).withColumnRenamed("value", name)

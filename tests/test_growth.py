@@ -133,3 +133,25 @@ def test_pairs_of_one_place_are_many_tasks_and_small_files(spark, one_place, tmp
     files = [p.stat().st_size for p in tmp_path.glob("out/*.parquet")]
     assert sum(files) < 0.5 * len(want)
     assert max(r[0] for r in got.groupBy(F.input_file_name()).agg(F.count("*")).select("count(1)").collect()) < 0.15 * len(want)
+
+
+def test_tables_of_cluster_draws(spark):
+    """The score tables of drawn clusters, from rows with a block of draws, are those of a row a cell and draw; and a few clusters are many tasks."""
+    r = random.Random(23)
+    cells = [(c, k / 8, r.randrange(3) / 2, f"f{k % 2}", r.randrange(3), 1 + r.randrange(2)) for c in range(40) for k in range(c % 7 + 1)]
+    df = spark.createDataFrame(cells, "cell long, a double, b double, fold string, pos long, neg long").coalesce(1)
+    tables = B.cluster_tables(df, ["a", "b"], ["fold"], 23, 42, most=3, at_once=4)
+    got = sorted(map(tuple, tables.select("draw", "fold", "score_name", "_s", "pos", "n").collect()))
+    long = B.drawn_clusters(df, 23, 42, most=3).select("draw", "fold", "pos", "neg", F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))).alias("score_name", "_s"))
+    want = long.groupBy("draw", "fold", "score_name", "_s").agg(F.sum("pos").cast("double"), F.sum(F.col("pos") + F.col("neg")).cast("double"))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 250 and {x[0] for x in got} == {*range(1, 24)}
+    plan = tables._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_draws_by_digits_are_those_of_the_number(spark):
+    steps = [int(x * 2**52) + k for x in B.poisson_steps(1.0)[1] for k in (-1, 0, 1)]
+    digits = [f"{min(max(d, 0), 2**52 - 1):013x}{rest}" for d in [0, *steps, *range(0, 2**52, 2**43)] for rest in ("0" * 19, "f" * 19)]
+    df = spark.createDataFrame([(x,) for x in digits], "h string")
+    u = F.conv(F.substring("h", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    assert df.select(B._drawn_by_digits(F.col("h")).alias("a"), B._drawn(None, u).alias("b")).filter("a <> b").isEmpty()
